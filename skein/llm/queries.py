@@ -4,17 +4,83 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import corpus_pipeline
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from skein.llm import simhash
-from skein.llm.common import read_table
+from skein.llm import ann, langid, mixing, packing, pii, quality, secrets, sharding, simhash, toxicity
+from skein.llm.common import read_table, shared_dir
+
+
+def fold(n: int) -> Column:
+    """crc32 of doc_id as text, modulo ``n``."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(n))
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    learn = docs.filter(fold(5) != 0).select("doc_id", "text").join(labels.select("doc_id", "toxic"), "doc_id").select("text", "toxic")
+    return toxicity.score(docs, toxicity.train(learn), F.coalesce(fold(5) == 0, F.lit(False)).alias("held_out"))
+
+
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.verdicts(read_table(spark, sf_dir, "documents"))
+
+
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return pii.find(docs, pii.train(docs))
+
+
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read_table(spark, sf_dir, "documents"))
+
+
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    langs, net = langid.train(docs.filter(fold(4) != 2))
+    return langid.identify(docs, langs, net, F.coalesce(fold(4) == 2, F.lit(False)).alias("held_out"))
+
+
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.schedule(read_table(spark, sf_dir, "documents")).drop("place")
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(read_table(spark, sf_dir, "documents"))
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixteen arrivals, compacted; the rows as the newest manifest has them."""
+    docs = read_table(spark, sf_dir, "documents")
+    table = sharding.ShardedTable(spark, shared_dir(spark))
+    table.append_arrivals(docs.withColumn("arrival", F.coalesce(F.pmod("doc_id", F.lit(16)), F.lit(0))), "arrival")
+    table.compact()
+    return table.read().select("doc_id", "arrival", F.octet_length("text").cast("long").alias("n_bytes"), F.md5("text").alias("text_md5"))
+
+
+OP10_SQL = "SELECT doc_id, coalesce(doc_id % 16, 0) AS arrival, strlen(text)::BIGINT AS n_bytes, md5(text) AS text_md5 FROM documents"
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
+    "op2_quality_rules": op2_quality_rules,
+    "op3_personal_data": op3_personal_data,
+    "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_nearest_neighbours": op5_nearest_neighbours,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
+    "op7_language_id": op7_language_id,
+    "op8_source_mixing": op8_source_mixing,
+    "op9_secret_scan": op9_secret_scan,
+    "op10_sharding": op10_sharding,
+    "pipeline": corpus_pipeline.run,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_quality_rules": quality.ORACLE_SQL, "op10_sharding": OP10_SQL}

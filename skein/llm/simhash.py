@@ -24,6 +24,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from skein.llm.common import byte_texts, materialize, text_slices
 
@@ -58,16 +60,17 @@ def simhash_bytes(text: bytes | None, shingle: int = SHINGLE) -> bytes:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and fp (the 64 bits as a signed long) of every row."""
+    """The columns of ``docs`` before its text, and fp (the 64 bits as a signed long) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch, "text"):
                 fps = b"".join(simhash_bytes(t, shingle) for t in byte_texts(part, "text"))
-                yield pa.record_batch([part.column(0), pa.array(np.frombuffer(fps, ">i8").astype(np.int64))], ["doc_id", "fp"])
+                yield pa.record_batch([*part.columns[:-1], pa.array(np.frombuffer(fps, ">i8").astype(np.int64))], out.names)
 
-    ids = docs.select("doc_id", "text")
-    return ids.mapInArrow(run, f"doc_id {ids.schema['doc_id'].dataType.simpleString()}, fp long")
+    ids = docs.select(*(c for c in docs.columns if c != "text"), "text")
+    out = T.StructType([*ids.schema.fields[:-1], T.StructField("fp", T.LongType())])
+    return ids.mapInArrow(run, out)
 
 
 def forest(fps: np.ndarray, distance: int = DISTANCE) -> tuple[np.ndarray, np.ndarray]:
@@ -217,7 +220,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bucket: int = BUCKET) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every row."""
-    prints = materialize(fingerprints(docs, shingle))
+    prints = materialize(fingerprints(docs.select("doc_id", "text"), shingle))
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     edges = links(distinct.select("fp"), bucket)
     roots = components(edges).select(F.col("node").alias("fp"), "root")
@@ -225,3 +228,17 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bucket: int = BUCKE
     linked = roots.join(least, "root").select("fp", "least_id")
     of = materialize(distinct.join(linked, "fp", "left").select("fp", F.coalesce("least_id", "first_id").alias("component_id")))
     return prints.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def deduplicate(docs: DataFrame, shingle: int = SHINGLE, bucket: int = BUCKET) -> DataFrame:
+    """One row of each group of near copies: the one with the smallest doc_id (nulls last, ties by hash)."""
+    hashes = [F.xxhash64("doc_id", "text").alias("__k"), F.xxhash64(F.coalesce("text", F.lit("")), F.lit(1)).alias("__t")]
+    prints = materialize(fingerprints(docs.select("doc_id", *hashes, "text"), shingle))
+    of_fp = prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "__k", "__t")).alias("one"))
+    of_fp = materialize(of_fp)
+    roots = components(links(of_fp.select("fp"), bucket)).select(F.col("node").alias("fp"), "root")
+    kept = of_fp.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("one").alias("one"))
+    kept = materialize(kept.select("one.__k", "one.__t"))
+    rows = docs.select("*", *hashes).join(kept, ["__k", "__t"])
+    first = rows.withColumn("__n", F.row_number().over(Window.partitionBy("__k", "__t").orderBy("__k"))).filter("__n = 1")
+    return first.select(*docs.columns)
