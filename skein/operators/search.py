@@ -20,7 +20,11 @@ from skein.operators.lexical import bm25
 MIN_COSINE, MIN_CONFIDENT, TIE_BREAK = 0.15, 0.32, 0.005
 MATCHES, CANDIDATES = 3, 3
 DEFAULT_LIMIT, DETAIL_LIMIT, MAX_LIMIT = 5, 50, 100
-_ALL = Window.partitionBy()
+
+
+def _all():
+    """All rows: used on few rows alone."""
+    return Window.partitionBy()
 
 
 def normalize_limit(value: float | None, fallback: int = DEFAULT_LIMIT) -> int:
@@ -56,7 +60,7 @@ def keyword_ranks(index: DataFrame, stats: DataFrame, units: DataFrame, sessions
     named = sessions.select("session_ref", "git_branch", "message_count")
     hits = bm25(index, stats, query).join(units, "unit_id").join(named, "session_ref")
     top = scope(hits, tools, branches).orderBy("bm25", F.desc("ended_at"), "unit_id").limit(CANDIDATES * limit)
-    pos = F.row_number().over(_ALL.orderBy("bm25", F.desc("ended_at"), "unit_id"))  # at most 300 rows
+    pos = F.row_number().over(_all().orderBy("bm25", F.desc("ended_at"), "unit_id"))  # at most 300 rows
     return top.withColumn("pos", pos).withColumn("keyword_score", 1 / F.col("pos"))
 
 
@@ -67,12 +71,12 @@ def grouped(ranked: DataFrame, limit: int) -> DataFrame:
     """
     by_session = Window.partitionBy("session_ref")
     seen = ranked.withColumn("first_pos", F.min("pos").over(by_session))
-    firsts = F.dense_rank().over(_ALL.orderBy("first_pos"))
+    firsts = F.dense_rank().over(_all().orderBy("first_pos"))
     seen = seen.withColumn("met", firsts)
-    cut = F.max(F.when(F.col("met") == limit, F.col("first_pos"))).over(_ALL)
+    cut = F.max(F.when(F.col("met") == limit, F.col("first_pos"))).over(_all())
     walked = seen.withColumn("cut", cut).filter((F.col("met") <= limit) & (F.col("cut").isNull() | (F.col("pos") <= F.col("cut"))))
     walked = walked.withColumns({"session_score": F.max("score").over(by_session), "session_relevance": F.max("relevance").over(by_session), "match": F.row_number().over(by_session.orderBy("pos"))})
-    walked = walked.withColumn("session_rank", F.dense_rank().over(_ALL.orderBy(F.desc("session_score"), "first_pos")))
+    walked = walked.withColumn("session_rank", F.dense_rank().over(_all().orderBy(F.desc("session_score"), "first_pos")))
     return walked.filter(F.col("match") <= MATCHES).drop("first_pos", "met", "cut")
 
 
@@ -81,12 +85,12 @@ def _limited(scored: DataFrame, limit: int) -> DataFrame:
     order = [F.desc("score"), F.desc("ended_at"), "unit_id"]
     best = scored.groupBy("session_ref").agg(F.max(F.struct("score", "ended_at")).alias("b")).orderBy(F.desc("b.score"), F.desc("b.ended_at")).limit(limit + 1)
     near = scored.join(F.broadcast(best.select("session_ref")), "session_ref", "left_semi")
-    return near.withColumn("pos", F.row_number().over(_ALL.orderBy(*order)))
+    return near.withColumn("pos", F.row_number().over(_all().orderBy(*order)))
 
 
 def keyword_search(index, stats, units, sessions, query: str, limit: int = DEFAULT_LIMIT, tools=None, branches=None) -> DataFrame:
     ranks = keyword_ranks(index, stats, units, sessions, query, limit, tools, branches)
-    rec = recency(F.col("ended_at"), F.min("ended_at").over(_ALL), F.max("ended_at").over(_ALL))
+    rec = recency(F.col("ended_at"), F.min("ended_at").over(_all()), F.max("ended_at").over(_all()))
     scored = ranks.withColumns({"recency_score": rec, "continuity_score": continuity(F.col("message_end_index"), F.col("message_count")), "semantic_score": F.lit(0.0), "relevance": F.lit(None).cast("double")})
     return grouped(scored.withColumn("score", 0.75 * F.col("keyword_score") + 0.15 * F.col("recency_score") + 0.1 * F.col("continuity_score")), limit)
 
