@@ -1,6 +1,6 @@
 """Approximate nearest neighbours by largest inner product: a hierarchical k-means tree, best-bin-first.
 
-The tree is fitted on at most ``sample`` vectors chosen by hash (a documented bound); every row descends to its leaf. A
+The tree is fitted on about ``sample`` vectors chosen by hash (a documented bound); every row descends to its leaf. A
 query walks the tree through a priority queue: the node whose centre has the largest inner product comes first, a
 leaf is visited when it is popped. How many leaves to visit is calibrated: bounded many of the given queries
 are searched exactly against all rows, in blocks, and visits widen until their recall reaches
@@ -179,7 +179,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, recall: float = REC
     rows = materialize(usable(vectors))
     plain = materialize(distinct_vectors(rows, k + 1))
     n = plain.count()
-    picked = bounded_rows(plain.select("embedding", "first"), "first", sample).collect()
+    picked = bounded_rows(plain.select("embedding", "first"), sample, "first").orderBy("first").collect()
     x = np.array([r.embedding for r in picked]) if picked else np.zeros((1, 1))
     leaves = int(max(1, min(max(256, n / 20_000), len(x) / 16, n / 8)))
     tree = KMeansTree(x, leaves)
@@ -187,7 +187,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, recall: float = REC
     asked = rows.filter(is_query).withColumnRenamed("vec_id", "query_id")
     asked = materialize(asked.groupBy("embedding").agg(F.min("query_id").alias("rep")).join(asked, "embedding"))
     once = asked.filter("query_id = rep").dropDuplicates(["rep"]).select("rep", "embedding")
-    trial = np.array([r.embedding for r in bounded_rows(once, "rep", CALIBRATION, seed=29).collect()])
+    trial = np.array([r.embedding for r in bounded_rows(once, CALIBRATION, "rep", seed=29).collect()])
     most = calibrate(tree, placed, trial, k, recall)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,7 +1,7 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
 The network labels every byte of a text; a document gets the mean of its bytes' probabilities. It is
-trained in numpy by backpropagation through time on the driver, on at most ``train_docs`` documents chosen by
+trained in numpy by backpropagation through time on the driver, on about ``train_docs`` documents chosen by
 hash and balanced by language, ``SEGMENTS`` segments each: a documented bound that no other step has. Texts are
 cut into segments of ``SEGMENT`` bytes at whose ends the state starts anew, so that thousands of segments
 advance together and a text of any length costs memory for its bytes alone; every byte of every text is labelled.
@@ -161,10 +161,10 @@ class ByteGRU:
 
 def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, hidden: int = HIDDEN, epochs: int = EPOCHS) -> tuple[list[str], ByteGRU | None]:
     """Languages and network learnt from the text and non-null lang of ``docs``."""
-    rows = docs.filter(F.col("lang").isNotNull() & (F.length("text") > 0)).select("lang", "text")
-    rows = rows.withColumn("key", F.xxhash64("text"))
+    rows = docs.filter(F.col("lang").isNotNull() & (F.length("text") > 0)).select("doc_id", "lang", "text")
+    rows = bounded_rows(rows, train_docs, "doc_id").withColumn("key", F.xxhash64("text"))
     cut = [F.substring(F.col("text"), F.pmod(F.xxhash64("key", F.lit(i)), F.length("text")).cast("int") + 1, F.lit(SEGMENT)) for i in range(SEGMENTS)]
-    picked = bounded_rows(rows.select("lang", "key", F.array(*cut).alias("cut")), "key", train_docs).collect()
+    picked = rows.select("lang", F.array(*cut).alias("cut")).orderBy("lang", "cut").collect()
     langs = sorted({r.lang for r in picked})
     if not langs:
         return [], None

@@ -7,7 +7,7 @@ rewrites (an address spelt out, a number without its plus sign) in the same plac
 check (Luhn, parts over 255, too few digits) are negative. On a fold the trees have not seen, the lowest
 threshold that keeps the wanted precision is taken, and candidates above it that touch no base span are added.
 
-Training takes the candidates of at most ``train_docs`` documents chosen by hash (a documented bound). Finding and
+Training takes the candidates of about ``train_docs`` documents chosen by hash (a documented bound). Finding and
 redacting are single Arrow passes over whole texts without a shuffle.
 
 Defined results: a null or empty text has no span (redacting leaves it as it is); equal rows get equal results;
@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from skein.llm.common import bounded_rows, text_slices
 
-TRAIN_DOCS = 5000
+TRAIN_DOCS = 40_000
 PRECISION = 0.99
 KINDS = ("email", "ip", "card", "phone", "id")
 
@@ -223,15 +223,15 @@ def examples(text: str) -> list[tuple[int, list[float]]]:
 
 def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, precision: float = PRECISION) -> Finder:
     """Trees from candidates of the corpus and the threshold that a held-out fold gives."""
-    rows = bounded_rows(docs.select("text").filter(F.col("text").rlike("[0-9]{3}|@")), "text", train_docs)
+    rows = bounded_rows(docs.select("doc_id", "text"), train_docs, "doc_id").filter(F.col("text").rlike("[0-9]{3}|@"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch, "text"):
-                got = [(zh, y, x) for t in part.column(0).to_pylist() for zh in [hashlib.md5(t.encode()).digest()[0] % 4] for y, x in examples(t)[:64]]
+                got = [(zh, y, x) for t in part.column(1).to_pylist() for zh in [hashlib.md5(t.encode()).digest()[0] % 4] for y, x in examples(t)[:64]]
                 yield pa.record_batch([pa.array([g[i] for g in got], k) for i, k in enumerate((pa.int32(), pa.int32(), pa.list_(pa.float64())))], ["fold", "y", "x"])
 
-    got = rows.mapInArrow(run, "fold int, y int, x array<double>").collect()
+    got = rows.mapInArrow(run, "fold int, y int, x array<double>").orderBy("fold", "y", "x").collect()
     y, fold = np.array([r.y for r in got], float), np.array([r.fold for r in got])
     if min((y[fold > 0] == k).sum() if len(y) else 0 for k in (0, 1)) < 8:
         return Finder()

@@ -19,7 +19,7 @@ def fold(n: int) -> Column:
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
-    learn = docs.filter(fold(5) != 0).select("doc_id", "text").join(labels.select("doc_id", "toxic"), "doc_id").select("text", "toxic")
+    learn = docs.filter(fold(5) != 0).select("doc_id", "text").join(labels.select("doc_id", "toxic"), "doc_id").select("doc_id", "text", "toxic")
     return toxicity.score(docs, toxicity.train(learn), F.coalesce(fold(5) == 0, F.lit(False)).alias("held_out"))
 
 

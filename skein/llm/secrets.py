@@ -4,7 +4,7 @@ Rules propose wide: long runs of key characters that hold a digit. Each candidat
 transitions, its coverage by dictionary words, what its path says, and the words beside it. A random forest (Spark ML)
 trained on labelled findings scores it. Where no findings are handed in, rules label those of the corpus that are plain: vendor
 prefixes and assignments to a credential are secrets; plain numbers, hashes named as such, dates and dictionary words are not.
-The forest is fitted on at most ``train_rows`` labelled findings chosen by hash (a documented bound); every candidate of
+The forest is fitted on about ``train_rows`` labelled findings chosen by hash (a documented bound); every candidate of
 every whole text is scored.
 
 A text is scanned once; its candidates leave as one row per distinct value, so that no shuffle is needed and texts don't
@@ -90,7 +90,8 @@ def plain_labels(found: DataFrame) -> DataFrame:
 
 def train(labelled: DataFrame, train_rows: int = TRAIN_ROWS):
     """A forest from ``labelled`` findings (features and label), or None without both classes."""
-    rows = materialize(bounded_rows(labelled.select("value", "label", *FEATURES), "value", train_rows))
+    keys = [c for c in ("doc_id", "value", "start") if c in labelled.columns]
+    rows = materialize(bounded_rows(labelled.select(*keys, "label", *FEATURES), train_rows, *keys))
     if rows.select("label").distinct().count() < 2:
         return None
     forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=13, featuresCol="x", labelCol="label")

@@ -8,7 +8,7 @@ in the dead state after a few. Longer terms allow more edits. Every hit is then
 quotation marks around it and reporting words tell quotation from abuse, words of address tell abuse.
 A logistic regression on these counts gives the score.
 
-The lexicon counts run in Spark over at most ``train_docs`` labelled rows chosen by hash (a documented bound; so
+The lexicon counts run in Spark over about ``train_docs`` labelled rows chosen by hash (a documented bound; so
 is ``max_terms``); scoring is one Arrow pass over all rows without a shuffle.
 
 Defined results: a null or empty text scores as a text without words; without labelled rows of both classes
@@ -262,12 +262,12 @@ def _features(docs: DataFrame, terms: list[str], odds: list[float], edits: list[
 
 
 def train(rows: DataFrame, train_docs: int = TRAIN_DOCS, max_terms: int = MAX_TERMS) -> Model:
-    """Lexicon and weights from (text, toxic) ``rows``."""
-    rows = rows.filter(F.col("toxic").isin(0, 1)).select("text", F.col("toxic").cast("int").alias("toxic"))
-    rows = materialize(bounded_rows(rows, "text", train_docs))
+    """Lexicon and weights from (doc_id, text, toxic) ``rows``."""
+    rows = rows.filter(F.col("toxic").isin(0, 1)).select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
+    rows = materialize(bounded_rows(rows, train_docs, "doc_id"))
     terms, odds = learn_lexicon(rows, max_terms)
     edits = edit_budgets(rows, terms, odds)
-    got = _features(rows, terms, odds, edits, ["toxic"]).collect()
+    got = _features(rows, terms, odds, edits, ["doc_id", "toxic"]).orderBy("doc_id").collect()
     if not got:
         return Model([], [], [], np.r_[-30.0, np.zeros(Scorer.N - 1)])
     return Model(terms, odds, edits, fit(np.array([r.x for r in got]), np.array([float(r.toxic) for r in got])))
