@@ -5,7 +5,9 @@ counted per host over the distinct documents that hold it. Lines above ``limit``
 boilerplate: they are removed, and a document that loses over ``depleted`` of its words is rejected.
 
 Copies must not make their own lines frequent. A text counts once per host however often it is repeated, and
-documents that agree in the lowest-hashed of their other lines (near copies) count once for a line.
+documents that agree in the lowest-hashed of their other lines (near copies) count once for a line. As
+that hash may fall on the one line in which near copies differ, a line counts as frequent only where its
+distinct holders are also ``INDEPENDENT`` of all texts that hold it.
 
 One Arrow pass reads the texts and leaves 16 bytes of text hash, four counts and the line hashes. Contents
 are made distinct before their lines are exploded, counts are pre-aggregated before each shuffle, and
@@ -35,6 +37,8 @@ REPEAT_WINDOW = 8
 MAX_REPEAT_PERCENT = 30
 #: Distinct documents of one host that may share a line.
 LINE_LIMIT = 20
+#: Share of the texts with a line that must be distinct holders for it to be boilerplate.
+INDEPENDENT = 0.3
 #: Share of a document's words that it may lose.
 DEPLETED = 0.7
 
@@ -141,7 +145,8 @@ def _frequent(feats: DataFrame, limit: int, depleted: float) -> DataFrame:
     contents = materialize(held.groupBy("host", "text_hash").agg(*(F.first(c).alias(c) for c in held.columns[2:])))
     rows = contents.select("host", "text_hash", F.explode(F.arrays_zip("lines", "line_words", "others")).alias("x"))
     rows = rows.select("host", "text_hash", "x.lines", "x.line_words", "x.others")
-    over = rows.groupBy("host", "lines").agg(F.countDistinct("others").alias("n")).filter(F.col("n") > limit)
+    over = rows.groupBy("host", "lines").agg(F.countDistinct("others").alias("n"), F.count("*").alias("all"))
+    over = over.filter((F.col("n") > limit) & (F.col("n") >= INDEPENDENT * F.col("all")))
     over = over.select(F.col("host").alias("h"), F.col("lines").alias("l"))
     hit = rows.join(over, F.col("host").eqNullSafe(F.col("h")) & (F.col("lines") == F.col("l")))
     return hit.groupBy("host", "text_hash").agg(F.collect_set("lines").alias("removed"), F.sum("line_words").alias("removed_words"))
@@ -212,7 +217,7 @@ norm AS (
 other AS (
   SELECT r, h, n, coalesce(CASE WHEN h = min(h) OVER p THEN nth_value(h, 2) OVER (PARTITION BY r ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) ELSE min(h) OVER p END, '') AS o
   FROM norm WINDOW p AS (PARTITION BY r)),
-freq AS (SELECT source, h FROM other JOIN d USING (r) GROUP BY source, h HAVING count(DISTINCT o) > {LINE_LIMIT}),
+freq AS (SELECT source, h FROM other JOIN d USING (r) GROUP BY source, h HAVING count(DISTINCT o) > {LINE_LIMIT} AND count(DISTINCT o) >= {INDEPENDENT} * count(DISTINCT md5(text))),
 lost AS (SELECT r, sum(n) AS removed_words FROM other JOIN d USING (r) JOIN freq ON freq.h = other.h AND freq.source IS NOT DISTINCT FROM d.source GROUP BY r),
 base AS (
   SELECT doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars,

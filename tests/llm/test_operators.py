@@ -1,0 +1,502 @@
+"""Each operator against a brute-force version, and on tables with nulls, blanks, ties, repeats, no rows and clashing columns."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from itertools import pairwise
+
+import duckdb
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from conftest import DATA
+from skein.llm import ann, langid, mixing, packing, pii, quality, queries, secrets, sharding, simhash, toxicity
+from skein.llm.common import bounded_rows, materialize, shared_dir
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+LONG = "one long line of plain words " * 4000
+EDGES = [
+    (1, None, None, None, None), (2, "", "en", "a", 0), (3, " \n\t ", "en", "a", 4), (4, LONG, "en", "a", len(LONG)), (None, "a text without an id, of some length", "en", "b", 36),
+    (5, "twin words stand here in a row", "en", "b", 30), (6, "twin words stand here in a row", "en", "b", 30), (7, "repeated row", "de", None, 12), (7, "repeated row", "de", None, 12), (8, "ünïcödé 😀 a\x1cb <|endoftext|> x's", "fr", "c", 30),
+]
+CLASH = ["score", "kept", "n_words", "host", "fp", "leaf", "key", "tokens", "label", "value", "length", "spans", "x", "seq"]
+
+
+@pytest.fixture(scope="module")
+def edges(spark):
+    df = spark.createDataFrame(EDGES, DOCS)
+    return df.withColumns({c: F.lit("clash") for c in CLASH})
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{DATA}/documents.parquet")
+
+
+def words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+# 1 toxicity
+
+
+def distance(a, b):
+    d = [[i + j if not i * j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            d[i][j] = min(d[i - 1][j] + 1, d[i][j - 1] + 1, d[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                d[i][j] = min(d[i][j], d[i - 2][j - 2] + 1)
+    return d[-1][-1]
+
+
+def test_automaton_equals_edit_distance():
+    rng = random.Random(1)
+    word = lambda lo, hi: "".join(rng.choice("abc") for _ in range(rng.randint(lo, hi)))
+    terms = sorted({word(3, 11) for _ in range(40)})
+    automaton = toxicity.TrieAutomaton(terms)
+    for _ in range(1500):
+        w = word(1, 12)
+        want = min((distance(w, t) for t in terms if distance(w, t) <= toxicity.allowed_edits(t)), default=None)
+        got = automaton.match(w)
+        assert (got and got[0]) == want, w
+
+
+def toxic_rows(spark):
+    base = [f"the weather report number {i} is calm and kind today" for i in range(60)]
+    bad = [f"you are a worthless idiot number {i} and a clown" for i in range(30)]
+    return spark.createDataFrame([(i, t, 0) for i, t in enumerate(base)] + [(100 + i, t, 1) for i, t in enumerate(bad)], "doc_id int, text string, toxic int")
+
+
+def test_toxicity_learns_misspellings_and_quotes(spark, edges, empty):
+    model = toxicity.train(toxic_rows(spark))
+    assert {"worthless", "idiot", "clown"} <= set(model.terms)
+    rows = spark.createDataFrame([(1, "you worthles idoit clown"), (2, "calm and kind today"), (3, 'she said "idiot" to him'), (4, "she said idiot to him")], "doc_id int, text string")
+    got = {r.doc_id: r for r in toxicity.score(rows, model).collect()}
+    assert got[1].predicted == 1 and got[2].predicted == 0 and got[3].score < got[4].score
+    hits = {(r.term, r.edits) for r in toxicity.spans(rows, model).filter("doc_id = 1").collect()}
+    assert ("worthless", 1) in hits and ("clown", 0) in hits
+    scored = toxicity.score(edges, model).collect()
+    assert len(scored) == len(EDGES) and all(0 <= r.score <= 1 for r in scored)
+    assert toxicity.score(empty, model).isEmpty()
+    nothing = toxicity.train(spark.createDataFrame([], "doc_id int, text string, toxic int"))
+    assert {r.predicted for r in toxicity.score(edges, nothing).collect()} == {0}
+
+
+def test_toxicity_held_out(spark):
+    got = queries.op1_toxicity(spark, DATA.replace("0.001", "0.01")).join(spark.read.parquet(f"{DATA.replace('0.001', '0.01')}/labels.parquet"), "doc_id").filter("held_out").collect()
+    bad, good = [r.score for r in got if r.toxic], [r.score for r in got if not r.toxic]
+    assert np.mean([(b > g) + 0.5 * (b == g) for b in bad for g in good]) > 0.7
+
+
+# 2 quality rules
+
+
+def plain_quality(rows, limit):
+    """Verdicts of (doc_id, source, text) by loops."""
+    norm = lambda line: " ".join(words(re.sub("[0-9]", "0", line.translate({i: i + 32 for i in range(65, 91)}))))
+    key = lambda line: hashlib.md5(norm(line).encode()).hexdigest()[:16]
+    held, seen = [], {}
+    for _, source, text in rows:
+        keys = sorted({key(x) for x in (text or "").split("\n") if words(x)})
+        for k in keys:
+            seen.setdefault((source, k), set()).add((next((o for o in keys if o != k), ""), text))
+        held.append(keys)
+    out = []
+    for (i, source, text), _ in zip(rows, held, strict=True):
+        ws, lines = words(text), [x for x in (text or "").split("\n") if words(x)]
+        at = {}
+        for j in range(len(ws) - 7):
+            at.setdefault(tuple(ws[j : j + 8]), []).append(j)
+        cover = {j + k for js in at.values() if len(js) > 1 for j in js for k in range(8)}
+        others = lambda x: len({o for o, _ in seen[source, key(x)]})
+        texts = lambda x: len({t for _, t in seen[source, key(x)]})
+        gone = sum(len(words(x)) for x in lines if others(x) > limit and others(x) >= 0.3 * texts(x))
+        failed = len(ws) < 20 or 100 * len(cover) > 30 * len(ws)
+        out.append((i, len(ws), sum(map(len, ws)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(cover), failed, gone, not failed and gone <= 0.7 * len(ws)))
+    return out
+
+
+def test_quality_equals_plain_rules(spark):
+    rng = random.Random(2)
+    lines = ["Shared Footer line number 12 of this site here", "common words stand at the start of each page ok"] + [" ".join(rng.choice("abcdefghij") * rng.randint(1, 4) for _ in range(rng.randint(1, 14))) for _ in range(60)]
+    rows = [(i, rng.choice(["h1", "h2", None]), "\n".join(rng.choice(lines[:2]) if rng.random() < 0.3 else rng.choice(lines) for _ in range(rng.randint(0, 9)))) for i in range(300)]
+    rows += [(400, "h1", None), (401, "h1", rows[0][2]), (402, "h1", rows[0][2])]
+    df = spark.createDataFrame(rows, "doc_id int, source string, text string")
+    got = sorted(tuple(r) for r in quality.verdicts(df, limit=5).collect())
+    want = plain_quality(rows, 5)
+    assert got == sorted(want) and any(w[7] for w in want)
+    kept = {r.doc_id: r.text for r in quality.clean(df, limit=5).collect()}
+    assert set(kept) == {w[0] for w in want if w[-1]}
+    assert all(len(words(kept[w[0]])) == w[1] - w[7] for w in want if w[-1])
+
+
+def test_quality_copies_do_not_condemn_themselves(spark):
+    body = "\n".join(f"line {w} of a clean document {w * 2} with words {w * 3} enough to stay {w * 4}" for w in "abcdefg")
+    near = [(1000 + i, "h", body + f"\nand a last line of its own {chr(97 + i % 26) * (i // 26 + 1)}") for i in range(600)]
+    df = spark.createDataFrame([(i, "h", body) for i in range(60)] + near, "doc_id int, source string, text string")
+    assert quality.verdicts(df).filter("kept").count() == 660
+
+
+def test_quality_edges(spark, edges, empty):
+    assert quality.verdicts(edges).count() == len(EDGES) and quality.verdicts(empty).isEmpty()
+    assert quality.clean(empty).isEmpty() and quality.clean(edges).columns == edges.columns
+
+
+def test_quality_sql(spark):
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")
+    got = queries.op2_quality_rules(spark, DATA).toPandas()
+    assert sorted(got.itertuples(index=False, name=None)) == sorted(db.execute(quality.ORACLE_SQL).df()[list(got.columns)].itertuples(index=False, name=None))
+
+
+# 3 personal data
+
+
+def plain_spans(text):
+    pats = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+    out = []
+    for kind, pattern in pats.items():
+        for m in re.finditer(pattern, text):
+            d = re.sub("[^0-9]", "", m[0])
+            fine = {"email": True, "ip": kind == "ip" and all(int(x) <= 255 for x in m[0].split(".")), "card": 16 <= len(d) <= 19 and pii.luhn(d), "phone": 8 <= len(d) <= 15}[kind]
+            if fine:
+                out.append((kind, m.start(), m.end()))
+    return out
+
+
+def test_base_spans_equal_the_patterns(docs):
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("01 2345+-.@ab(_6)7 89é") for _ in range(rng.randint(0, 200))) for _ in range(2000)] + [r.text for r in docs.collect()] + ["a@b.co_c@d.ef", "1.2.3.4.5.6.7.8", "4111 1111-1111 1111", "+1 (487) 555-7209."]
+    finder = pii.Finder()
+    for t in texts:
+        assert finder.spans(t)[0] == sorted(plain_spans(t), key=lambda s: (pii.KINDS.index(s[0]), s[1]))
+
+
+def test_pii_adds_and_redacts(spark, edges, empty):
+    mail = [(i, f"please mail jo.do{i}@host{i}.example.com or call +1 (415) 555-{1000 + i} from {i % 256}.1.2.3 not 999.1.2.{i} nor 12345{i:05d}999999") for i in range(200)]
+    df = spark.createDataFrame(mail, "doc_id int, text string")
+    finder = pii.train(df)
+    text = "write to jo.doe at mail7 dot example dot com or 415 555-7209"
+    base, all_spans = finder.spans(text)
+    assert base == [] and [s[0] for s in all_spans] == ["email", "phone"]
+    out = {r.doc_id: r.text for r in pii.redact(df, finder).collect()}
+    assert all("@" not in t and "555" not in t for t in out.values())
+    r = pii.find(df, finder).filter("doc_id = 1").first()
+    assert (r.n_email, r.n_ip, r.n_phone) == (1, 1, 1) and r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in finder.spans(mail[1][1])[0]).encode()).hexdigest()
+    assert pii.find(edges, pii.train(edges)).count() == len(EDGES) and pii.redact(edges, finder).columns == edges.columns
+    assert pii.find(empty, pii.train(empty)).isEmpty()
+
+
+def test_boosted_trees_separate():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(600, 4))
+    y = ((x[:, 0] > 0) ^ (x[:, 1] > 0)).astype(float)
+    q = pii.BoostedTrees().fit(x[:400], y[:400]).predict(x[400:])
+    assert ((q > 0.5) == y[400:]).mean() > 0.9
+
+
+# 4 packing
+
+
+def check_packed(rows, capacity):
+    by = {}
+    for r in rows:
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for places in by.values():
+        places.sort()
+        assert places[0][0] == 0 and all(a + n == b for (a, n), (b, _) in pairwise(places)) and places[-1][0] + places[-1][1] <= capacity
+    return len(by)
+
+
+def test_packing_round_trip(spark, edges, empty):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
+    rows = packing.pack_documents(edges, keep_ids=True).collect()
+    check_packed(rows, packing.CAPACITY)
+    got = sorted((str(r.doc_id), r.piece, r.start, r.length, r.ids_crc32, bytes(r.ids)) for r in rows)
+    want = []
+    for i, text, *_ in EDGES:
+        ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 1]
+        for p in range(0, len(ids), 4096):
+            cut = np.array(ids[p : p + 4096], "<u4").tobytes()
+            want.append((str(i), p // 4096, p, len(cut) // 4, zlib.crc32(cut), cut))
+    assert got == sorted(want)
+    assert packing.pack_documents(empty).isEmpty()
+
+
+def test_packing_is_close_to_the_bound(spark, docs):
+    rows = packing.pack_documents(docs).collect()
+    used = check_packed(rows, 4096)
+    assert used <= math.ceil(sum(r.length for r in rows) / 4096) + 2
+
+
+def test_best_fit_and_bounded_space():
+    bins = packing.OpenBins(10, 2)
+    assert [bins.put(n) for n in (6, 7, 3, 4, 9)] == [(0, 0), (1, 0), (1, 7), (0, 6), (2, 0)]
+    bins = packing.OpenBins(10, 1)
+    assert [bins.put(n)[0] for n in (6, 7, 4, 3)] == [0, 1, 2, 2] and bins.open == 1
+    rng = random.Random(4)
+    open_, free = packing.OpenBins(50, 10**6), []
+    for n in (rng.randint(1, 50) for _ in range(2000)):
+        fits = [f for f in free if f >= n]
+        b, at = open_.put(n)
+        if fits:
+            assert 50 - at == min(fits)
+            free.remove(min(fits))
+        free.append(50 - at - n)
+
+
+# 5 nearest neighbours
+
+
+def test_search_recall_ties_and_bad_vectors(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(600, 8)).astype(np.float32).astype(float)
+    x[200:400] = x[0]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000, None), (1001, [0.0] * 8), (1002, [float("nan")] * 8), (1003, [1.0] * 3), (1004, [None] * 8), (None, [1.0] * 8)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("leaf", F.lit("clash"))
+    got = ann.search(df, F.col("vec_id") % 20 == 0, k=20).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    right = 0
+    for q in range(0, 600, 20):
+        found = sorted(by[q])
+        assert [f[0] for f in found] == list(range(1, 21)) and q not in {f[1] for f in found}
+        assert all(s == pytest.approx(float(x[q] @ x[v]), abs=1e-9) for _, v, s in found)
+        assert all((-a[2], a[1]) < (-b[2], b[1]) for a, b in pairwise(found))
+        others = [i for i in range(600) if i != q]
+        right += len({i for i in sorted(others, key=lambda i: (-round(float(x[q] @ x[i]), 9), i))[:20]} & {f[1] for f in found})
+    assert set(by) == set(range(0, 600, 20)) and right / (30 * 20) >= 0.9
+    small = ann.search(df.filter("vec_id in (0, 1, 2)"), F.col("vec_id") == 0).collect()
+    assert len(small) == 2
+    assert ann.search(df.limit(0), F.col("vec_id") == 0).isEmpty()
+
+
+def test_tree_visits_every_leaf_once():
+    x = np.random.default_rng(6).normal(size=(500, 6))
+    tree = ann.KMeansTree(x, 40)
+    assert sorted(tree.visits(x[:1], 10**6)[0]) == list(range(len(tree.leaf))) and set(tree.assign(x)) <= set(range(len(tree.leaf)))
+
+
+# 6 near copies
+
+
+def plain_fingerprint(text):
+    ws = [w.encode().lower() for w in words(text)]
+    if not ws:
+        return 0
+    h = [xxhash.xxh64_intdigest(b" ".join(ws[i : i + 3]), 42) for i in range(max(1, len(ws) - 2))]
+    return sum(1 << b for b in range(64) if 2 * sum(v >> b & 1 for v in h) > len(h))
+
+
+def plain_components(prints):
+    """Smallest doc_id of each component, for (doc_id, fingerprint) pairs."""
+    fps = sorted({f for _, f in prints})
+    root = {f: f for f in fps}
+
+    def find(f):
+        while root[f] != f:
+            f = root[f]
+        return f
+
+    for i, a in enumerate(fps):
+        for b in fps[:i]:
+            if (a ^ b).bit_count() <= 3:
+                root[find(a)] = find(b)
+    least = {}
+    for d, f in prints:
+        if d is not None:
+            least[find(f)] = min(d, least.get(find(f), d))
+    return {(d, f"{f:016x}", least.get(find(f))) for d, f in prints}
+
+
+def test_near_duplicates_equal_all_pairs(spark, docs, edges, empty):
+    for df in (docs, edges):
+        got = {tuple(r) for r in simhash.near_duplicates(df).collect()}
+        assert got == plain_components([(r.doc_id, plain_fingerprint(r.text)) for r in df.collect()])
+    assert simhash.near_duplicates(empty).isEmpty()
+    kept = simhash.deduplicate(edges)
+    assert kept.columns == edges.columns and kept.count() == len({c for _, _, c in plain_components([(r[0], plain_fingerprint(r[1])) for r in EDGES])})
+
+
+@pytest.mark.parametrize("bucket", [4096, 3])
+def test_links_find_every_close_pair(spark, bucket):
+    rng = random.Random(7)
+    fps = []
+    for _ in range(40):
+        f = rng.getrandbits(64)
+        for _ in range(6):
+            fps.append(f)
+            for b in rng.sample(range(64), rng.randint(1, 3)):
+                f ^= 1 << b
+    fps = sorted(set(fps))
+    df = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long")
+    roots = {r.node: r.root for r in simhash.components(simhash.links(df, bucket)).collect()}
+    signed = lambda f: f - (1 << 64) if f >> 63 else f
+    group = {}
+    for d, f, c in plain_components(list(enumerate(fps))):
+        group.setdefault(c, set()).add(roots.get(signed(int(f, 16)), signed(int(f, 16))))
+    assert all(len(g) == 1 for g in group.values()) and len({next(iter(g)) for g in group.values()}) == len(group)
+
+
+# 7 language
+
+
+def test_gradients_by_differences():
+    rng = np.random.default_rng(8)
+    net = langid.ByteGRU(3, 4)
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    symbols = rng.integers(0, 256, (6, 5)).astype(np.int16)
+    symbols[4:, 2] = 256
+    label = np.array([0, 1, 2, 0, 1])
+    _, g = net.gradients(symbols, label)
+    for k, p in net.p.items():
+        at = (1, int(symbols[1, 1])) if k[0] == "x" else tuple(rng.integers(0, n) for n in p.shape)
+        old = p[at]
+        losses = []
+        for d in (1e-3, -1e-3):
+            p[at] = old + d
+            losses.append(net.gradients(symbols, label)[0])
+        p[at] = old
+        assert (losses[0] - losses[1]) / 2e-3 == pytest.approx(g[k][at], rel=0.05, abs=2e-5)
+
+
+def test_language_held_out_and_edges(spark, edges, empty):
+    folder = DATA.replace("0.001", "0.01")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    langs, net = langid.train(docs.filter(queries.fold(4) != 2))
+    got = langid.identify(docs, langs, net, F.col("lang")).filter(queries.fold(4) == 2).collect()
+    assert np.mean([r.lang == r.lang_pred for r in got]) > 0.95 and all(0 <= r.score <= 1 for r in got)
+    said = langid.identify(edges, langs, net).collect()
+    assert len(said) == len(EDGES) and {r.lang_pred for r in said if r.doc_id in (1, 2, 3)} == {"und"}
+    assert langid.identify(empty, langs, net).isEmpty()
+    assert {r.lang_pred for r in langid.identify(edges, *langid.train(empty)).collect()} == {"und"}
+    assert net.documents([b"a" * 300, b"a" * 300])[0] == pytest.approx(net.documents([b"a" * 300])[0])
+
+
+# 8 mixing
+
+
+def test_exponent_meets_the_targets():
+    tokens = [1000.0, 10.0, 100.0, 500.0]
+    w = mixing.tempered(tokens, mixing.solve_exponent(tokens, 0.9, 1000))
+    assert mixing.entropy(w) / math.log(4) == pytest.approx(0.9, abs=1e-6)
+    w = mixing.tempered(tokens, mixing.solve_exponent(tokens, 0.99, 3.0))
+    assert max(mixing.repeats(tokens, w)) == pytest.approx(3.0, abs=1e-6)
+    assert mixing.solve_exponent([5.0, 5.0]) == 1.0 and mixing.solve_exponent([7.0]) == 1.0
+
+
+def test_schedule_spreads_sources(spark, edges, empty, monkeypatch):
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 50)
+    rows = [(i, f"w{i} " * (5 + i % 7), "hot" if i % 3 else f"s{i % 5}") for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.schedule(df, blocks=8).collect()
+    total = sum(r.tokens for r in got)
+    for s in {r.source for r in got}:
+        mine = [r for r in got if r.source == s]
+        assert sum(r.tokens for r in mine) / total == pytest.approx(mine[0].weight, abs=0.01)
+        per = [sum(r.tokens for r in mine if r.block == b) for b in range(8)]
+        assert max(per) - min(per) <= 2 * 11 + 0.2 * max(per)
+    assert {r.doc_id for r in got if r.epoch == 0} == set(range(900))
+    times = {r.doc_id: r["count"] for r in mixing.mix(df).groupBy("doc_id").count().collect()}
+    want = {}
+    for r in got:
+        want[r.doc_id] = want.get(r.doc_id, 0) + 1
+    assert times == want and max(want.values()) <= mixing.MAX_REPEATS + 1
+    assert {str(r.doc_id) for r in mixing.schedule(edges).collect()} == {str(e[0]) for e in EDGES}
+    assert mixing.mix(edges).columns == edges.columns and mixing.mix(edges).count() >= len(EDGES)
+    assert mixing.schedule(empty).isEmpty() and mixing.mix(empty).isEmpty()
+
+
+# 9 secrets
+
+
+def test_secret_scan(spark, edges, empty):
+    rng = random.Random(9)
+    key = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    rows = []
+    for i in range(150):
+        secret, digest = key(40), key(40)
+        rows.append((i, f'words here token = "{secret}" and sha1 {digest} then {rng.randrange(10**15, 10**16)} end {secret}', "src/main"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = secrets.scan(df).collect()
+    want = {(i, hashlib.sha256(re.search(r'"(\w+)"', t)[1].encode()).hexdigest()) for i, t, _ in rows}
+    assert len(got) == 450 and {(r.doc_id, r.value_sha256) for r in got if r.is_secret} == want
+    assert all(r.found == 2 and rows[r.doc_id][1][r.start : r.start + r.length].startswith(r.masked[:4]) for r in got if r.is_secret)
+    assert secrets.scan(edges).count() == 0 and secrets.scan(empty).isEmpty()
+    one = secrets.scan(df.limit(1).select("doc_id", F.lit('x token = "0123456789abcdef0123" y').alias("text"), F.lit(None).cast("string").alias("source"))).collect()
+    assert [(r.score, r.is_secret) for r in one] == [(0.5, True)]
+    plan = secrets.scan(df)._jdf.queryExecution().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
+
+
+# 10 sharding
+
+
+def test_compaction_keeps_every_row(spark, edges, empty):
+    table = sharding.ShardedTable(spark, shared_dir(spark), target_bytes=1 << 20, fanout=3, small_bytes=1 << 10)
+    assert table.version() == 0
+    with pytest.raises(ValueError):
+        table.read()
+    for i in range(7):
+        assert table.append(edges.select("doc_id", "text").withColumn("i", F.lit(i)).coalesce(1)) == i + 1
+    seen = table.version()
+    assert table.compact() > seen and len(table.runs()) < 7
+    tiers = [table.tier(r) for r in table.runs()]
+    assert all(tiers.count(t) < 3 for t in tiers) and table.compact() == table.version()
+    rows = lambda df: sorted(map(repr, df.collect()))
+    want = edges.select("doc_id", "text").crossJoin(spark.range(7).select(F.col("id").cast("int").alias("i")))
+    assert rows(table.read()) == rows(want)
+    with pytest.raises(sharding.ConflictError):
+        table.commit(table.version(), [])
+    table.append(empty.select("doc_id", "text").withColumn("i", F.lit(0)))
+    assert rows(table.read()) == rows(want)
+
+
+def test_sharding_sql(spark):
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")
+    got = queries.op10_sharding(spark, DATA).toPandas()
+    assert sorted(got.itertuples(index=False, name=None)) == sorted(db.execute(queries.OP10_SQL).df()[list(got.columns)].itertuples(index=False, name=None))
+
+
+def test_samples_are_shares(spark):
+    df = spark.range(10_000).toDF("doc_id")
+    assert bounded_rows(df, 20_000).count() == 10_000 and abs(bounded_rows(df, 1000, "doc_id").count() - 1000) < 150
+
+
+# the pipeline
+
+
+def test_pipeline_stages_one_by_one(spark, docs):
+    import corpus_pipeline as c
+
+    stages = dict(c.STAGES)
+    rows = [(r.doc_id, r.source, r.text) for r in docs.collect()]
+    kept = {w[0] for w in plain_quality(rows, quality.LINE_LIMIT) if w[-1]}
+    one = materialize(stages["quality_rules"](spark, docs, DATA))
+    assert {r.doc_id for r in one.collect()} == kept and one.columns == docs.columns
+    two = materialize(stages["near_dedup"](spark, one, DATA))
+    prints = [(r.doc_id, plain_fingerprint(r.text)) for r in one.collect()]
+    assert {r.doc_id for r in two.collect()} == {c for _, _, c in plain_components(prints)}
+    three = materialize(stages["redact_personal_data"](spark, two, DATA))
+    assert three.count() == two.count() and not any(plain_spans(r.text) for r in three.collect())
+    four = materialize(stages["mix_sources"](spark, three, DATA))
+    assert {r.doc_id for r in four.collect()} == {r.doc_id for r in three.collect()} and four.columns == docs.columns
+    five = stages["pack_sequences"](spark, four, DATA).collect()
+    check_packed(five, 4096)
+    assert len([r for r in five if r.piece == 0]) == four.count()
+    assert sum(r.length for r in c.run(spark, DATA).collect()) == sum(r.length for r in five)
