@@ -7,8 +7,8 @@ length); where a new bin is needed and all are open, the fullest one closes firs
 Pieces are written once without their text, dealt evenly over tasks of about ``rows_per_task`` pieces, and
 fed in order of falling length, so that small pieces fill what large ones leave. A task holds counters
 of its open bins alone, whatever the number of pieces. Tokens come from a word cache: the tokenizer never joins
-across ASCII white space, so that the ids of a text are those of its words in a row (tested against
-the tokenizer on whole texts).
+across ASCII white space nor across the parts that it splits words into, so that the ids of a text are
+those of its words' parts in a row (tested against the tokenizer on whole texts).
 
 Defined results: a null or empty text is one piece with the end id alone; a null doc_id is kept; each of
 several equal rows is packed for itself; an empty table gives an empty result; further columns are ignored.
@@ -16,6 +16,9 @@ several equal rows is packed for itself; an empty table gives an empty result; f
 
 from __future__ import annotations
 
+import functools
+import gc
+import itertools
 import os
 import zlib
 from collections.abc import Iterator
@@ -23,6 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,37 +39,86 @@ END_ID = 1
 OPEN_BINS = 1 << 14
 ROWS_PER_TASK = 50_000
 TOKENIZER = "word_bpe_49k.json"
-#: Words that a worker remembers, and the longest of them in bytes.
-CACHE_WORDS, CACHE_BYTES = 400_000, 64
+#: Words, and parts of words, that a worker remembers (about 200 bytes each).
+CACHE_WORDS, CACHE_PARTS = 800_000, 400_000
+
+# The parts that this tokenizer splits lower-case text into.
+_PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: Letters below U+0100 have no accents to compose and fold to one letter each; other words go whole to the tokenizer.
+_PLAIN = regex.compile(r"[\x00-\xFF]*")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The printable character that stands for each byte in a byte-level vocabulary."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
 class WordTokens:
-    """Ids of whole texts as little-endian unsigned 32-bit bytes, word by word from a bounded cache."""
+    """Ids of whole texts as little-endian unsigned 32-bit bytes, from bounded caches of words and of their parts.
+
+    New parts go to the tokenizer's own merges in one call; a token that ends a part carries the end-of-word mark.
+    """
 
     def __init__(self, file: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(file)
-        self.cache: dict[bytes, bytes] = {}
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        self.tokenizer, self.merges = Tokenizer.from_file(file), Tokenizer.from_file(file)
+        self.merges.normalizer, self.merges.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.special = regex.compile("|".join(regex.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()))
+        self.letters = _byte_letters()
+        self.words: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+
+    def _learn_parts(self, new: list[str]) -> None:
+        for i in range(0, len(new), 4096):
+            some = new[i : i + 4096]
+            shown = [p if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(self.letters) for p in some]
+            ids = np.array(self.merges.encode_batch_fast([" ".join(shown)], add_special_tokens=False)[0].ids, "<u4")
+            cuts, raw = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist(), ids.tobytes()
+            for p, a, b in zip(some, [0, *cuts[:-1]], cuts, strict=True):
+                self.parts[p] = raw[a:b]
+
+    def _learn(self, new: set[bytes]) -> None:
+        words, find = list(new), _PARTS.findall
+        texts = [w.decode() for w in words]
+        if not _PLAIN.fullmatch(whole := "".join(texts)) or self.special.search(whole):
+            odd = [i for i, t in enumerate(texts) if not _PLAIN.fullmatch(t) or self.special.search(t)]
+            for i in reversed(odd):
+                self.words[words.pop(i)] = np.array(self.tokenizer.encode(texts.pop(i), add_special_tokens=False).ids, "<u4").tobytes()
+        split = [find(t.lower()) for t in texts]
+        wanted = set(itertools.chain.from_iterable(split))
+        if len(self.parts) + len(wanted) > CACHE_PARTS:
+            self.parts.clear()
+        self._learn_parts(list(wanted.difference(self.parts)))
+        known = self.parts
+        self.words.update(zip(words, [known[p[0]] if len(p) == 1 else b"".join([known[x] for x in p]) for p in split], strict=True))
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         split = [(t or b"").split() for t in texts]
-        new = set().union(*split).difference(self.cache)
-        if len(self.cache) + len(new) > CACHE_WORDS:
-            self.cache.clear()
-            new = set().union(*split)
-        words = list(new)
-        known = self.cache
-        for i in range(0, len(words), 4096):
-            part = words[i : i + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        out = [b"".join(map(known.__getitem__, ws)) for ws in split]
-        for w in words:
-            if len(w) > CACHE_BYTES:
-                del known[w]
-        return out
+        new = set(itertools.chain.from_iterable(split)).difference(self.words)
+        if len(self.words) + len(new) > CACHE_WORDS:
+            self.words.clear()
+            new = set(itertools.chain.from_iterable(split))
+        collects = gc.isenabled()
+        gc.disable()  # the caches hold no cycles, and looking through them again and again takes half the time
+        try:
+            self._learn(new)
+        finally:
+            if collects:
+                gc.enable()
+        return [b"".join(map(self.words.__getitem__, ws)) for ws in split]
+
+
+@functools.cache
+def word_tokens(file: str) -> WordTokens:
+    """One encoder for each worker process, kept from task to task."""
+    return WordTokens(file)
 
 
 def tokens(docs: DataFrame, file: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:
@@ -77,7 +130,7 @@ def tokens(docs: DataFrame, file: str | None = None, capacity: int = CAPACITY, e
     end, width = np.array([end_id], "<u4").tobytes(), 4 * capacity
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordTokens(file)
+        encoder = word_tokens(file)
         for batch in batches:
             for part in text_slices(batch, "text"):
                 whole = [x + end for x in encoder.encode(byte_texts(part, "text"))]
