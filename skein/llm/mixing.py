@@ -30,7 +30,7 @@ ENTROPY = 0.9
 MAX_REPEATS = 4.0
 BLOCKS = 64
 #: Rows that one bucket of a source holds on average.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 1000
 
 
 def tempered(tokens: list[float], exponent: float) -> list[float]:
