@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
+import tempfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -11,3 +15,14 @@ def session(app: str = "skein", **conf: str) -> SparkSession:
     for k, v in conf.items():
         builder = builder.config(k.replace("__", "."), v)
     return builder.getOrCreate()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the executors, once for each Spark context, so that their Python workers can import it."""
+    context = spark.sparkContext
+    if getattr(context, "_skein_shipped", None) is None:
+        root = Path(__file__).resolve().parent
+        archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='spark-skein-')}/skein", "zip", root.parent, root.name)
+        context.addPyFile(archive)
+        context._skein_shipped = archive
+    return spark

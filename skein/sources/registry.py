@@ -57,6 +57,22 @@ class Registry:
         return [s for s in self.all() if s.enabled and exists(spark, s.path)]
 
 
+def configured(config: dict | None, home: str, readers: dict[str, Read]) -> list[Source]:
+    """The catalogue's sources as a nested configuration has them: ``tools: {tool: {enabled, storePath}}``.
+
+    Anything that isn't of the expected type counts as not given.
+    """
+    tools = config.get("tools") if isinstance(config, dict) else None
+    out = []
+    for tool, (label, place) in CATALOGUE.items():
+        own = tools.get(tool) if isinstance(tools, dict) else None
+        own = own if isinstance(own, dict) else {}
+        path = own.get("storePath")
+        path = path.strip() if isinstance(path, str) and path.strip() else f"{home.rstrip('/')}/{place}"
+        out.append(Source(tool, label, path, readers.get(tool), own.get("enabled") is not False))
+    return out
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)

@@ -173,3 +173,26 @@ def test_antigravity_steps(spark):
     assert [r.role for r in got] == ["user", "assistant"] + ["tool"] * 5 and got[1].metadata.model == "g"
     summaries = spark.createDataFrame([("a", ["file:///work/app"]), ("b", ["file:///else"]), ("c", [])], "session_id string, workspaces array<string>")
     assert sorted(r.session_id for r in artifacts.prune_trajectories(summaries, "/work/app").collect()) == ["a", "c"]
+
+
+def test_configured_sources(spark, tmp_path):
+    from skein.sources import registry
+
+    got = {s.tool: s for s in registry.configured({"tools": {"codex": {"enabled": False, "storePath": f" {tmp_path} "}, "cursor": {"storePath": 3}, "copilot": "x"}}, "/home/me/", {})}
+    assert set(got) == set(registry.CATALOGUE) and got["codex"].path == str(tmp_path) and not got["codex"].enabled
+    assert got["cursor"].path == "/home/me/.config/Cursor/User/workspaceStorage" and got["copilot"].enabled
+    assert all(s.enabled for s in registry.configured(None, "/h", {}))
+    known = registry.Registry()
+    for s in (registry.Source("codex", "a", "/none"), registry.Source("codex", "b", str(tmp_path)), registry.Source("cursor", "c", "/none")):
+        known.register(s)
+    assert [s.label for s in known.available(spark)] == ["b"]
+    known.deregister("codex")
+    assert known.get("codex") is None and len(known.all()) == 1
+
+
+def test_package_is_shipped_once(spark):
+    from skein.session import ship
+
+    ship(spark)
+    first = spark.sparkContext._skein_shipped
+    assert ship(spark).sparkContext._skein_shipped == first and first.endswith(".zip")
