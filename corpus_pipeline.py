@@ -14,7 +14,7 @@ from skein.llm.common import materialize, read_table
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep, without the lines that too many documents of their source share."""
-    return quality.clean(docs)
+    return quality.clean(docs, by_documents=True)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,7 +7,13 @@ boilerplate: they are removed, and a document that loses over ``depleted`` of it
 Copies must not make their own lines frequent. A text counts once per host however often it is repeated, and
 documents that agree in the lowest-hashed of their other lines (near copies) count once for a line. As
 that hash may fall on the one line in which near copies differ, a line counts as frequent only where its
-distinct holders are also ``INDEPENDENT`` of all texts that hold it.
+distinct holders are also ``INDEPENDENT`` of all texts that hold it. This is the rule that the SQL states; it
+lets most blocks of several shared lines off, as the lowest other line then lies in the block itself.
+
+``clean(by_documents=True)``, the stage of the pipeline, counts documents instead: every distinct text with a
+line is one, and only near copies share a vote. Lines of over ``limit`` texts are set aside; a text that has over
+``COPY`` of its words in them is a copy of those with the same longest line set aside, and the others are told
+apart by the longest line that is left. So one block of lines in a thousand documents has a thousand holders.
 
 One Arrow pass reads the texts and leaves 16 bytes of text hash, four counts and the line hashes. Contents
 are made distinct before their lines are exploded, counts are pre-aggregated before each shuffle, and
@@ -39,6 +45,8 @@ MAX_REPEAT_PERCENT = 30
 LINE_LIMIT = 20
 #: Share of the texts with a line that must be distinct holders for it to be boilerplate.
 INDEPENDENT = 0.3
+#: Words in lines above the limit, as a share, from which texts are near copies: two that differ in the rest have Jaccard 0.8.
+COPY = 8 / 9
 #: Share of a document's words that it may lose.
 DEPLETED = 0.7
 
@@ -152,6 +160,46 @@ def _frequent(feats: DataFrame, limit: int, depleted: float) -> DataFrame:
     return hit.groupBy("host", "text_hash").agg(F.collect_set("lines").alias("removed"), F.sum("line_words").alias("removed_words"))
 
 
+def vote(lines: list[int], line_words: list[int], shared: set[int]) -> int:
+    """The line that a text is counted by: near copies agree in it. ``shared`` are its lines above the limit."""
+    inside = sum(n for k, n in zip(lines, line_words, strict=True) if k in shared)
+    copy = inside >= COPY * sum(line_words)
+    return max((n, k) for k, n in zip(lines, line_words, strict=True) if (k in shared) == copy)[1]
+
+
+def _frequent_by_documents(feats: DataFrame, limit: int) -> DataFrame:
+    """As ``_frequent``, but a line counts once for every document that is no near copy of another."""
+    held = feats.select("host", "text_hash", "lines", "line_words")
+    contents = materialize(held.groupBy("host", "text_hash").agg(*(F.first(c).alias(c) for c in held.columns[2:])))
+    rows = contents.select("host", "text_hash", F.explode("lines").alias("line"))
+    above = lambda df, n: df.filter(n > limit).select(F.col("host").alias("h"), F.col("line").alias("l"))
+    on = F.col("host").eqNullSafe(F.col("h")) & (F.col("line") == F.col("l"))
+    many = materialize(above(rows.groupBy("host", "line").agg(F.count("*").alias("n")), F.col("n")))
+    shared = rows.join(many, on).groupBy("host", "text_hash").agg(F.collect_set("line").alias("shared"))
+    shared = shared.select(F.col("host").alias("h"), F.col("text_hash").alias("t"), "shared")
+    held = contents.join(shared, F.col("host").eqNullSafe(F.col("h")) & (F.col("text_hash") == F.col("t"))).drop("h", "t")
+    out = T.StructType([held.schema["host"], held.schema["text_hash"], T.StructField("line", T.LongType()), T.StructField("words", T.IntegerType()), T.StructField("vote", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(i).to_pylist() for i in range(5)]
+            at, line, words, votes = [], [], [], []
+            for i, (lines, line_words, common) in enumerate(zip(*columns[2:], strict=True)):
+                common = set(common)
+                key = vote(lines, line_words, common)
+                mine = [(k, n) for k, n in zip(lines, line_words, strict=True) if k in common]
+                at += [i] * len(mine)
+                line += [k for k, _ in mine]
+                words += [n for _, n in mine]
+                votes += [key] * len(mine)
+            keys = [batch.column(i).take(pa.array(at, pa.int64())) for i in (0, 1)]
+            yield pa.record_batch([*keys, pa.array(line, pa.int64()), pa.array(words, pa.int32()), pa.array(votes, pa.int64())], out.names)
+
+    voted = materialize(held.mapInArrow(run, out))
+    over = above(voted.groupBy("host", "line").agg(F.countDistinct("vote").alias("n")), F.col("n"))
+    return voted.join(over, on).groupBy("host", "text_hash").agg(F.collect_set("line").alias("removed"), F.sum("words").alias("removed_words"))
+
+
 def _join(feats: DataFrame, found: DataFrame) -> DataFrame:
     found = found.select(F.col("host").alias("h"), F.col("text_hash").alias("t"), "removed", "removed_words")
     on = F.col("host").eqNullSafe(F.col("h")) & (F.col("text_hash") == F.col("t"))
@@ -172,12 +220,13 @@ def verdicts(docs: DataFrame, host: str = "source", limit: int = LINE_LIMIT, dep
     return judged.select("doc_id", *counts, "base_failed", "removed_words", "kept")
 
 
-def clean(docs: DataFrame, host: str = "source", limit: int = LINE_LIMIT, depleted: float = DEPLETED) -> DataFrame:
+def clean(docs: DataFrame, host: str = "source", limit: int = LINE_LIMIT, depleted: float = DEPLETED, by_documents: bool = False) -> DataFrame:
     """The kept rows of ``docs`` without their frequent lines; columns stay, n_chars follows the text."""
     feats = materialize(features(docs, host))
     small = feats.select("host", "text_hash", "n_words", "n_repeat_words")
     contents = small.groupBy("host", "text_hash").agg(F.first("n_words").alias("n_words"), F.first("n_repeat_words").alias("n_repeat_words"))
-    judged = _judged(_join(contents, _frequent(feats, limit, depleted)), depleted)
+    frequent = _frequent_by_documents(feats, limit) if by_documents else _frequent(feats, limit, depleted)
+    judged = _judged(_join(contents, frequent), depleted)
     judged = judged.select(F.col("host").alias("__h"), F.lower(F.hex("text_hash")).alias("__t"), F.col("removed").alias("__removed"), F.col("kept").alias("__kept"))
     changed = materialize(judged.filter(~F.col("__kept") | F.col("__removed").isNotNull()))
     on = F.col(host).eqNullSafe(F.col("__h")) & (F.md5(F.coalesce("text", F.lit(""))) == F.col("__t"))

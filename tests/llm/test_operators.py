@@ -147,6 +147,24 @@ def test_quality_copies_do_not_condemn_themselves(spark):
     assert quality.verdicts(df).filter("kept").count() == 660
 
 
+def test_pipeline_removes_blocks_of_shared_lines(spark):
+    import corpus_pipeline as c
+
+    name = lambda i: "".join(chr(97 + int(x)) for x in str(i))
+    rows = []
+    for b in range(8):
+        block = "\n".join(f"shared line {name(b)} {w * 3} of {w * 4} block that each {w * 5} page {w * 6} holds" for w in "abcdef")
+        rows += [(1000 * b + i, f"h{b}", f"{block}\nthe one own line {name(i)} of a page {name(b)} has about as many words", "en", 0) for i in range(1000)]
+    own = "\n".join(f"own line {w} of words" for w in "klmnopqrstuvwxyz")
+    rows += [(9000 + i, "h0", f"{rows[0][2].rsplit(chr(10), 1)[0]}\n{own.replace('own', name(i))}", "en", 0) for i in range(3)]
+    body = "\n".join(f"line {w} of a clean document {w * 2} with words {w * 3} enough to stay {w * 4}" for w in "abcdefg")
+    rows += [(10000 + i, "near", f"{body}\nand a last line of its own {name(i)}", "en", 0) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string, lang string, n_chars long")
+    got = {r.doc_id: r.text for r in c.quality_rules(spark, df, DATA).collect()}
+    assert set(got) == {9000, 9001, 9002} | set(range(10000, 10600))
+    assert all("shared" not in got[i] for i in range(9000, 9003)) and all(body in got[i] for i in range(10000, 10600))
+
+
 def test_quality_edges(spark, edges, empty):
     assert quality.verdicts(edges).count() == len(EDGES) and quality.verdicts(empty).isEmpty()
     assert quality.clean(empty).isEmpty() and quality.clean(edges).columns == edges.columns
