@@ -1,0 +1,141 @@
+"""Near copies by MinHash bands, verified by the exact Jaccard similarity of word shingles.
+
+Two texts are near copies when their sets of five-word shingles have Jaccard 0.8 or more. ``BANDS`` signatures of ``ROWS``
+minima each bring candidates together: a pair at 0.8 shares one with probability 1 - (1 - 0.8**5)**20 = 0.9996.
+
+Every two texts that share a signature are compared, unless both are already linked: in each round the first texts of a bucket
+(1, then 8, 64, ...) are compared with its others, linked texts but one of a group leave all buckets, and the
+first texts leave theirs. A bucket of near copies is so done after a round, linear in its size, and none is cut.
+
+Defined results: texts of up to five words are one shingle, a text without a word is a set that equals only its like; a null
+doc_id keeps its row; repeated rows keep one row each; an empty table gives an empty result.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
+
+from skein.llm.common import byte_texts, materialize, text_slices
+from skein.llm.simhash import components
+
+SHINGLE = 5
+SIMILARITY = 0.8
+BANDS, ROWS = 20, 5
+SEED = 42
+#: Shingle hashes that are permuted at a time.
+BLOCK = 1 << 12
+
+_RNG = np.random.default_rng(SEED)
+_A = _RNG.integers(0, 1 << 63, (BANDS * ROWS, 1), np.uint64) * np.uint64(2) + np.uint64(1)
+_B = _RNG.integers(0, 1 << 63, (BANDS * ROWS, 1), np.uint64)
+
+
+def shingles(text: bytes | None, shingle: int = SHINGLE) -> set[bytes]:
+    words = (text or b"").lower().split()
+    if not words:
+        return {b""}
+    joined, at, starts = b" ".join(words), 0, []
+    for w in words:
+        starts.append(at)
+        at += len(w) + 1
+    starts.append(at)
+    n = max(1, len(words) - shingle + 1)
+    return {joined[a : b - 1] for a, b in zip(starts[:n], starts[min(shingle, len(words)) :], strict=True)}
+
+
+def jaccard(a: set[bytes], b: set[bytes]) -> float:
+    both = len(a & b)
+    return both / (len(a) + len(b) - both)
+
+
+def signatures(text: bytes | None) -> list[int]:
+    """One signed number for each band."""
+    hashes = np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in shingles(text)), np.uint64)
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(hashes), BLOCK):
+        np.minimum(least, (_A * hashes[i : i + BLOCK] + _B).min(1), out=least)
+    bands = least.reshape(BANDS, ROWS)
+    return np.array([xxhash.xxh64_intdigest(b.tobytes(), i) for i, b in enumerate(bands)], np.uint64).view(np.int64).tolist()
+
+
+def _signed(docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` before its text, and the signatures of every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_slices(batch, "text"):
+                keys = pa.array([signatures(t) for t in byte_texts(part, "text")], pa.list_(pa.int64()))
+                yield pa.record_batch([*part.columns[:-1], keys], out.names)
+
+    out = T.StructType([*docs.schema.fields[:-1], T.StructField("keys", T.ArrayType(T.LongType()))])
+    return docs.mapInArrow(run, out)
+
+
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose texts are near copies."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, set()
+        for batch in batches:
+            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            ok = []
+            for x, left, right in zip(a, byte_texts(batch, "left"), byte_texts(batch, "right"), strict=True):
+                if x != last:
+                    last, held = x, shingles(left)
+                ok.append(jaccard(held, shingles(right)) >= SIMILARITY)
+            keep = [i for i, good in enumerate(ok) if good]
+            yield pa.record_batch([pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64())], ["a", "b"])
+
+    # written, so that both sides of the second join are plain shuffles and the rows of a hub can be split
+    right = materialize(pairs.join(texts.select(F.col("t").alias("b"), F.col("text").alias("right")), "b"))
+    both = right.join(texts.select(F.col("t").alias("a"), F.col("text").alias("left")), "a").select("a", "b", "left", "right")
+    return materialize(both.mapInArrow(run, "a long, b long"))
+
+
+def links(entries: DataFrame, texts: DataFrame) -> DataFrame | None:
+    """Links (a, b) of near copies among ``entries`` (key, t); ``texts`` are t and text. None without candidates."""
+    found, roots = [], 1
+    while True:
+        shared = entries.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+        entries = materialize(entries.join(shared, "key"))
+        if entries.isEmpty():
+            return reduce(DataFrame.unionByName, found) if found else None
+        part = F.pmod(F.xxhash64("t"), F.lit(roots))
+        first = materialize(entries.groupBy("key", part.alias("part")).agg(F.min("t").alias("a")).select("key", "a"))
+        pairs = entries.join(first, "key").filter("a <> t")
+        pairs = materialize(pairs.select(F.least("a", "t").alias("a"), F.greatest("a", "t").alias("b")).distinct())
+        edges = _verified(pairs, texts)
+        found.append(edges)
+        gone = components(edges).filter("node <> root").select(F.col("node").alias("t"))
+        entries = entries.join(first.withColumnRenamed("a", "t"), ["key", "t"], "left_anti").join(gone, "t", "left_anti").select("key", "t")
+        roots *= 8
+
+
+def deduplicate(docs: DataFrame) -> DataFrame:
+    """One row of each group of near copies: the one with the smallest doc_id (nulls last, ties by hash)."""
+    hashes = [F.xxhash64("doc_id", "text").alias("__k"), F.xxhash64(F.coalesce("text", F.lit("")), F.lit(1)).alias("__t")]
+    ids = docs.select("doc_id", *hashes)
+    one = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "__k", "__t")
+    of = materialize(ids.groupBy(F.col("__t").alias("t")).agg(F.min(one).alias("one")))
+    first = docs.select("*", *hashes).join(of.select("one.__k", "one.__t"), ["__k", "__t"])
+    texts = materialize(first.select(F.col("__t").alias("t"), F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["t"]))
+    entries = _signed(texts.select("t", "text")).select(F.explode("keys").alias("key"), "t")
+    edges = links(materialize(entries), texts)
+    if edges is None:
+        kept = of.select("one")
+    else:
+        root = components(edges).select(F.col("node").alias("t"), "root")
+        kept = of.join(root, "t", "left").groupBy(F.coalesce("root", "t").alias("root")).agg(F.min("one").alias("one"))
+    kept = materialize(kept.select("one.__k", "one.__t"))
+    rows = docs.select("*", *hashes).join(kept, ["__k", "__t"])
+    least = rows.withColumn("__n", F.row_number().over(Window.partitionBy("__k", "__t").orderBy("__k"))).filter("__n = 1")
+    return least.select(*docs.columns)

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from conftest import DATA
-from skein.llm import ann, langid, mixing, packing, pii, quality, queries, secrets, sharding, simhash, toxicity
+from skein.llm import ann, langid, minhash, mixing, packing, pii, quality, queries, secrets, sharding, simhash, toxicity
 from skein.llm.common import bounded_rows, materialize, shared_dir
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -370,6 +370,38 @@ def test_links_find_every_close_pair(spark, bucket):
     assert all(len(g) == 1 for g in group.values()) and len({next(iter(g)) for g in group.values()}) == len(group)
 
 
+def planted_copies(rng, similarity, n):
+    """Pairs of texts of 400 words at about the similarity: runs of words at the end replaced."""
+    for _ in range(n):
+        ws = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+        cut = math.floor(396 * (1 - similarity) / (1 + similarity))
+        yield " ".join(ws), " ".join(ws[: 400 - cut] + [f"x{rng.randrange(10**6)}" for _ in range(cut)])
+
+
+def test_pipeline_links_planted_copies(spark, edges, empty):
+    import corpus_pipeline as c
+
+    rng, rows, want = random.Random(10), [], {}
+    for s in (0.6, 0.8, 0.85, 0.9, 0.95):
+        for a, b in planted_copies(rng, s, 200):
+            assert (minhash.jaccard(minhash.shingles(a.encode()), minhash.shingles(b.encode())) >= 0.8) == (s >= 0.8)
+            want.setdefault(s, []).append(len(rows) + 1)
+            rows += [(len(rows), a), (len(rows) + 1, b)]
+    body = [f"b{i}" for i in range(300)]
+    rows += [(5000 + i, " ".join([*body, f"own{i}"])) for i in range(300)]
+    stem = [f"s{i}" for i in range(100)]
+    rows += [(6000 + i, " ".join([*stem, *(f"r{i}w{j}" for j in range(35))])) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in c.near_dedup(spark, df, DATA).collect()}
+    recall = {s: 1 - len(kept & set(ids)) / len(ids) for s, ids in want.items()}
+    print("recall of near copies", recall)
+    assert recall.pop(0.6) == 0 and min(recall.values()) >= 0.99
+    assert {i for i in kept if 5000 <= i < 6000} == {5000} and len([i for i in kept if i >= 6000]) == 60
+    assert minhash.deduplicate(empty).isEmpty() and minhash.deduplicate(edges).columns == edges.columns
+    sets = {frozenset(minhash.shingles((r[1] or "").encode())) for r in EDGES}
+    assert minhash.deduplicate(edges).count() == len(sets)
+
+
 # 7 language
 
 
