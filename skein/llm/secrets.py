@@ -7,8 +7,8 @@ prefixes and assignments to a credential are secrets; plain numbers, hashes name
 The forest is fitted on about ``train_rows`` labelled findings chosen by hash (a documented bound); every candidate of
 every whole text is scored.
 
-A text is scanned once; its candidates leave as one row per distinct value, so that no shuffle is needed and texts don't
-travel. No Python runs on the executors.
+A text is scanned once; every occurrence of a candidate is scored by its own place, and a value is reported once for a text, at the
+place that scores highest. Only findings are shuffled, texts don't travel. No Python runs on the executors.
 
 Defined results: a null or empty text has no finding; a null path says nothing; equal rows give equal findings, a set for each;
 without labels of both classes the score is 0.5 and nothing is removed; an empty table gives an empty result; further columns are ignored.
@@ -27,7 +27,8 @@ from skein.llm.common import bounded_rows, materialize
 TRAIN_ROWS = 20_000
 TREES, DEPTH = 20, 6
 THRESHOLD = 0.5
-CANDIDATE = r"(?<![A-Za-z0-9+/_=.-])((?=[A-Za-z+/_=.-]*[0-9])[A-Za-z0-9+/_=-]{16,})"
+#: A dotted JWT, or a run of key characters with a digit; "=" is padding at its end alone, so that a name before "=" is no part of it.
+CANDIDATE = r"(?<![A-Za-z0-9+/_.-])(eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{4,}+(?:\.[A-Za-z0-9_-]++)?|(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{16,}+(?:={1,2}(?![A-Za-z0-9+/_=-]))?)"
 
 # Words that identifiers and examples are made of, prefixes of issued keys, and words beside findings.
 DICTIONARY = "access account admin api auth bucket cache cloud code config data demo dummy example file host http https index item key local login main name node page password path port private public query sample secret server service session source test text token type user value version".split()
@@ -45,21 +46,24 @@ def _share(value: Column, pattern: str) -> Column:
 
 
 def candidates(docs: DataFrame, path: str = "source") -> DataFrame:
-    """doc_id, start, length, found, value and the features of every distinct candidate of every text."""
-    rows = docs.select("doc_id", F.coalesce(F.col(path).cast("string"), F.lit("")).alias("path"), "text").filter(F.col("text").rlike(CANDIDATE))
-    every = rows.withColumn("all", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(1)))
-    each = every.withColumn("value", F.explode(F.array_distinct("all")))
-    value, text = F.col("value"), F.col("text")
-    at = each.select("doc_id", "path", "value", F.size(F.filter("all", lambda x: x == F.col("value"))).alias("found"), F.position(value, text).alias("at"), "text")
-    at = at.select("doc_id", "path", "value", "found", (F.col("at") - 1).cast("long").alias("start"), F.substring(text, F.greatest(F.col("at") - 40, F.lit(1)), F.least(F.col("at") - 1, F.lit(40))).alias("before"), F.substring(text, F.col("at") + F.length(value), F.lit(20)).alias("after"))
+    """doc_id, row, start, length, value and the features of every occurrence of a candidate in every text."""
+    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(path).cast("string"), F.lit("")).alias("path"), "text").filter(F.col("text").rlike(CANDIDATE))
+    every = rows.select("doc_id", "row", "path", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(1)).alias("all"), F.split("text", CANDIDATE, -1).alias("gaps"))
+    # a match starts after all gaps and matches before it
+    ends = F.aggregate(F.arrays_zip("gaps", "all"), F.array(F.lit(0).cast("long")), lambda got, x: F.concat(got, F.array(F.element_at(got, -1) + F.length(x["gaps"]) + F.coalesce(F.length(x["all"]), F.lit(0)))))
+    each = every.withColumn("ends", ends).select("*", F.posexplode("all").alias("i", "value"))
+    value, i = F.col("value"), F.col("i")
+    gap = lambda n: F.get("gaps", n)
+    near = lambda n: F.coalesce(F.get("all", n), F.lit(""))
+    at = each.select("doc_id", "row", "path", "value", (F.get("ends", i) + F.length(gap(i))).alias("start"), F.right(F.concat(F.when(i > 0, near(i - 1)).otherwise(""), gap(i)), F.lit(40)).alias("before"), F.left(F.concat(gap(i + 1), near(i + 1)), F.lit(20)).alias("after"))
     classes = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(value, "[a-z]", "a"), "[A-Z]", "b"), "[0-9]", "c"), "[^abc]", "d")
     flag = lambda c: F.coalesce(c, F.lit(False)).cast("double")
     before, after = F.col("before"), F.col("after")
     return at.select(
         "doc_id",
+        "row",
         "start",
         F.length(value).cast("long").alias("length_chars"),
-        "found",
         "value",
         F.length(value).cast("double").alias("length"),
         _share(value, "[0-9]").alias("digits"),
@@ -106,5 +110,8 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, path: str = "source
         scored = found.withColumn("score", F.lit(0.5))
     else:
         scored = model.transform(VectorAssembler(inputCols=FEATURES, outputCol="x").transform(found)).withColumn("score", vector_to_array("probability")[1])
+    best = F.max(F.struct("score", (-F.col("start")).alias("back"), "length_chars")).alias("best")
+    scored = scored.groupBy("doc_id", "row", "value").agg(F.count("*").cast("int").alias("found"), best)
+    scored = scored.select("doc_id", (-F.col("best.back")).alias("start"), "best.length_chars", "found", "value", "best.score")
     masked = F.concat(F.substring("value", 1, 4), F.lit("..."))
     return scored.select("doc_id", "start", F.col("length_chars").alias("length"), "found", F.sha2("value", 256).alias("value_sha256"), masked.alias("masked"), "score", (F.col("score") >= threshold).alias("is_secret"))
