@@ -4,20 +4,14 @@ Every line is normalised (ASCII lower case, digits to 0, white space collapsed)
 counted per host over the distinct documents that hold it. Lines above ``limit`` documents of a host are
 boilerplate: they are removed, and a document that loses over ``depleted`` of its words is rejected.
 
-Copies must not make their own lines frequent. A text counts once per host however often it is repeated, and
-documents that agree in the lowest-hashed of their other lines (near copies) count once for a line. As
-that hash may fall on the one line in which near copies differ, a line counts as frequent only where its
-distinct holders are also ``INDEPENDENT`` of all texts that hold it. This is the rule that the SQL states; it
-lets most blocks of several shared lines off, as the lowest other line then lies in the block itself.
-
-``clean(by_documents=True)``, the stage of the pipeline, counts documents instead: every distinct text with a
-line is one, and only near copies share a vote. Lines of over ``limit`` texts are set aside; a text that has over
-``COPY`` of its words in them is a copy of those with the same longest line set aside, and the others are told
-apart by the longest line that is left. So one block of lines in a thousand documents has a thousand holders.
-
-One Arrow pass reads the texts and leaves 16 bytes of text hash, four counts and the line hashes. Contents
+A document is a distinct text of a host, however often it is repeated. Near copies are one document: a text with over ``COPY``
+of its words in lines that over ``limit`` texts of its host hold (two such texts have a similarity above 0.8) is known by
+the longest of those lines, so that the copies of a page don't make its own lines frequent.
+
+One Arrow pass reads the texts and leaves 16 bytes of text hash, counts and the line hashes. Contents
 are made distinct before their lines are exploded, counts are pre-aggregated before each shuffle, and
-only hashes move; a line that a third of all documents share is one pre-aggregated group.
+only hashes move; a line that a third of all documents share is one pre-aggregated group. ``clean`` reads the texts a second time and cuts
+the frequent lines where they lie: up to ``LINES_IN_TASK`` of them go to every task, beyond that a join brings each text its own.
 
 Defined results: a null or empty text has zero words and fails the base rules; a null host is a host of its
 own; repeated rows get equal verdicts, one row each; an empty table gives an empty result; lines without a
@@ -36,37 +30,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skein.llm.common import byte_texts, materialize, text_slices
+from skein.llm.common import byte_texts, map_batches, materialize, spare, text_slices
 
 MIN_WORDS = 20
 REPEAT_WINDOW = 8
 MAX_REPEAT_PERCENT = 30
 #: Distinct documents of one host that may share a line.
 LINE_LIMIT = 20
-#: Share of the texts with a line that must be distinct holders for it to be boilerplate.
-INDEPENDENT = 0.3
-#: Words in lines above the limit, as a share, from which texts are near copies: two that differ in the rest have Jaccard 0.8.
-COPY = 8 / 9
+#: Ninths of a text's words in lines above the limit, beyond which it is a near copy: two that differ in the rest have a similarity above 0.8.
+COPY_NINTHS = 8
 #: Share of a document's words that it may lose.
 DEPLETED = 0.7
+#: Frequent lines that are sent to every task; more of them are joined.
+LINES_IN_TASK = 200_000
 
 _NORMAL = bytes.maketrans(bytes(range(65, 91)) + b"0123456789", bytes(range(97, 123)) + b"0" * 10)
 _SYMBOLS = re.compile(rb"[#*$%&|<>]")
 _CONTINUATION = bytes(range(0x80, 0xC0))
-
-FEATURES = T.StructType(
-    [
-        T.StructField("n_words", T.LongType()),
-        T.StructField("word_chars", T.LongType()),
-        T.StructField("n_symbols", T.LongType()),
-        T.StructField("n_dup_lines", T.LongType()),
-        T.StructField("n_repeat_words", T.LongType()),
-        T.StructField("text_hash", T.BinaryType()),
-        T.StructField("lines", T.ArrayType(T.LongType())),
-        T.StructField("line_words", T.ArrayType(T.IntegerType())),
-        T.StructField("others", T.ArrayType(T.LongType())),
-    ]
-)
+BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def repeated_words(words: list[bytes], window: int = REPEAT_WINDOW) -> int:
@@ -94,158 +75,150 @@ def repeated_words(words: list[bytes], window: int = REPEAT_WINDOW) -> int:
     return int((np.cumsum(cover[:n]) > 0).sum())
 
 
-def normal_line(line: bytes) -> bytes:
-    return b" ".join(line.translate(_NORMAL).split())
+def base_counts(text: bytes | None) -> tuple[int, ...]:
+    """The BASE counts of one text."""
+    text = text or b""
+    words = text.split()
+    raw = [x for x in text.split(b"\n") if x and not x.isspace()]
+    chars = sum(map(len, words)) - sum(len(w) - len(w.translate(None, _CONTINUATION)) for w in words if not w.isascii())
+    return len(words), chars, len(_SYMBOLS.findall(text)), len(raw) - len(set(raw)), repeated_words(words)
 
 
-def line_hash(line: bytes) -> int:
-    return int.from_bytes(hashlib.md5(line).digest()[:8], "big")
+def line_hash(words: list[bytes]) -> int:
+    """Hash, as a signed number, of a line with these normalised words."""
+    return int.from_bytes(hashlib.md5(b" ".join(words)).digest()[:8], "big", signed=True)
 
 
-def _signed(xs: list[int]) -> list[int]:
-    return [x - (1 << 64) if x >> 63 else x for x in xs]
+def normal_words(line: bytes) -> list[bytes]:
+    return line.translate(_NORMAL).split()
 
 
-def describe(text: bytes | None) -> tuple:
-    """The FEATURES of one text."""
-    text = text or b""
-    words = text.split()
-    raw = [x for x in text.split(b"\n") if x and not x.isspace()]
+def line_counts(text: bytes | None) -> dict[int, int]:
+    """Words of each line hash of a text."""
     counts: dict[int, int] = {}
-    for line in raw:
-        parts = line.translate(_NORMAL).split()
-        key = line_hash(b" ".join(parts))
-        counts[key] = counts.get(key, 0) + len(parts)
-    low = sorted(counts)[:2]
-    others = [low[1] if len(low) > 1 and k == low[0] else low[0] if k != low[0] else 0 for k in counts]
-    return (
-        len(words),
-        sum(map(len, words)) - sum(len(w) - len(w.translate(None, _CONTINUATION)) for w in words if not w.isascii()),
-        len(_SYMBOLS.findall(text)),
-        len(raw) - len(set(raw)),
-        repeated_words(words),
-        hashlib.md5(text).digest(),
-        _signed(list(counts)),
-        list(counts.values()),
-        _signed(others),
-    )
-
-
-def features(docs: DataFrame, host: str = "source") -> DataFrame:
-    """doc_id, host and FEATURES of every row."""
+    for line in (text or b"").split(b"\n"):
+        if words := normal_words(line):
+            key = line_hash(words)
+            counts[key] = counts.get(key, 0) + len(words)
+    return counts
+
+
+def cut_lines(text: bytes, lost: set[int]) -> tuple[bytes, int]:
+    """The text without the lines of ``lost``, and the number of words that it lost."""
+    kept, gone = [], 0
+    for line in text.split(b"\n"):
+        words = normal_words(line)
+        if words and line_hash(words) in lost:
+            gone += len(words)
+        else:
+            kept.append(line)
+    return (b"\n".join(kept), gone) if gone else (text, 0)
+
+
+def features(docs: DataFrame, host: str = "source", base: bool = True) -> DataFrame:
+    """doc_id, host, text_hash, lines and line_words of every row, and its BASE counts."""
     ids = docs.select("doc_id", F.col(host).alias("host"), "text")
-    out = T.StructType([ids.schema["doc_id"], ids.schema["host"], *FEATURES])
-    arrow = pa.schema([("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()), ("n_repeat_words", pa.int64()), ("text_hash", pa.binary()), ("lines", pa.list_(pa.int64())), ("line_words", pa.list_(pa.int32())), ("others", pa.list_(pa.int64()))])
+    counts = BASE if base else ()
+    more = [*((c, T.LongType(), pa.int64()) for c in counts), ("text_hash", T.BinaryType(), pa.binary()), ("lines", T.ArrayType(T.LongType()), pa.list_(pa.int64())), ("line_words", T.ArrayType(T.IntegerType()), pa.list_(pa.int32()))]
+    out = T.StructType([ids.schema["doc_id"], ids.schema["host"], *(T.StructField(n, t) for n, t, _ in more)])
+
+    def describe(text: bytes | None) -> tuple:
+        lines = line_counts(text)
+        return (*(base_counts(text) if base else ()), hashlib.md5(text or b"").digest(), list(lines), list(lines.values()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch, "text"):
-                rows = [describe(t) for t in byte_texts(part, "text")]
-                columns = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)]
-                yield pa.record_batch([part.column(0), part.column(1), *columns], ["doc_id", "host", *arrow.names])
+                columns = zip(*map(describe, byte_texts(part, "text")), strict=True)
+                yield pa.record_batch([part.column(0), part.column(1), *(pa.array(c, kind) for c, (_, _, kind) in zip(columns, more, strict=True))], out.names)
 
-    return ids.mapInArrow(run, out)
+    return map_batches(ids, run, out)
 
 
-def _frequent(feats: DataFrame, limit: int, depleted: float) -> DataFrame:
-    """host, text_hash, removed (line hashes) and removed_words of contents that hold lines above the limit."""
-    held = feats.select("host", "text_hash", "lines", "line_words", "others")
-    contents = materialize(held.groupBy("host", "text_hash").agg(*(F.first(c).alias(c) for c in held.columns[2:])))
-    rows = contents.select("host", "text_hash", F.explode(F.arrays_zip("lines", "line_words", "others")).alias("x"))
-    rows = rows.select("host", "text_hash", "x.lines", "x.line_words", "x.others")
-    over = rows.groupBy("host", "lines").agg(F.countDistinct("others").alias("n"), F.count("*").alias("all"))
-    over = over.filter((F.col("n") > limit) & (F.col("n") >= INDEPENDENT * F.col("all")))
-    over = over.select(F.col("host").alias("h"), F.col("lines").alias("l"))
-    hit = rows.join(over, F.col("host").eqNullSafe(F.col("h")) & (F.col("lines") == F.col("l")))
-    return hit.groupBy("host", "text_hash").agg(F.collect_set("lines").alias("removed"), F.sum("line_words").alias("removed_words"))
+def _same(left: str, right: str):
+    return F.col(left).eqNullSafe(F.col(right))
 
 
-def vote(lines: list[int], line_words: list[int], shared: set[int]) -> int:
-    """The line that a text is counted by: near copies agree in it. ``shared`` are its lines above the limit."""
-    inside = sum(n for k, n in zip(lines, line_words, strict=True) if k in shared)
-    copy = inside >= COPY * sum(line_words)
-    return max((n, k) for k, n in zip(lines, line_words, strict=True) if (k in shared) == copy)[1]
+def _lines(feats: DataFrame) -> DataFrame:
+    """host, text_hash, total, line and words of the lines of every distinct text of a host."""
+    held = feats.select("host", "text_hash", "lines", "line_words")
+    contents = materialize(held.groupBy("host", "text_hash").agg(F.first("lines").alias("lines"), F.first("line_words").alias("line_words")))
+    total = F.aggregate("line_words", F.lit(0).cast("long"), lambda a, x: a + x)
+    each = contents.select("host", "text_hash", total.alias("total"), F.explode(F.arrays_zip("lines", "line_words")).alias("x"))
+    return each.select("host", "text_hash", "total", F.col("x.lines").alias("line"), F.col("x.line_words").alias("words"))
 
 
-def _frequent_by_documents(feats: DataFrame, limit: int) -> DataFrame:
-    """As ``_frequent``, but a line counts once for every document that is no near copy of another."""
-    held = feats.select("host", "text_hash", "lines", "line_words")
-    contents = materialize(held.groupBy("host", "text_hash").agg(*(F.first(c).alias(c) for c in held.columns[2:])))
-    rows = contents.select("host", "text_hash", F.explode("lines").alias("line"))
-    above = lambda df, n: df.filter(n > limit).select(F.col("host").alias("h"), F.col("line").alias("l"))
-    on = F.col("host").eqNullSafe(F.col("h")) & (F.col("line") == F.col("l"))
-    many = materialize(above(rows.groupBy("host", "line").agg(F.count("*").alias("n")), F.col("n")))
-    shared = rows.join(many, on).groupBy("host", "text_hash").agg(F.collect_set("line").alias("shared"))
-    shared = shared.select(F.col("host").alias("h"), F.col("text_hash").alias("t"), "shared")
-    held = contents.join(shared, F.col("host").eqNullSafe(F.col("h")) & (F.col("text_hash") == F.col("t"))).drop("h", "t")
-    out = T.StructType([held.schema["host"], held.schema["text_hash"], T.StructField("line", T.LongType()), T.StructField("words", T.IntegerType()), T.StructField("vote", T.LongType())])
+def _above(counted: DataFrame, limit: int) -> DataFrame:
+    return counted.filter(F.col("n") > limit).select(F.col("host").alias("h"), F.col("line").alias("l"))
+
+
+def frequent_lines(feats: DataFrame, limit: int = LINE_LIMIT) -> tuple[DataFrame, DataFrame]:
+    """Lines (h, l) that over ``limit`` documents of a host hold, and the rows of lines that over ``limit`` texts hold."""
+    rows = _lines(feats)
+    many = materialize(_above(rows.groupBy("host", "line").agg(F.count("*").alias("n")), limit))
+    held = materialize(rows.join(many, _same("host", "h") & (F.col("line") == F.col("l"))).drop("h", "l"))
+    known = held.groupBy("host", "text_hash").agg(F.sum("words").alias("inside"), F.first("total").alias("total"), F.max(F.struct("words", "line")).alias("longest"))
+    copy = F.col("inside") * 9 > F.col("total") * COPY_NINTHS
+    name = F.when(copy, F.unhex(F.lpad(F.hex("longest.line"), 16, "0"))).otherwise(F.col("text_hash"))
+    known = known.select(F.col("host").alias("h"), F.col("text_hash").alias("t"), name.alias("document"))
+    named = held.join(known, _same("host", "h") & (F.col("text_hash") == F.col("t")))
+    return materialize(_above(named.groupBy("host", "line").agg(F.countDistinct("document").alias("n")), limit)), held
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in range(5)]
-            at, line, words, votes = [], [], [], []
-            for i, (lines, line_words, common) in enumerate(zip(*columns[2:], strict=True)):
-                common = set(common)
-                key = vote(lines, line_words, common)
-                mine = [(k, n) for k, n in zip(lines, line_words, strict=True) if k in common]
-                at += [i] * len(mine)
-                line += [k for k, _ in mine]
-                words += [n for _, n in mine]
-                votes += [key] * len(mine)
-            keys = [batch.column(i).take(pa.array(at, pa.int64())) for i in (0, 1)]
-            yield pa.record_batch([*keys, pa.array(line, pa.int64()), pa.array(words, pa.int32()), pa.array(votes, pa.int64())], out.names)
-
-    voted = materialize(held.mapInArrow(run, out))
-    over = above(voted.groupBy("host", "line").agg(F.countDistinct("vote").alias("n")), F.col("n"))
-    return voted.join(over, on).groupBy("host", "text_hash").agg(F.collect_set("line").alias("removed"), F.sum("words").alias("removed_words"))
-
-
-def _join(feats: DataFrame, found: DataFrame) -> DataFrame:
-    found = found.select(F.col("host").alias("h"), F.col("text_hash").alias("t"), "removed", "removed_words")
-    on = F.col("host").eqNullSafe(F.col("h")) & (F.col("text_hash") == F.col("t"))
-    return feats.join(found, on, "left").drop("h", "t")
-
-
-def _judged(df: DataFrame, depleted: float) -> DataFrame:
-    failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)
-    removed = F.coalesce("removed_words", F.lit(0))
-    return df.withColumns({"base_failed": failed, "removed_words": removed, "kept": ~failed & (removed <= F.col("n_words") * depleted)})
+
+def _removed(feats: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
+    """The frequent lines, and h, t, removed (hashes) and removed_words of each text of a host that holds some."""
+    over, held = frequent_lines(feats, limit)
+    hit = held.join(over, _same("host", "h") & (F.col("line") == F.col("l")))
+    return over, hit.groupBy(F.col("host").alias("h"), F.col("text_hash").alias("t")).agg(F.collect_set("line").alias("removed"), F.sum("words").alias("removed_words"))
 
 
 def verdicts(docs: DataFrame, host: str = "source", limit: int = LINE_LIMIT, depleted: float = DEPLETED) -> DataFrame:
     """The counts of every row, base_failed, removed_words and kept."""
     feats = materialize(features(docs, host))
-    judged = _judged(_join(feats.drop("lines", "line_words", "others"), _frequent(feats, limit, depleted)), depleted)
-    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    return judged.select("doc_id", *counts, "base_failed", "removed_words", "kept")
+    found = _removed(feats, limit)[1].drop("removed")
+    rows = feats.drop("lines", "line_words").join(found, _same("host", "h") & (F.col("text_hash") == F.col("t")), "left")
+    failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)
+    removed = F.coalesce("removed_words", F.lit(0))
+    return rows.select("doc_id", *BASE, failed.alias("base_failed"), removed.alias("removed_words"), (~failed & (removed <= F.col("n_words") * depleted)).alias("kept"))
 
 
-def clean(docs: DataFrame, host: str = "source", limit: int = LINE_LIMIT, depleted: float = DEPLETED, by_documents: bool = False) -> DataFrame:
+def clean(docs: DataFrame, host: str = "source", limit: int = LINE_LIMIT, depleted: float = DEPLETED, lines_in_task: int = LINES_IN_TASK) -> DataFrame:
     """The kept rows of ``docs`` without their frequent lines; columns stay, n_chars follows the text."""
-    feats = materialize(features(docs, host))
-    small = feats.select("host", "text_hash", "n_words", "n_repeat_words")
-    contents = small.groupBy("host", "text_hash").agg(F.first("n_words").alias("n_words"), F.first("n_repeat_words").alias("n_repeat_words"))
-    frequent = _frequent_by_documents(feats, limit) if by_documents else _frequent(feats, limit, depleted)
-    judged = _judged(_join(contents, frequent), depleted)
-    judged = judged.select(F.col("host").alias("__h"), F.lower(F.hex("text_hash")).alias("__t"), F.col("removed").alias("__removed"), F.col("kept").alias("__kept"))
-    changed = materialize(judged.filter(~F.col("__kept") | F.col("__removed").isNotNull()))
-    on = F.col(host).eqNullSafe(F.col("__h")) & (F.md5(F.coalesce("text", F.lit(""))) == F.col("__t"))
-    left = docs.join(changed, on, "left").filter(F.coalesce("__kept", F.lit(True))).select(*docs.columns, "__removed")
+    feats = materialize(features(docs, host, base=False))
+    over, of_text = _removed(feats, limit)
+    host_at, lost_at = spare(docs, "host"), spare(docs, "lost")
+    rows = docs.withColumn(host_at, F.col(host))
+    by_host: dict = {}
+    if joined := over.limit(lines_in_task + 1).count() > lines_in_task:
+        found = materialize(of_text.select("h", F.lower(F.hex("t")).alias("t"), F.col("removed").alias(lost_at)))
+        rows = rows.join(found, _same(host_at, "h") & (F.md5(F.coalesce("text", F.lit(""))) == F.col("t")), "left").drop("h", "t")
+    else:
+        for r in over.collect():
+            by_host.setdefault(r.h, set()).add(r.l)
+
+    def kept(text: bytes | None, lost: set[int]) -> bytes | None:
+        n_words, *_, again = base_counts(text)
+        if n_words < MIN_WORDS or again * 100 > n_words * MAX_REPEAT_PERCENT:
+            return None
+        left, gone = cut_lines(text, lost)
+        return left if gone <= n_words * depleted else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.schema.get_field_index("text")
-            removed, texts = batch.column(batch.num_columns - 1).to_pylist(), byte_texts(batch, "text")
-            for i, gone in enumerate(removed):
-                if gone:
-                    lost = {x & (1 << 64) - 1 for x in gone}
-                    texts[i] = b"\n".join(x for x in texts[i].split(b"\n") if not x.split() or line_hash(normal_line(x)) not in lost)
-            columns = [*batch.columns[:-1]]
-            columns[at] = pa.array(texts, pa.binary()).cast(batch.column(at).type)
-            yield pa.record_batch(columns, batch.schema.names[:-1])
+            for part in text_slices(batch, "text"):
+                names = part.schema.names
+                hosts = part.column(names.index(host_at)).to_pylist()
+                lost = [set(x or ()) for x in part.column(names.index(lost_at)).to_pylist()] if joined else [by_host.get(h, ()) for h in hosts]
+                texts = list(map(kept, byte_texts(part, "text"), lost))
+                stay = pa.array([t is not None for t in texts])
+                columns = [part.column(i) for i in range(len(docs_schema))]
+                at = names.index("text")
+                columns[at] = pa.array(texts, pa.binary()).cast(columns[at].type)
+                yield pa.record_batch(columns, names[: len(columns)]).filter(stay)
 
-    kept = left.mapInArrow(run, docs.schema)
-    return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else kept
+    docs_schema = docs.schema
+    out = map_batches(rows, run, docs_schema)
+    return out.withColumn("n_chars", F.length("text").cast(docs_schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 ORACLE_SQL = rf"""
@@ -261,13 +234,20 @@ raw AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d),
 line AS (SELECT r, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS ws FROM raw),
 dup AS (SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines FROM line WHERE len(ws) > 0 GROUP BY r),
 norm AS (
-  SELECT r, substr(md5(regexp_replace(translate(array_to_string(ws, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9]', '0', 'g')), 1, 16) AS h, sum(len(ws)) AS n
+  SELECT r, regexp_replace(translate(array_to_string(ws, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9]', '0', 'g') AS h, sum(len(ws)) AS n
   FROM line WHERE len(ws) > 0 GROUP BY ALL),
-other AS (
-  SELECT r, h, n, coalesce(CASE WHEN h = min(h) OVER p THEN nth_value(h, 2) OVER (PARTITION BY r ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) ELSE min(h) OVER p END, '') AS o
-  FROM norm WINDOW p AS (PARTITION BY r)),
-freq AS (SELECT source, h FROM other JOIN d USING (r) GROUP BY source, h HAVING count(DISTINCT o) > {LINE_LIMIT} AND count(DISTINCT o) >= {INDEPENDENT} * count(DISTINCT md5(text))),
-lost AS (SELECT r, sum(n) AS removed_words FROM other JOIN d USING (r) JOIN freq ON freq.h = other.h AND freq.source IS NOT DISTINCT FROM d.source GROUP BY r),
+held AS (SELECT DISTINCT source, text, h, n FROM norm JOIN d USING (r)),
+many AS (SELECT source, h FROM held GROUP BY source, h HAVING count(*) > {LINE_LIMIT}),
+inside AS (SELECT held.* FROM held JOIN many ON many.h = held.h AND many.source IS NOT DISTINCT FROM held.source),
+total AS (SELECT source, text, sum(n) AS total FROM held GROUP BY source, text),
+longest AS (SELECT source, text, sum(n) AS n, arg_max(h, (n, md5_signed)) AS h FROM (SELECT *, md5(h)[1:1] < '8' AS s, (s, md5(h)[1:16]) AS md5_signed FROM inside) GROUP BY source, text),
+name AS (
+  SELECT l.source, l.text, CASE WHEN l.n * 9 > t.total * {COPY_NINTHS} THEN 'line ' || l.h ELSE 'text ' || l.text END AS document
+  FROM longest l JOIN total t ON t.text = l.text AND t.source IS NOT DISTINCT FROM l.source),
+freq AS (
+  SELECT i.source, i.h FROM inside i JOIN name ON name.text = i.text AND name.source IS NOT DISTINCT FROM i.source
+  GROUP BY i.source, i.h HAVING count(DISTINCT document) > {LINE_LIMIT}),
+lost AS (SELECT r, sum(n) AS removed_words FROM norm JOIN d USING (r) JOIN freq ON freq.h = norm.h AND freq.source IS NOT DISTINCT FROM d.source GROUP BY r),
 base AS (
   SELECT doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars,
     length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
