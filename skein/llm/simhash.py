@@ -10,13 +10,22 @@ gives a spanning forest instead of its pairs, and a bucket of over ``BUCKET`` fi
 more by signatures of its other segment (two halves of 16 bits, one wildcard), after which at most 2**18
 fingerprints can share a bucket.
 
-Defined results: a null text, an empty text or one of white space alone has no word and fingerprint zero;
+``deduplicate`` links texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more. Two sets that much
+alike differ in about 15 of 100 fingerprint bits, so that its fingerprints are longer: as many segments of log2(texts) + 6 bits as give a pair at 0.8 a chance of 0.99 to have one that differs by at most one
+bit; nearer pairs have more. The segments' one-wildcard variants bring candidates together, 64 further bits thin them out, the exact
+similarity of the two texts decides. A variant holds at most two segment values, which are found in groups of half a segment
+(bounded by the number of its values, not of texts). Every two texts that share a variant are compared unless they are linked already.
+
+Defined results: a null text, an empty text or one of white space alone has no word and fingerprint zero, and such texts are copies of each other;
 a null doc_id keeps its row (component_id is then the smallest doc_id that is reachable, null if none);
-repeated rows keep one row each; an empty table gives an empty result; further columns are ignored.
+repeated rows keep one row each in ``near_duplicates``, one of them stays in ``deduplicate``; an empty table gives an empty
+result; further columns are ignored or kept.
 """
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from skein.llm.common import byte_texts, materialize, text_slices
+from skein.llm.common import byte_texts, map_batches, materialize, spare, text_slices
 
 DISTANCE = 3
 SHINGLE = 3
@@ -36,6 +45,12 @@ SEED = 42
 BUCKET = 4096
 #: Shingle hashes whose bits are counted at a time.
 BLOCK = 1 << 15
+#: Words of a shingle, least similarity, and chance of finding a pair just there, of ``deduplicate``.
+WIDE_SHINGLE, SIMILARITY, FOUND = 5, 0.8, 0.99
+#: Bits that pairs may differ in of the 64 that thin candidates out: a pair at 0.8 differs in 9.7 on average, with a deviation of 2.9.
+THIN = 22
+#: Rows that are broadcast at most (16 bytes each), and the factor by which hubs of a bucket grow with each round.
+FEW, HUBS = 1_000_000, 8
 
 
 def simhash_bytes(text: bytes | None, shingle: int = SHINGLE) -> bytes:
@@ -70,7 +85,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
     ids = docs.select(*(c for c in docs.columns if c != "text"), "text")
     out = T.StructType([*ids.schema.fields[:-1], T.StructField("fp", T.LongType())])
-    return ids.mapInArrow(run, out)
+    return map_batches(ids, run, out)
 
 
 def forest(fps: np.ndarray, distance: int = DISTANCE) -> tuple[np.ndarray, np.ndarray]:
@@ -173,7 +188,7 @@ def _second_signatures(df: DataFrame) -> DataFrame:
 
 def _links(signed: DataFrame, most: int | None) -> DataFrame:
     dealt = signed.repartition("key").sortWithinPartitions("key")
-    return materialize(dealt.mapInArrow(_bucket_links(most), "kind int, a long, b long"))
+    return materialize(map_batches(dealt, _bucket_links(most), "kind int, a long, b long"))
 
 
 def links(distinct_fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
@@ -230,15 +245,212 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bucket: int = BUCKE
     return prints.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicate(docs: DataFrame, shingle: int = SHINGLE, bucket: int = BUCKET) -> DataFrame:
-    """One row of each group of near copies: the one with the smallest doc_id (nulls last, ties by hash)."""
-    hashes = [F.xxhash64("doc_id", "text").alias("__k"), F.xxhash64(F.coalesce("text", F.lit("")), F.lit(1)).alias("__t")]
-    prints = materialize(fingerprints(docs.select("doc_id", *hashes, "text"), shingle))
-    of_fp = prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "__k", "__t")).alias("one"))
-    of_fp = materialize(of_fp)
-    roots = components(links(of_fp.select("fp"), bucket)).select(F.col("node").alias("fp"), "root")
-    kept = of_fp.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("one").alias("one"))
-    kept = materialize(kept.select("one.__k", "one.__t"))
-    rows = docs.select("*", *hashes).join(kept, ["__k", "__t"])
-    first = rows.withColumn("__n", F.row_number().over(Window.partitionBy("__k", "__t").orderBy("__k"))).filter("__n = 1")
-    return first.select(*docs.columns)
+
+
+# near copies by similarity
+
+
+def segmentation(n: int, similarity: float = SIMILARITY, found: float = FOUND) -> tuple[int, int]:
+    """Bits of a segment (even) and number of segments for ``n`` texts."""
+    bits = max(20, math.ceil(math.log2(max(n, 2))) + 6)
+    bits += bits % 2
+    differ = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    near = (1 - differ) ** bits + bits * differ * (1 - differ) ** (bits - 1)
+    return bits, math.ceil(math.log(1 - found) / math.log(1 - near))
+
+
+def shingle_set(text: bytes | None, shingle: int = WIDE_SHINGLE) -> set[bytes]:
+    words = (text or b"").lower().split()
+    joined, at, starts = b" ".join(words), 0, [0]
+    for w in words:
+        at += len(w) + 1
+        starts.append(at)
+    n = max(1, len(words) - shingle + 1)
+    return {joined[a : b - 1] for a, b in zip(starts[:n], starts[min(shingle, len(words)) :], strict=True)} if words else {b""}
+
+
+def jaccard(a: set[bytes], b: set[bytes]) -> float:
+    both = len(a & b)
+    return both / (len(a) + len(b) - both)
+
+
+@functools.cache
+def multipliers(words: int) -> np.ndarray:
+    return np.random.default_rng(SEED).integers(0, 1 << 63, words, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def wide_bits(texts: list[bytes | None], columns: int) -> np.ndarray:
+    """(texts, columns) of zeros and ones: the long fingerprints. A shingle's XXH64 is mixed anew for each 64 bits."""
+    digest, mix = xxhash.xxh64_intdigest, multipliers(-(-columns // 64))
+    out = np.empty((len(texts), len(mix) * 64), np.uint8)
+    for k, text in enumerate(texts):
+        shingles = shingle_set(text)
+        hashes = np.fromiter((digest(x, SEED) for x in shingles), np.uint64, len(shingles))
+        votes = np.zeros(out.shape[1], np.int64)
+        for i in range(0, len(hashes), 255):  # sums of up to 255 bits stay bytes
+            x = hashes[i : i + 255, None] * mix
+            x ^= x >> np.uint64(32)
+            x *= mix[::-1]
+            x ^= x >> np.uint64(29)
+            votes += np.unpackbits(x.view(np.uint8), axis=1).sum(0, dtype=np.uint8)
+        out[k] = 2 * votes > len(hashes)
+    return out[:, :columns]
+
+
+def wide_fingerprints(docs: DataFrame, bits: int, segments: int) -> DataFrame:
+    """The columns of ``docs`` before its text, thin (64 bits) and segments (number and value of each, in one long)."""
+    ids = docs.select(*(c for c in docs.columns if c != "text"), "text")
+    out = T.StructType([*ids.schema.fields[:-1], T.StructField("thin", T.LongType()), T.StructField("segments", T.ArrayType(T.LongType()))])
+    weights = 1 << np.arange(bits, dtype=np.int64)
+    numbers = np.arange(segments, dtype=np.int64) << bits
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_slices(batch, "text"):
+                found = wide_bits(byte_texts(part, "text"), 64 + bits * segments)
+                thin = np.packbits(found[:, :64], axis=1).view(">i8").ravel().astype(np.int64)
+                values = found[:, 64:].reshape(-1, segments, bits) @ weights + numbers
+                cuts = pa.array(np.arange(len(found) + 1, dtype=np.int32) * segments)
+                yield pa.record_batch([*part.columns[:-1], pa.array(thin), pa.ListArray.from_arrays(cuts, pa.array(values.ravel()))], out.names)
+
+    return map_batches(ids, run, out)
+
+
+def _shared_variants(values: DataFrame, bits: int) -> DataFrame:
+    """(v, key): the one-wildcard variants of segment values ``v`` that two values share; the equal value is one where n > 1."""
+    half = bits // 2
+    ones = (1 << half) - 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.empty(0, np.int64)
+
+        def variants(group: np.ndarray, final: bool) -> tuple[pa.RecordBatch, np.ndarray]:
+            """Keys of whole half-segment groups among sorted values, and the group that may go on."""
+            cut = len(group) if final else int(np.searchsorted(group, group[-1] >> half << half))
+            group, rest = group[:cut], group[cut:]
+            at, keys = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for i in range(half) if len(group) else ():
+                to = group ^ (1 << i)
+                place = np.minimum(np.searchsorted(group, to), len(group) - 1)
+                mine = group[group[place] == to]
+                at.append(mine)
+                keys.append((mine & ~np.int64(1 << i)) << 5 | i)
+            return pa.record_batch([pa.array(np.concatenate(at)), pa.array(np.concatenate(keys))], ["p", "key"]), rest
+
+        for batch in batches:
+            if batch.num_rows:
+                found, held = variants(np.concatenate([held, batch.column(0).to_numpy()]), False)
+                yield found
+        if len(held):
+            yield variants(held, True)[0]
+
+    # each value twice: with its low half last, and with its high half last
+    v = F.col("v")
+    number, value = F.shiftright(v, bits), v.bitwiseAND((1 << bits) - 1)
+    swapped = F.shiftleft(value.bitwiseAND(ones), half).bitwiseOR(F.shiftright(value, half))
+    turned = F.shiftleft(number * 2 + F.col("turn"), bits).bitwiseOR(F.when(F.col("turn") == 0, value).otherwise(swapped))
+    both = values.select("v", F.explode(F.array(F.lit(0), F.lit(1))).alias("turn")).select(turned.alias("p"))
+    dealt = both.repartition(F.shiftright("p", half)).sortWithinPartitions("p")
+    p = F.col("p")
+    value = p.bitwiseAND((1 << bits) - 1)
+    back = F.when(F.shiftright(p, bits).bitwiseAND(1) == 0, value).otherwise(F.shiftleft(value.bitwiseAND(ones), half).bitwiseOR(F.shiftright(value, half)))
+    near = map_batches(dealt, run, "p long, key long").select(F.shiftleft(F.shiftright(p, bits + 1), bits).bitwiseOR(back).alias("v"), "key")
+    return near.unionByName(values.filter("n > 1").select("v", (-1 - v).alias("key")))
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose texts are as similar."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, set()
+        for batch in batches:
+            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            keep = []
+            for i, (left, right) in enumerate(zip(byte_texts(batch, "left"), byte_texts(batch, "right"), strict=True)):
+                if a[i] != last:
+                    last, held = a[i], shingle_set(left)
+                if jaccard(held, shingle_set(right)) >= similarity:
+                    keep.append(i)
+            yield pa.record_batch([pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64())], ["a", "b"])
+
+    # written, so that both sides of the second join are plain shuffles and the rows of a hub can be split
+    right = materialize(pairs.join(texts.select(F.col("t").alias("b"), F.col("text").alias("right")), "b"))
+    both = right.join(texts.select(F.col("t").alias("a"), F.col("text").alias("left")), "a").select("a", "b", "left", "right")
+    return materialize(map_batches(both, run, "a long, b long"))
+
+
+def similar_links(entries: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame | None:
+    """Links (a, b) that join all similar texts among ``entries`` (key, t, thin) that share a key; None without candidates.
+
+    First every text is compared with the hub that has most shared keys (the original of a group of copies shares more than
+    they do among each other). Then each bucket that still holds unlinked texts compares hubs of its rarest group with those of the
+    other groups; a hub that was compared leaves its bucket.
+    """
+    apart = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
+    pair = lambda df: df.select(F.least("a", "t").alias("a"), F.greatest("a", "t").alias("b")).distinct()
+    degree = materialize(entries.groupBy("t").agg(F.count("*").alias("degree")))
+    entries = materialize(entries.join(degree, "t").withColumn("label", F.col("t")))
+    if entries.isEmpty():
+        return None
+    top = materialize(entries.groupBy("key").agg(F.max(F.struct("degree", F.col("t").alias("a"), F.col("thin").alias("other"))).alias("top")))
+    met = entries.join(top, "key").filter((F.col("t") != F.col("top.a")) & (apart("thin", "top.other") <= THIN))
+    asked = materialize(pair(met.groupBy("t").agg(F.max("top").alias("top")).select("t", "top.a")))
+    new, edges, hubs = _verified(asked, texts, similarity), None, HUBS
+    while True:
+        if not new.isEmpty():
+            edges = edges.unionByName(new) if edges else new
+            roots = materialize(components(edges).withColumnsRenamed({"node": "t", "root": "r"}))
+            entries = entries.join(roots, "t", "left").withColumn("label", F.coalesce("r", "label")).drop("r")
+        many = materialize(entries.groupBy("key").agg((F.min("label") != F.max("label")).alias("many")).filter("many").select("key"))
+        entries = materialize(entries.join(many, "key"))
+        if entries.isEmpty():
+            return edges
+        rare = materialize(entries.groupBy("key", "label").agg((-F.count("*")).alias("rare")))
+        part = F.pmod(F.xxhash64("t"), F.lit(hubs))
+        hub = F.max(F.struct("rare", "degree", F.col("t").alias("a"), F.col("thin").alias("other"), F.col("label").alias("of"))).alias("hub")
+        first = materialize(entries.join(rare, ["key", "label"]).groupBy("key", part.alias("part")).agg(hub).select("key", "hub.a", "hub.other", "hub.of"))
+        pairs = pair(entries.join(first, "key").filter((F.col("label") != F.col("of")) & (apart("thin", "other") <= THIN)))
+        pairs = materialize(pairs.join(asked, ["a", "b"], "left_anti"))
+        asked = asked.unionByName(pairs)
+        new = pairs if pairs.isEmpty() else _verified(pairs, texts, similarity)
+        entries = entries.join(first.select("key", F.col("a").alias("t")), ["key", "t"], "left_anti")
+        hubs *= HUBS
+
+
+def _few(df: DataFrame) -> DataFrame:
+    """``df`` (of 16 bytes a row) with a broadcast hint if it has few rows."""
+    return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df
+
+
+def deduplicate(docs: DataFrame, shingle: int = WIDE_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """One row of each group of near copies: the one with the smallest doc_id (nulls last, ties by hash).
+
+    Texts are read where they lie; those of candidates travel, and the keys of the rows that go.
+    """
+    k, t = spare(docs, "k"), spare(docs, "t")
+    hashes = [F.xxhash64("doc_id", "text").alias(k), F.xxhash64(F.coalesce("text", F.lit("")), F.lit(1)).alias(t)]
+    keyed = docs.select("*", *hashes)
+    ids = materialize(docs.select("doc_id", hashes[0].alias("k"), hashes[1].alias("t")))
+    of_text = materialize(ids.groupBy("t").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "k", "t")).alias("one")))
+    bits, segments = segmentation(of_text.count(), similarity)
+    prints = wide_fingerprints(docs.select(hashes[1].alias("t"), "text"), bits, segments)
+    prints = materialize(prints.groupBy("t").agg(F.first("thin").alias("thin"), F.first("segments").alias("segments")))
+    rows = prints.select("t", "thin", F.explode("segments").alias("v"))
+    shared = materialize(_shared_variants(rows.groupBy("v").agg(F.count("*").alias("n")), bits))
+    entries = materialize(rows.join(shared, "v").select("key", "t", "thin"))
+    wanted = materialize(entries.select("t").distinct())
+    texts = keyed.join(_few(wanted.select(F.col("t").alias(t))), t).groupBy(F.col(t).alias("t")).agg(F.first(F.coalesce("text", F.lit(""))).alias("text"))
+    edges = similar_links(entries, materialize(texts), similarity)
+    kept = of_text.select("t", "one")
+    if edges is not None:
+        roots = components(edges).select(F.col("node").alias("t"), "root")
+        kept = kept.join(roots, "t", "left").groupBy(F.coalesce("root", "t").alias("root")).agg(F.min("one").alias("one"))
+    kept = materialize(kept.select("one.k", "one.t"))
+    lost = materialize(ids.select("k", "t").join(kept, ["k", "t"], "left_anti").distinct())
+    twice = materialize(ids.join(kept, ["k", "t"]).groupBy("k", "t").count().filter("count > 1").select("k", "t"))
+    away = _few(lost.unionByName(twice).withColumnsRenamed({"k": k, "t": t}))
+    single = keyed.join(away, [k, t], "left_anti")
+    if twice.isEmpty():
+        return single.select(*docs.columns)
+    again = keyed.join(_few(twice.withColumnsRenamed({"k": k, "t": t})), [k, t]).dropDuplicates([k, t])
+    return single.unionByName(again).select(*docs.columns)
