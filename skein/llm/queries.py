@@ -1,15 +1,14 @@
-"""One query per operator over its whole table, and the pipeline."""
+"""One query per operator over its whole table."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-import corpus_pipeline
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm import ann, langid, mixing, packing, pii, quality, secrets, sharding, simhash, toxicity
-from skein.llm.common import read_table, shared_dir
+from skein.llm.common import hadoop_fs, read_table, shared_dir
 
 
 def fold(n: int) -> Column:
@@ -59,15 +58,19 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sixteen arrivals, compacted; the rows as the newest manifest has them."""
-    docs = read_table(spark, sf_dir, "documents")
-    table = sharding.ShardedTable(spark, shared_dir(spark))
+    """Sixteen arrivals, compacted; the rows as the newest manifest has them, and how many tiers it leaves to merge."""
+    docs, root = read_table(spark, sf_dir, "documents"), shared_dir(spark)
+    fs, path = hadoop_fs(spark, root)
+    fs.deleteOnExit(path)
+    table = sharding.ShardedTable(spark, root)
     table.append_arrivals(docs.withColumn("arrival", F.coalesce(F.pmod("doc_id", F.lit(16)), F.lit(0))), "arrival")
-    table.compact()
-    return table.read().select("doc_id", "arrival", F.octet_length("text").cast("long").alias("n_bytes"), F.md5("text").alias("text_md5"))
+    version = table.compact()
+    table.expire()
+    rows = table.read(version).select("doc_id", "arrival", F.octet_length("text").cast("long").alias("n_bytes"), F.md5("text").alias("text_md5"))
+    return rows.withColumn("full_tiers", F.lit(len(table.full_tiers(version))))
 
 
-OP10_SQL = "SELECT doc_id, coalesce(doc_id % 16, 0) AS arrival, strlen(text)::BIGINT AS n_bytes, md5(text) AS text_md5 FROM documents"
+OP10_SQL = "SELECT doc_id, coalesce(doc_id % 16, 0) AS arrival, strlen(text)::BIGINT AS n_bytes, md5(text) AS text_md5, 0 AS full_tiers FROM documents"
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -81,6 +84,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_source_mixing": op8_source_mixing,
     "op9_secret_scan": op9_secret_scan,
     "op10_sharding": op10_sharding,
-    "pipeline": corpus_pipeline.run,
 }
 ORACLE_SQL: dict[str, str] = {"op2_quality_rules": quality.ORACLE_SQL, "op10_sharding": OP10_SQL}
