@@ -1,14 +1,20 @@
 """Personal data: high-recall generators, gradient-boosted trees, calibrated thresholds.
 
 Base spans (email, ip, card, phone) follow fixed patterns and checks. Beside them generators propose further,
-overlapping candidates: written-out emails, phone numbers without a plus sign, identity numbers. Boosted trees
-score each candidate by format and context. They learn from the corpus itself: base spans are positive, as are their
-rewrites (an address spelt out, a number without its plus sign) in the same place; candidates that fail a
-check (Luhn, parts over 255, too few digits) are negative. On a fold the trees have not seen, the lowest
-threshold that keeps the wanted precision is taken, and candidates above it that touch no base span are added.
+overlapping candidates: written-out emails, phone numbers without a plus sign, bank accounts, social security numbers. Boosted trees
+score each candidate by format and context. They learn from candidates of these generators alone, in the places of the corpus:
 
-Training takes the candidates of about ``train_docs`` documents chosen by hash (a documented bound). Finding and
-redacting are single Arrow passes over whole texts without a shuffle.
+- positive are candidates that cover the rewrite of a base span in its place (an address spelt out, a number without its plus sign), and
+  account numbers that pass the mod-97 check, which is no feature;
+- negative are candidates inside base spans of other kinds or inside longer numbers, account numbers that fail the check, and, in places
+  without personal data, plain words and rows of numbers in the shape that a generator takes.
+
+On a fold of documents that the trees have not seen, each kind gets the lowest threshold that keeps the wanted precision; a kind without
+examples of both classes is never added (social security numbers have no check: only labelled findings, if the caller has some,
+teach them). Candidates above their threshold that touch no base span are added.
+
+Training takes the examples of about ``train_docs`` documents chosen by hash, of these about ``train_rows`` (documented bounds); whole texts are
+read. Finding and redacting are single Arrow passes over whole texts without a shuffle.
 
 Defined results: a null or empty text has no span (redacting leaves it as it is); equal rows get equal results;
 without candidates nothing is added; an empty table gives an empty result; further columns are
@@ -28,11 +34,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skein.llm.common import bounded_rows, text_slices
+from skein.llm.common import bounded_rows, map_batches, text_slices
 
-TRAIN_DOCS = 40_000
+TRAIN_DOCS, TRAIN_ROWS = 40_000, 60_000
 PRECISION = 0.99
-KINDS = ("email", "ip", "card", "phone", "id")
+#: Held-out examples of each class that a kind needs to get a threshold.
+LEAST_HELD = 10
+#: Characters beside a candidate that are looked at.
+BEFORE, AFTER = 40, 10
+BASE_KINDS = ("email", "ip", "card", "phone")
+KINDS = (*BASE_KINDS, "account", "ssn")
+#: Kinds that the generators propose.
+JUDGED = ("email", "phone", "account", "ssn")
 
 # The patterns of the base kinds.
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -45,7 +58,8 @@ _NOT_DIGIT = re.compile(r"[^0-9]+")
 # Generators beyond the base kinds.
 _SPELT = re.compile(r"[A-Za-z0-9._%+-]{1,64} ?[\[(]?\bat\b[\])]? ?[A-Za-z0-9-]{1,63}(?: ?[\[(]?\bdot\b[\])]? ?[A-Za-z]{2,12}){1,3}", re.I)
 _LOOSE_PHONE = re.compile(r"(?<![0-9+.])\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])")
-_ID = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])|\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}\b")
+_SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
+_ACCOUNT = re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b")
 # Words that stand before personal data.
 _CUES = (re.compile(r"mail|contact|write|kontakt|courriel|correo", re.I), re.compile(r"phone|tel|call|fax|mobile|ruf|appel|llam", re.I), re.compile(r"card|visa|account|iban|ssn|passport|konto|carte|tarjeta", re.I), re.compile(r"\bip\b|host|server|address", re.I))
 
@@ -101,7 +115,9 @@ def further(text: str) -> list[tuple[str, int, int]]:
     out = [("email", m.start(), m.end()) for m in _SPELT.finditer(text)] if re.search(r"\bdot\b", text, re.I) else []
     if re.search("[0-9]{3}", text):
         out += [("phone", m.start(), m.end()) for m in _LOOSE_PHONE.finditer(text)]
-        out += [("id", m.start(), m.end()) for m in _ID.finditer(text)]
+        out += [("ssn", m.start(), m.end()) for m in _SSN.finditer(text)]
+    if re.search("[A-Z]{2}[0-9]{2}", text):
+        out += [("account", m.start(), m.end()) for m in _ACCOUNT.finditer(text)]
     return out
 
 
@@ -123,15 +139,38 @@ def describe(kind: str, shown: str, before: str, after: str) -> list[float]:
     ]
 
 
-def rewrites(kind: str, shown: str) -> list[tuple[str, str]]:
-    """Other ways to write a base span, as positive examples."""
+def account_holds(shown: str) -> bool:
+    """The mod-97 check of international bank account numbers."""
+    x = shown.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97 == 1
+
+
+def rewrites(kind: str, shown: str) -> list[str]:
+    """Other ways to write a base span."""
     if kind == "email":
-        return [("email", shown.replace("@", " at ").replace(".", " dot "))]
+        return [shown.replace("@", at).replace(".", dot) for at, dot in ((" at ", " dot "), (" [at] ", " [dot] "), (" (at) ", " (dot) "))]
     if kind == "phone":
-        return [("phone", re.sub(r"^\+[0-9]+ ?", "", shown))]
+        local = re.sub(r"^\+[0-9]+ ?", "", shown)
+        groups = re.findall("[0-9]+", local)
+        return list(dict.fromkeys([local, *(sep.join(groups) for sep in " -."), f"{groups[0]} {'-'.join(groups[1:])}"])) if groups else []
     return []
 
 
+def features_at(text: str, kind: str, a: int, b: int) -> list[float]:
+    return describe(kind, text[a:b], text[max(0, a - BEFORE) : a], text[b : b + AFTER])
+
+
+def _inserted(text: str, a: int, b: int, shown: str) -> tuple[str, int, int]:
+    """The surroundings of text[a:b] with ``shown`` in its place, and the place."""
+    left = text[max(0, a - 2 * BEFORE) : a]
+    return left + shown + text[b : b + 2 * BEFORE], len(left), len(left) + len(shown)
+
+
+def _covers(a: int, b: int, start: int, end: int) -> bool:
+    """Whether the span (a, b) is about the span (start, end)."""
+    return 2 * (min(b, end) - max(a, start)) > max(b - a, end - start)
+
+
 class BoostedTrees:
     """Gradient boosting of small trees over quantile bins, logistic loss."""
 
@@ -176,72 +215,115 @@ class BoostedTrees:
 
     def predict(self, x: np.ndarray) -> np.ndarray:
         f = np.full(len(x), self.base)
+        rows = np.arange(len(x))
         for tree in self.trees:
-            for i, row in enumerate(x):
-                node = 0
-                while len(tree[node]) == 2:
-                    j, cut = tree[node]
-                    node = 2 * node + (1 if row[j] < cut else 2)
-                f[i] += self.rate * tree[node][0]
+            size = max(tree) + 1
+            column, cut, value = np.zeros(size, int), np.full(size, np.nan), np.zeros(size)
+            for node, what in tree.items():
+                if len(what) == 2:
+                    column[node], cut[node] = what
+                else:
+                    value[node] = what[0]
+            at = np.zeros(len(x), int)
+            while (inner := ~np.isnan(cut[at])).any():
+                low = x[rows, column[at]] < cut[at]
+                at = np.where(inner, 2 * at + np.where(low, 1, 2), at)
+            f += self.rate * value[at]
         return 1 / (1 + np.exp(-f))
 
 
 class Finder:
-    """Trees and threshold; finds all spans of a text."""
+    """Trees and a threshold for each kind; finds all spans of a text."""
 
-    def __init__(self, trees: BoostedTrees | None = None, threshold: float = 2.0):
-        self.trees, self.threshold = trees, threshold
+    def __init__(self, trees: BoostedTrees | None = None, thresholds: dict[str, float] | None = None):
+        self.trees, self.thresholds = trees, thresholds or {}
 
     def spans(self, text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
         """Base spans, and base spans with those that the trees add; by kind, then start."""
         base = base_spans(text)
-        new = further(text) if self.trees is not None else []
-        new = [x for x in new if not any(x[1] < e and s < x[2] for _, s, e in base)]
+        new = [x for x in further(text) if x[0] in self.thresholds and not any(x[1] < e and s < x[2] for _, s, e in base)]
         added: list[tuple[str, int, int]] = []
         if new:
-            q = self.trees.predict(np.array([describe(k, text[a:b], text[max(0, a - 40) : a], text[b : b + 10]) for k, a, b in new]))
-            for _, x in sorted(zip(-q, new, strict=True)):
-                if -_ >= self.threshold and not any(x[1] < e and s < x[2] for _, s, e in added):
+            scores = self.trees.predict(np.array([features_at(text, *x) for x in new]))
+            for q, x in sorted(zip(-scores, new, strict=True)):
+                if -q >= self.thresholds[x[0]] and not any(x[1] < e and s < x[2] for _, s, e in added):
                     added.append(x)
         place = lambda x: (KINDS.index(x[0]), x[1])
         return sorted(base, key=place), sorted(base + added, key=place)
 
 
-def examples(text: str) -> list[tuple[int, list[float]]]:
-    """(label, features) of a text's candidates, with rewrites."""
-    out = []
-    for kind, a, b, holds in proposals(text):
-        before, after = text[max(0, a - 40) : a], text[b : b + 10]
-        shown = text[a : min(b, a + 200)]
-        out.append((int(holds), describe(kind, shown, before, after)))
-        if holds:
-            out += [(1, describe(k, s, before, after)) for k, s in rewrites(kind, shown)]
-        else:
-            out.append((0, describe("phone", shown, before, after)))
+def examples(text: str) -> list[tuple[str, int, list[float]]]:
+    """(kind, label, features) of candidates of the generators that a text tells the label of."""
+    out, seen = [], proposals(text)
+    base = [x[:3] for x in seen if x[3]]
+    digest = hashlib.md5(text.encode()).digest()
+    for kind, a, b in further(text):
+        if kind == "account":
+            out.append((kind, int(account_holds(text[a:b])), features_at(text, kind, a, b)))
+            continue
+        other = any(s <= a and b <= e and k != kind for k, s, e in base)
+        longer = any(s <= a and b <= e and k == "card" and not holds and len(_NOT_DIGIT.sub("", text[s:e])) >= 16 for k, s, e, holds in seen)
+        if other or longer:
+            out.append((kind, 0, features_at(text, kind, a, b)))
+    quiet = [m.end() for m in re.finditer(r"[^\W\d_] (?=[^\W\d_])", text) if not any(s - BEFORE <= m.end() <= e + BEFORE for _, s, e in base)]
+    for i, (kind, a, b) in enumerate(base):
+        shown = rewrites(kind, text[a:b])
+        for new in shown:
+            near, start, end = _inserted(text, a, b, new)
+            out += [(k, int(k == kind and _covers(s, e, start, end)), features_at(near, k, s, e)) for k, s, e in further(near) if s < end and start < e]
+        if shown and quiet:  # a place without personal data, as far as the base kinds tell
+            at = quiet[(digest[i % 16] * 256 + digest[(i + 1) % 16]) % len(quiet)]
+            words = re.findall(r"\w+", text[at : at + 200])[:3]
+            numbers = [int.from_bytes(digest[j : j + 2], "big") for j in range(0, 12, 2)]
+            plain = f"{words[0]} at {words[1]} dot {words[2]}" if kind == "email" and len(words) == 3 else " ".join(str(n % 900 + 100) for n in numbers[: 4 + digest[15] % 3])
+            near, start, end = _inserted(text, at, at, f"{plain} ")
+            out += [(k, 0, features_at(near, k, s, e)) for k, s, e in further(near) if s < end and start < e]
     return out
 
 
-def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, precision: float = PRECISION) -> Finder:
-    """Trees from candidates of the corpus and the threshold that a held-out fold gives."""
-    rows = bounded_rows(docs.select("doc_id", "text"), train_docs, "doc_id").filter(F.col("text").rlike("[0-9]{3}|@"))
+def train(docs: DataFrame, labelled: DataFrame | None = None, train_docs: int = TRAIN_DOCS, train_rows: int = TRAIN_ROWS, precision: float = PRECISION) -> Finder:
+    """Trees from candidates of the corpus, and the thresholds that a held-out fold gives.
+
+    ``labelled`` are findings of a user: doc_id, kind, start, end and personal (1 or 0) of candidates of ``docs``.
+    """
+    sampled = bounded_rows(docs.select("doc_id", "text"), train_docs, "doc_id").filter(F.col("text").rlike("[0-9]{3}|@"))
+    given = F.array().cast("array<struct<kind:string,start:long,end:long,personal:int>>")
+    rows = sampled.select("text", given.alias("given"))
+    if labelled is not None:
+        of = labelled.groupBy("doc_id").agg(F.collect_list(F.struct("kind", F.col("start").cast("long"), F.col("end").cast("long"), F.col("personal").cast("int"))).alias("given"))
+        rows = rows.unionByName(docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(of, "doc_id").select("text", F.col("given").cast(rows.schema["given"].dataType)))
+    kinds = (pa.int32(), pa.string(), pa.int32(), pa.list_(pa.float64()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch, "text"):
-                got = [(zh, y, x) for t in part.column(1).to_pylist() for zh in [hashlib.md5(t.encode()).digest()[0] % 4] for y, x in examples(t)[:64]]
-                yield pa.record_batch([pa.array([g[i] for g in got], k) for i, k in enumerate((pa.int32(), pa.int32(), pa.list_(pa.float64())))], ["fold", "y", "x"])
-
-    got = rows.mapInArrow(run, "fold int, y int, x array<double>").orderBy("fold", "y", "x").collect()
-    y, fold = np.array([r.y for r in got], float), np.array([r.fold for r in got])
-    if min((y[fold > 0] == k).sum() if len(y) else 0 for k in (0, 1)) < 8:
+                got = []
+                for text, said in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    fold = hashlib.md5(text.encode()).digest()[0] % 4
+                    got += [(fold, k, y, x) for k, y, x in ([] if said else examples(text))]
+                    got += [(fold, g["kind"], g["personal"], features_at(text, g["kind"], g["start"], g["end"])) for g in said]
+                yield pa.record_batch([pa.array([g[i] for g in got], k) for i, k in enumerate(kinds)], ["fold", "kind", "y", "x"])
+
+    found = map_batches(rows, run, "fold int, kind string, y int, x array<double>")
+    got = bounded_rows(found, train_rows).orderBy("fold", "kind", "y", "x").toArrow()
+    y, fold, kind = (np.array(got[c].to_pylist()) for c in ("y", "fold", "kind"))
+    if min(((y == k) & (fold > 0)).sum() if len(y) else 0 for k in (0, 1)) < 8:
         return Finder()
-    x = np.array([r.x for r in got])
-    trees = BoostedTrees().fit(x[fold > 0], y[fold > 0])
-    q, right = trees.predict(x[fold == 0]), y[fold == 0]
-    order = np.argsort(-q)
-    held = np.cumsum(right[order]) / np.arange(1, len(order) + 1)
-    good = np.flatnonzero(held >= precision)
-    return Finder(trees, max(0.5, float(q[order][good[-1]])) if len(good) else 2.0)
+    x = np.array(got["x"].to_pylist())
+    trees = BoostedTrees().fit(x[fold > 0], y[fold > 0].astype(float))
+    scores, thresholds = trees.predict(x), {}
+    for k in JUDGED:
+        q, right = scores[(fold == 0) & (kind == k)], y[(fold == 0) & (kind == k)]
+        if min((right == 1).sum(), (right == 0).sum()) < LEAST_HELD:
+            continue
+        order = np.argsort(-q, kind="stable")
+        held = np.cumsum(right[order]) / np.arange(1, len(order) + 1)
+        ends = np.r_[np.diff(q[order]) != 0, True]  # ties stand or fall together
+        good = np.flatnonzero((held >= precision) & ends)
+        if len(good):  # halfway to the first example that would cost too much
+            last = int(good[-1])
+            thresholds[k] = max(0.5, float(q[order][last : last + 2].mean()))
+    return Finder(trees, thresholds)
 
 
 def _joined(spans: list[tuple[str, int, int]]) -> str:
@@ -251,18 +333,18 @@ def _joined(spans: list[tuple[str, int, int]]) -> str:
 def find(docs: DataFrame, finder: Finder) -> DataFrame:
     """doc_id, base counts by kind, base_sha256 and spans of every row."""
     ids = docs.select("doc_id", "text")
-    counts = [f"n_{k}" for k in KINDS[:4]]
+    counts = [f"n_{k}" for k in BASE_KINDS]
     out = T.StructType([ids.schema["doc_id"], *(T.StructField(c, T.LongType()) for c in counts), T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch, "text"):
                 found = [finder.spans(t or "") for t in part.column(1).to_pylist()]
-                n = [pa.array([sum(s[0] == k for s in base) for base, _ in found], pa.int64()) for k in KINDS[:4]]
+                n = [pa.array([sum(s[0] == k for s in base) for base, _ in found], pa.int64()) for k in BASE_KINDS]
                 digest = [hashlib.sha256(_joined(base).encode()).hexdigest() for base, _ in found]
                 yield pa.record_batch([part.column(0), *n, pa.array(digest, pa.string()), pa.array([_joined(a) for _, a in found], pa.string())], out.names)
 
-    return ids.mapInArrow(run, out)
+    return map_batches(ids, run, out)
 
 
 def redact(docs: DataFrame, finder: Finder) -> DataFrame:
@@ -278,10 +360,11 @@ def redact(docs: DataFrame, finder: Finder) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.schema.get_field_index("text")
-            columns = list(batch.columns)
-            columns[at] = pa.array([t and replaced(t) for t in columns[at].to_pylist()], columns[at].type)
-            yield pa.record_batch(columns, batch.schema.names)
+            for part in text_slices(batch, "text"):
+                at = part.schema.get_field_index("text")
+                columns = list(part.columns)
+                columns[at] = pa.array([t and replaced(t) for t in columns[at].to_pylist()], columns[at].type)
+                yield pa.record_batch(columns, part.schema.names)
 
-    kept = docs.mapInArrow(run, docs.schema)
+    kept = map_batches(docs, run, docs.schema)
     return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else kept

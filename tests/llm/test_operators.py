@@ -225,21 +225,59 @@ def test_base_spans_equal_the_patterns(docs):
         assert finder.spans(t)[0] == sorted(plain_spans(t), key=lambda s: (pii.KINDS.index(s[0]), s[1]))
 
 
+def iban(country, digits):
+    """An account number with the right check digits."""
+    number = lambda x: int("".join(str(int(c, 36)) for c in x))
+    x = f"{country}{98 - number(digits + country + '00') % 97:02d}{digits}"
+    return " ".join(x[i : i + 4] for i in range(0, len(x), 4))
+
+
+PLAIN = "the morning was calm and people went to look at the river with a dot of light on the water while others stayed at home near the old market and read about dot patterns"
+
+
+def pii_rows(n=400):
+    for i in range(n):
+        account = iban("DE", f"{37040044053201300000 + 7919 * i:018d}"[:18])
+        wrong = account[:2] + f"{(int(account[2:4]) + 5) % 97:02d}" + account[4:]
+        yield i, f"{PLAIN} please mail jo.do{i}@host{i}.example.com or call +1 (415) 555-{1000 + i} from {i % 256}.1.2.3 not 999.1.2.{i} nor 12345{i:05d}999999, pay to account {account} soon. {PLAIN}. lot number {wrong} was made. order {100 + i % 800}-{10 + i % 80}-{1000 + i}"
+
+
 def test_pii_adds_and_redacts(spark, edges, empty):
-    mail = [(i, f"please mail jo.do{i}@host{i}.example.com or call +1 (415) 555-{1000 + i} from {i % 256}.1.2.3 not 999.1.2.{i} nor 12345{i:05d}999999") for i in range(200)]
-    df = spark.createDataFrame(mail, "doc_id int, text string")
+    rows = list(pii_rows())
+    df = spark.createDataFrame(rows, "doc_id int, text string")
     finder = pii.train(df)
-    text = "write to jo.doe at mail7 dot example dot com or 415 555-7209"
+    text = f"{PLAIN}, write to jo.doe at mail7 dot example dot com or call 415 555-7209 from home"
     base, all_spans = finder.spans(text)
-    assert base == [] and [s[0] for s in all_spans] == ["email", "phone"]
+    assert base == [] and [(s[0], text[s[1] : s[2]]) for s in all_spans] == [("email", "jo.doe at mail7 dot example dot com"), ("phone", "415 555-7209")]
+    assert set(finder.thresholds) == {"email", "phone", "account"}  # nothing taught social security numbers
+    added = [x for _, t in rows for x in set(finder.spans(t)[1]) - set(finder.spans(t)[0])]
+    assert {x[0] for x in added} == {"account"} and len(added) == len(rows)
     out = {r.doc_id: r.text for r in pii.redact(df, finder).collect()}
-    assert all("@" not in t and "555" not in t for t in out.values())
-    r = pii.find(df, finder).filter("doc_id = 1").first()
-    assert (r.n_email, r.n_ip, r.n_phone) == (1, 1, 1) and r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in finder.spans(mail[1][1])[0]).encode()).hexdigest()
+    assert all("@" not in t and "555" not in t and "account [account] soon" in t and "lot number DE" in t for t in out.values())
+    found = {r.doc_id: r for r in pii.find(df, finder).collect()}
+    for i, t in rows:
+        r, base = found[i], finder.spans(t)[0]
+        assert (r.n_email, r.n_ip, r.n_phone) == (1, 1, 1) and r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in base).encode()).hexdigest()
+        assert r.spans == ",".join(f"{k}:{a}:{b}" for k, a, b in finder.spans(t)[1])
     assert pii.find(edges, pii.train(edges)).count() == len(EDGES) and pii.redact(edges, finder).columns == edges.columns
     assert pii.find(empty, pii.train(empty)).isEmpty()
 
 
+def test_pii_learns_labelled_findings(spark):
+    """A user's findings teach a kind that has no check of its own."""
+    rows = [(i, f"ssn {100 + i % 800}-{10 + i % 80}-{1000 + i} of a person" if i % 2 else f"{PLAIN} part {100 + i % 800}-{10 + i % 80}-{1000 + i} in stock") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id int, text string")
+    said = [(i, k, a, b, i % 2) for i, t in rows for k, a, b in pii.further(t) if k == "ssn"]
+    finder = pii.train(df, spark.createDataFrame(said, "doc_id int, kind string, start int, end int, personal int"))
+    assert [s[0] for s in finder.spans("my ssn 219-09-9999 of course")[1]] == ["ssn"] and finder.spans(f"{PLAIN} part 219-09-9999 in stock")[1] == []
+
+
+def test_pii_examples_of_long_documents_all_count(spark):
+    text = " ".join(f"a{i}@b{i}.org +49 30 {1000000 + i}" for i in range(300))
+    kinds = [k for k, _, _ in pii.examples(text)]
+    assert kinds.count("email") >= 300 and len(pii.Finder().spans(text)[0]) == 600
+
+
 def test_boosted_trees_separate():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(600, 4))
