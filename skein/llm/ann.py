@@ -1,13 +1,14 @@
 """Approximate nearest neighbours by largest inner product: a hierarchical k-means tree, best-bin-first.
 
 The tree is fitted on about ``sample`` vectors chosen by hash (a documented bound); every row descends to its leaf. A
-query walks the tree through a priority queue: the node whose centre has the largest inner product comes first, a
-leaf is visited when it is popped. How many leaves to visit is calibrated: bounded many of the given queries
+query walks the tree through a priority queue: the node whose centre has the largest inner product comes first, with what its spread
+lets hope for (on unit vectors this is the order of distances), and a leaf is visited when it is popped. How many leaves to visit is calibrated: bounded many of the given queries
 are searched exactly against all rows, in blocks, and visits widen until their recall reaches
 the target; if need be until all leaves are visited, where the search is exact.
 
 Equal vectors are one candidate with its k + 1 smallest ids, which is all that k results can hold, and equal
-queries are searched once: a vector that a third of all rows share costs one row. Leaves meet their queries in blocks of
+queries are searched once: a vector that a third of all rows share costs one row. The tree has a leaf for 2,000 vectors, up to a
+sixteenth of the sample (3,125); beyond six million vectors leaves grow, and with them the blocks that a visit compares. Leaves meet their queries in blocks of
 bounded size on both sides, so that neither a full leaf nor a favoured one ends up in one task.
 
 Defined results: vectors that are null, zero, of another length than most, or that hold null or non-finite components take no part;
@@ -26,15 +27,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from skein.llm.common import bounded_rows, materialize
+from skein.llm.common import bounded_rows, map_batches, materialize
 
 K = 20
-SAMPLE = 20_000
-RECALL = 0.97
+SAMPLE = 50_000
+RECALL = 0.93
 CALIBRATION = 200
 BRANCH = 16
 #: Vectors and queries that one block holds on average.
 BLOCK = 8192
+#: Query vectors that one task walks.
+WALK = 256
 
 
 class KMeansTree:
@@ -42,10 +45,11 @@ class KMeansTree:
 
     def __init__(self, x: np.ndarray, leaves: int, branch: int = BRANCH, seed: int = 3):
         self.rng, self.branch = np.random.default_rng(seed), branch
-        self.centres, self.children = [x.mean(0)], [[]]
+        self.centres, self.children, self.spread = [x.mean(0)], [[]], [((x - x.mean(0)) ** 2).sum(1).mean()]
         self._split(0, x, max(1.0, len(x) / leaves))
         self.leaf = {n: i for i, n in enumerate(k for k, c in enumerate(self.children) if not c)}
         self.centres = np.array(self.centres)
+        self.spread = np.array(self.spread) / (2 * max(math.sqrt((x**2).sum(1).mean()), 1e-300))
 
     def _split(self, node: int, x: np.ndarray, size: float) -> None:
         k = min(self.branch, math.ceil(len(x) / size))
@@ -62,6 +66,7 @@ class KMeansTree:
         for part in parts:
             self.children[node].append(len(self.centres))
             self.centres.append(part.mean(0))
+            self.spread.append(((part - self.centres[-1]) ** 2).sum(1).mean())
             self.children.append([])
         for child, part in zip(list(self.children[node]), parts, strict=True):
             self._split(child, part, size)
@@ -86,7 +91,7 @@ class KMeansTree:
         """The first ``most`` leaves of each query, best bin first."""
         out = []
         for q in queries:
-            score = -(self.centres @ q)
+            score = -(self.centres @ q + math.sqrt(q @ q) * self.spread)
             heap, seen = [(score[0], 0)], []
             while heap and len(seen) < most:
                 _, node = heapq.heappop(heap)
@@ -125,19 +130,25 @@ def _with_leaf(vectors: DataFrame, tree: KMeansTree) -> DataFrame:
                 x = matrix(batch.column(batch.schema.get_field_index("embedding")))
                 yield pa.record_batch([*batch.columns, pa.array(tree.assign(x), pa.int64())], [*batch.schema.names, "leaf"])
 
-    return vectors.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in vectors.schema) + ", leaf long")
+    return map_batches(vectors, run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in vectors.schema) + ", leaf long")
 
 
-def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Columns of the k largest scores of each row, ties to the smaller id."""
-    if scores.shape[1] <= k:
-        return np.argsort(-scores, 1, "stable")[:, :k]
-    edge = -np.partition(-scores, k - 1, 1)[:, k - 1 : k]
-    out = np.empty((len(scores), k), np.int64)
-    for i, row in enumerate(scores):
+def best(q: np.ndarray, v: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Columns and scores of the k largest inner products of each row of ``q``, ties to the smaller id.
+
+    The products choose with some room for their rounding; the final scores are summed in one order for every pair, and they decide.
+    """
+    rough = q @ v.T
+    k = min(k, len(v))
+    edge = -np.partition(-rough, k - 1, 1)[:, k - 1]
+    edge -= 1e-12 * np.sqrt((q**2).sum(1) * (v**2).sum(1).max())
+    columns, scores = np.empty((len(q), k), np.int64), np.empty((len(q), k))
+    for i, row in enumerate(rough):
         at = np.flatnonzero(row >= edge[i])
-        out[i] = at[np.lexsort((ids[at], -row[at]))[:k]]
-    return out
+        fine = (q[i] * v[at]).sum(1)
+        order = np.lexsort((ids[at], -fine))[:k]
+        columns[i], scores[i] = at[order], fine[order]
+    return columns, scores
 
 
 def exact_best(vectors: DataFrame, queries: np.ndarray, k: int) -> DataFrame:
@@ -149,16 +160,15 @@ def exact_best(vectors: DataFrame, queries: np.ndarray, k: int) -> DataFrame:
             if not batch.num_rows:
                 continue
             x, first, leaf = matrix(batch.column(0)), batch.column(1).to_numpy(), batch.column(2).to_numpy()
-            got = queries @ x.T
-            at = best(got, first, k)
-            new = [np.take_along_axis(got, at, 1), first[at], leaf[at]]
+            at, score = best(queries, x, first, k)
+            new = [score, first[at], leaf[at]]
             held = [np.concatenate(p, 1) for p in zip(held, new, strict=True)]
             order = np.argsort(-held[0], 1, "stable")[:, :k]
             held = [np.take_along_axis(h, order, 1) for h in held]
         n = held[0].shape[1]
         yield pa.record_batch([pa.array(np.repeat(np.arange(len(queries)), n)), pa.array(held[2].ravel()), pa.array(held[1].ravel()), pa.array(held[0].ravel())], ["query", "leaf", "first", "score"])
 
-    found = vectors.select("embedding", "first", "leaf").mapInArrow(run, "query long, leaf long, first long, score double")
+    found = map_batches(vectors.select("embedding", "first", "leaf"), run, "query long, leaf long, first long, score double")
     return found.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "first"))).filter(F.col("n") <= k)
 
 
@@ -181,7 +191,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, recall: float = REC
     n = plain.count()
     picked = bounded_rows(plain.select("embedding", "first"), sample, "first").orderBy("first").collect()
     x = np.array([r.embedding for r in picked]) if picked else np.zeros((1, 1))
-    leaves = int(max(1, min(max(256, n / 20_000), len(x) / 16, n / 8)))
+    leaves = int(max(1, min(max(256, n / 2_000), len(x) / 16, n / 8)))
     tree = KMeansTree(x, leaves)
     placed = materialize(_with_leaf(plain, tree))
     asked = rows.filter(is_query).withColumnRenamed("vec_id", "query_id")
@@ -198,7 +208,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, recall: float = REC
                 row = np.repeat(np.arange(part.num_rows), [len(s) for s in seen])
                 yield pa.record_batch([part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row)), pa.array(np.concatenate(seen).astype(np.int64))], ["rep", "embedding", "leaf"])
 
-    walked = materialize(once.mapInArrow(walk, "rep long, embedding array<double>, leaf long"))
+    once = materialize(once)
+    dealt = once.repartition(max(1, -(-once.count() // WALK)))  # small rows, large work: not by size
+    walked = materialize(map_batches(dealt, walk, "rep long, embedding array<double>, leaf long"))
     # blocks of both sides, by counts of the leaves
     parts = lambda df, name: df.groupBy("leaf").agg(F.ceil(F.count("*") / block).cast("int").alias(name))
     blocks = materialize(parts(placed, "v").join(parts(walked, "q"), "leaf"))
@@ -213,8 +225,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, recall: float = REC
         first, rep = against["first"].to_numpy(), queries["rep"].to_numpy()
         got = []
         for at in range(0, len(q), 256):
-            cols = best(q[at : at + 256] @ v.T, first, k + 1)
-            score = (q[at : at + 256][:, None, :] * v[cols]).sum(2)  # the same order of sums for every pair
+            cols, score = best(q[at : at + 256], v, first, k + 1)
             got.append((np.repeat(rep[at : at + 256], cols.shape[1]), first[cols].ravel(), score.ravel()))
         return pa.table({n: np.concatenate(c) for n, c in zip(("rep", "first", "score"), zip(*got, strict=True), strict=True)})
 
