@@ -2,7 +2,7 @@
 
 The network labels every byte of a text; a document gets the mean of its bytes' probabilities. It is
 trained in numpy by backpropagation through time on the driver, on about ``train_docs`` documents chosen by
-hash and balanced by language, ``SEGMENTS`` segments each: a documented bound that no other step has. Texts are
+hash, as many of each language as it has up to an equal share (a rare language gives all it has), ``SEGMENTS`` segments each: a documented bound that no other step has. Texts are
 cut into segments of ``SEGMENT`` bytes at whose ends the state starts anew, so that thousands of segments
 advance together and a text of any length costs memory for its bytes alone; every byte of every text is labelled.
 
@@ -12,27 +12,29 @@ text is; equal rows get equal results; an empty table gives an empty result; fur
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skein.llm.common import bounded_rows, byte_texts, text_slices
+from skein.llm.common import byte_texts, map_batches, text_slices
 
 HIDDEN = 10
 SEGMENT = 128
 SEGMENTS = 2
 TRAIN_DOCS = 2000
+#: Languages whose counts are broadcast at most.
+MOST_LANGS = 10_000
 EPOCHS = 5
 BATCH = 256
 RATE = 0.02
 #: Segments that advance together when texts are labelled.
 WIDTH = 2048
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -162,7 +164,11 @@ class ByteGRU:
 def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, hidden: int = HIDDEN, epochs: int = EPOCHS) -> tuple[list[str], ByteGRU | None]:
     """Languages and network learnt from the text and non-null lang of ``docs``."""
     rows = docs.filter(F.col("lang").isNotNull() & (F.length("text") > 0)).select("doc_id", "lang", "text")
-    rows = bounded_rows(rows, train_docs, "doc_id").withColumn("key", F.xxhash64("text"))
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    share = F.lit(train_docs / max(counts.count(), 1)) / F.col("n")
+    # a share of the hash space for each language: every task filters for itself
+    picks = F.shiftrightunsigned(F.xxhash64(F.lit(17), "doc_id"), 11) < (F.least(share, F.lit(1.0)) * F.lit(float(1 << 53))).cast("long")
+    rows = rows.join(F.broadcast(counts) if counts.count() <= MOST_LANGS else counts, "lang").filter(picks).withColumn("key", F.xxhash64("text"))
     cut = [F.substring(F.col("text"), F.pmod(F.xxhash64("key", F.lit(i)), F.length("text")).cast("int") + 1, F.lit(SEGMENT)) for i in range(SEGMENTS)]
     picked = rows.select("lang", F.array(*cut).alias("cut")).orderBy("lang", "cut").collect()
     langs = sorted({r.lang for r in picked})
@@ -194,4 +200,4 @@ def identify(docs: DataFrame, langs: list[str], net: ByteGRU | None, *keep: Colu
                         names[i] = langs[k]
                 yield pa.record_batch([*part.columns[:-1], pa.array(names), pa.array(scores)], out.names)
 
-    return ids.mapInArrow(run, out)
+    return map_batches(ids, run, out)
