@@ -8,8 +8,9 @@ in the dead state after a few. Longer terms allow more edits. Every hit is then
 quotation marks around it and reporting words tell quotation from abuse, words of address tell abuse.
 A logistic regression on these counts gives the score.
 
-The lexicon counts run in Spark over about ``train_docs`` labelled rows chosen by hash (a documented bound; so
-is ``max_terms``); scoring is one Arrow pass over all rows without a shuffle.
+The lexicon counts run in Spark over about ``train_docs`` labelled rows chosen by hash (a documented bound). A term enters the lexicon
+when at least ``LEAST`` toxic texts hold it and the likelihood ratio against chance is above ``SURE``, however few of all toxic texts that
+is; no number of terms is set. Scoring is one Arrow pass over all rows without a shuffle.
 
 Defined results: a null or empty text scores as a text without words; without labelled rows of both classes
 every score is the share of toxic ones (0 without labels); equal rows get equal results; an empty table
@@ -29,13 +30,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skein.llm.common import bounded_rows, materialize, text_slices
+from skein.llm.common import bounded_rows, map_batches, materialize, text_slices
 
 TRAIN_DOCS = 20_000
-MAX_TERMS = 2000
 WINDOW = 5
-#: Share of the toxic texts that hold a term of the lexicon at least.
-MIN_SHARE = 0.05
+#: Toxic texts that hold a term of the lexicon at least, its log odds, and its likelihood ratio (G squared; 25 is a chance of 6 in ten million).
+LEAST, ODDS, SURE = 4, 2.5, 25.0
 _WORD = re.compile(r"[^\W_]+(?:[*@$][^\W_]+)*")
 _OPEN, _CLOSE = re.compile(r"[\"“„«][^\"”“»]*$"), re.compile(r"^[^\"“„«]*[\"”“»]")
 
@@ -156,8 +156,8 @@ class Scorer:
 
     def hits(self, text: str) -> tuple[int, list[tuple[str, int, int, int, bool, bool, bool]]]:
         """Number of words, and (term, edits, start, end, quoted, reported, addressed) of every hit."""
-        low = text.lower()
-        words, known = _WORD.findall(low), self.known
+        # words are lowered one by one: lowering may change a text's length, and places are those of the text
+        words, known = [w.lower() for w in _WORD.findall(text)], self.known
         if len(known) > self.CACHE:
             known.clear()
         distinct = set(words)
@@ -166,11 +166,11 @@ class Scorer:
         bad = {w for w in distinct if known[w] is not None}
         found = []
         if bad:
-            for i, m in enumerate(_WORD.finditer(low)):
-                if m[0] in bad:
-                    edits, term = known[m[0]]
+            for i, m in enumerate(_WORD.finditer(text)):
+                if words[i] in bad:
+                    edits, term = known[words[i]]
                     near = words[max(0, i - WINDOW) : i] + words[i + 1 : i + 1 + WINDOW]
-                    quoted = bool(_OPEN.search(low, max(0, m.start() - 80), m.start()) and _CLOSE.search(low[m.end() : m.end() + 80]))
+                    quoted = bool(_OPEN.search(text, max(0, m.start() - 80), m.start()) and _CLOSE.search(text[m.end() : m.end() + 80]))
                     found.append((self.automaton.terms[term], edits, m.start(), m.end(), quoted, not REPORTING.isdisjoint(near), not ADDRESS.isdisjoint(near), self.odds[term]))
         return len(words), found
 
@@ -183,21 +183,25 @@ class Scorer:
         return [1.0, float(exact > 0), math.log1p(exact), math.log1p(fuzzy), math.log1p(far), math.log1p(plain), math.log1p(sum(h[4] for h in found)), math.log1p(sum(h[5] for h in found)), math.log1p(sum(h[6] for h in found)), len(found) / (n + 20.0) * 10, max([h[7] / (1 + h[1]) for h in found], default=0.0), math.log1p(len(stems)), float(len(set(stems)) > 1)]
 
 
-def learn_lexicon(rows: DataFrame, max_terms: int = MAX_TERMS) -> tuple[list[str], list[float]]:
+def learn_lexicon(rows: DataFrame) -> tuple[list[str], list[float]]:
     """Terms of (text, toxic) ``rows`` with their log odds, copies of a text counted once."""
     once = rows.groupBy(F.md5(F.coalesce("text", F.lit(""))).alias("h")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic"))
     once = materialize(once)
     n = once.agg(F.sum("toxic").alias("p"), F.sum(1 - F.col("toxic")).alias("n")).first()
     if not n.p or not n.n:
         return [], []
-    words = once.select("h", "toxic", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}]{3,40})"), F.lit(1)))).alias("word"))
+    words = once.select("h", "toxic", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}]{2,}+)"), F.lit(1)))).alias("word"))
     stems = words.select("h", "toxic", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(4), F.lit(8)), lambda k: F.substring("word", F.lit(1), k)))).alias("word"))
     stems = stems.filter(F.length("word") > 3).groupBy("h", "toxic", "word").count().filter("count > 1")
     odds = F.log((F.col("p") + 0.5) / (n.p + 1)) - F.log((F.col("n") + 0.5) / (n.n + 1))
+    rate, both = n.p / (n.p + n.n), F.col("p") + F.col("n")
+    part = lambda seen, share: F.when(F.col(seen) > 0, F.col(seen) * F.log(F.col(seen) / (both * share))).otherwise(0.0)
+    ratio = 2 * (part("p", rate) + part("n", 1 - rate))
 
     def best(rows: DataFrame) -> list:
         counts = rows.groupBy("word").agg(F.sum("toxic").alias("p"), F.sum(1 - F.col("toxic")).alias("n")).withColumn("odds", odds)
-        return counts.filter((F.col("p") >= max(4, MIN_SHARE * n.p)) & (F.col("odds") >= 2.5)).orderBy(F.desc(F.col("odds") * F.col("p")), "word").limit(max_terms).collect()
+        sure = (F.col("p") >= LEAST) & (F.col("odds") >= ODDS) & (ratio >= SURE)
+        return counts.filter(sure).orderBy(F.desc(F.col("odds") * F.col("p")), "word").collect()
 
     terms, values, roots = [], [], []
     for r in best(words):
@@ -258,14 +262,14 @@ def _features(docs: DataFrame, terms: list[str], odds: list[float], edits: list[
                 x = [scorer.features(t) for t in part.column(part.num_columns - 1).to_pylist()]
                 yield pa.record_batch([*part.columns[:-1], pa.array(x, pa.list_(pa.float64()))], out.names)
 
-    return rows.mapInArrow(run, out)
+    return map_batches(rows, run, out)
 
 
-def train(rows: DataFrame, train_docs: int = TRAIN_DOCS, max_terms: int = MAX_TERMS) -> Model:
+def train(rows: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
     """Lexicon and weights from (doc_id, text, toxic) ``rows``."""
     rows = rows.filter(F.col("toxic").isin(0, 1)).select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
     rows = materialize(bounded_rows(rows, train_docs, "doc_id"))
-    terms, odds = learn_lexicon(rows, max_terms)
+    terms, odds = learn_lexicon(rows)
     edits = edit_budgets(rows, terms, odds)
     got = _features(rows, terms, odds, edits, ["doc_id", "toxic"]).orderBy("doc_id").collect()
     if not got:
@@ -286,7 +290,7 @@ def score(docs: DataFrame, model: Model, *keep: Column) -> DataFrame:
                 q = 1 / (1 + np.exp(-np.clip(x @ model.weights, -30, 30)))
                 yield pa.record_batch([*part.columns[:-1], pa.array(q), pa.array((q >= 0.5).astype(np.int32))], out.names)
 
-    return rows.mapInArrow(run, out)
+    return map_batches(rows, run, out)
 
 
 def spans(docs: DataFrame, model: Model) -> DataFrame:
@@ -304,4 +308,4 @@ def spans(docs: DataFrame, model: Model) -> DataFrame:
                 row, *columns = zip(*rows, strict=True) if rows else [()] * 8
                 yield pa.record_batch([part.column(0).take(pa.array(row, pa.int64())), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], out.names)
 
-    return ids.mapInArrow(run, out)
+    return map_batches(ids, run, out)
