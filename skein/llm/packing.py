@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skein.llm.common import byte_texts, materialize, text_slices
+from skein.llm.common import byte_texts, map_batches, materialize, text_slices
 
 CAPACITY = 4096
 END_ID = 1
@@ -139,7 +139,7 @@ def tokens(docs: DataFrame, file: str | None = None, capacity: int = CAPACITY, e
                 columns = [part.column(0).take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array([len(c) // 4 for c in cut], pa.int64()), pa.array(map(zlib.crc32, cut), pa.int64())]
                 yield pa.record_batch(columns + [pa.array(cut, pa.binary())] * keep_ids, out.names)
 
-    return ids.mapInArrow(run, out)
+    return map_batches(ids, run, out)
 
 
 class OpenBins:
@@ -189,7 +189,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS
             yield pa.record_batch([*batch.columns, pa.array([first + b for b, _ in placed], pa.int64()), pa.array([o for _, o in placed], pa.int64())], out.names)
 
     order = [F.desc("length"), *(F.col(c) for c in pieces.columns if c in ("doc_id", "piece"))]
-    return pieces.repartition(tasks).sortWithinPartitions(*order).mapInArrow(run, out)
+    return map_batches(pieces.repartition(tasks).sortWithinPartitions(*order), run, out)
 
 
 def pack_documents(docs: DataFrame, file: str | None = None, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, keep_ids: bool = False) -> DataFrame:

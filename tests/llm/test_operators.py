@@ -83,6 +83,9 @@ def test_toxicity_learns_misspellings_and_quotes(spark, edges, empty):
     rows = spark.createDataFrame([(1, "you worthles idoit clown"), (2, "calm and kind today"), (3, 'she said "idiot" to him'), (4, "she said idiot to him")], "doc_id int, text string")
     got = {r.doc_id: r for r in toxicity.score(rows, model).collect()}
     assert got[1].predicted == 1 and got[2].predicted == 0 and got[3].score < got[4].score
+    turkish = "İİİ you are an idiot and a CLOWN"
+    spans = toxicity.spans(spark.createDataFrame([(9, turkish)], "doc_id int, text string"), model).collect()
+    assert {turkish[r.start : r.end].lower() for r in spans} >= {"idiot", "clown"}
     hits = {(r.term, r.edits) for r in toxicity.spans(rows, model).filter("doc_id = 1").collect()}
     assert ("worthless", 1) in hits and ("clown", 0) in hits
     scored = toxicity.score(edges, model).collect()
@@ -92,6 +95,38 @@ def test_toxicity_learns_misspellings_and_quotes(spark, edges, empty):
     assert {r.predicted for r in toxicity.score(edges, nothing).collect()} == {0}
 
 
+def plain_hits(text, model):
+    """(term or its edits, start, end) by the edit distance to every term."""
+    out = []
+    for m in re.finditer(r"[^\W_]+(?:[*@$][^\W_]+)*", text):
+        w = m[0].lower()
+        reach = [distance(w, t) for t, e in zip(model.terms, model.edits) if not t.endswith("~") and distance(w, t) <= e]
+        if reach:
+            out.append((min(reach), m.start(), m.end()))
+    return out
+
+
+def test_toxicity_equals_brute_force_over_whole_texts(spark):
+    """Hits by all distances, and scores by the plain formula, on every text of the small table with planted misspellings."""
+    model = toxicity.train(toxic_rows(spark))
+    rng = random.Random(15)
+    texts = [r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").select("text").limit(60).collect()]
+    for i in range(0, 60, 2):
+        w = list(rng.choice([t for t in model.terms if not t.endswith("~")]))
+        w[rng.randrange(len(w))] = rng.choice("xyz")
+        texts[i] = f"{texts[i][:2000]} {''.join(w)} {texts[i][2000:4000]}"
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {}
+    for r in toxicity.spans(df, model).collect():
+        if not r.term.endswith("~"):
+            got.setdefault(r.doc_id, []).append((r.edits, r.start, r.end))
+    for i, t in enumerate(texts):
+        assert sorted(got.get(i, [])) == sorted(plain_hits(t, model)), i
+    scorer = toxicity.Scorer(model.terms, model.odds, model.edits)
+    for r in toxicity.score(df, model).collect():
+        assert r.score == pytest.approx(1 / (1 + math.exp(-float(np.dot(scorer.features(texts[r.doc_id]), model.weights)))))
+
+
 def test_toxicity_held_out(spark):
     got = queries.op1_toxicity(spark, DATA.replace("0.001", "0.01")).join(spark.read.parquet(f"{DATA.replace('0.001', '0.01')}/labels.parquet"), "doc_id").filter("held_out").collect()
     bad, good = [r.score for r in got if r.toxic], [r.score for r in got if not r.toxic]
@@ -366,6 +401,34 @@ def test_search_recall_ties_and_bad_vectors(spark):
     assert ann.search(df.limit(0), F.col("vec_id") == 0).isEmpty()
 
 
+def test_best_keeps_the_smaller_id_of_exact_ties():
+    rng = np.random.default_rng(14)
+    q, v = rng.normal(size=(5, 16)), rng.normal(size=(400, 16))
+    v[300:] = v[:100][:, ::-1]
+    q[0] = 1.0  # all products of mirrored vectors tie
+    ids = rng.permutation(400)
+    for k in (1, 7, 500):
+        columns, scores = ann.best(q, v, ids, k)
+        for i in range(5):
+            want = sorted(range(400), key=lambda c: (-(q[i] * v[c]).sum(), ids[c]))[: min(k, 400)]
+            assert columns[i].tolist() == want and scores[i].tolist() == [(q[i] * v[c]).sum() for c in want]
+
+
+def test_recall_of_queries_that_did_not_calibrate(spark):
+    """Recall on the table's own queries, of which the visits were calibrated on a part alone."""
+    folder = DATA.replace("0.001", "0.01")
+    rows = spark.read.parquet(f"{folder}/embeddings.parquet").collect()
+    x, vec = np.array([r.embedding for r in rows], float), np.array([r.vec_id for r in rows])
+    got = {}
+    for r in queries.op5_nearest_neighbours(spark, folder).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    right = total = 0
+    for i in np.flatnonzero(vec % 20 == 0):
+        order = [j for j in np.argsort(-(x @ x[i]), kind="stable") if j != i][:20]
+        right, total = right + len({int(vec[j]) for j in order} & got[int(vec[i])]), total + 20
+    assert right / total >= 0.9
+
+
 def test_tree_visits_every_leaf_once():
     x = np.random.default_rng(6).normal(size=(500, 6))
     tree = ann.KMeansTree(x, 40)
@@ -543,6 +606,8 @@ def test_language_held_out_and_edges(spark, edges, empty):
     assert np.mean([r.lang == r.lang_pred for r in got]) > 0.95 and all(0 <= r.score <= 1 for r in got)
     said = langid.identify(edges, langs, net).collect()
     assert len(said) == len(EDGES) and {r.lang_pred for r in said if r.doc_id in (1, 2, 3)} == {"und"}
+    signs = spark.createDataFrame([(i, t) for i, t in enumerate(["½", "²³", "Ⅷ", "123 _!", "É", "日", "ª"])], "doc_id int, text string")
+    assert [r.lang_pred == "und" for r in langid.identify(signs, langs, net).orderBy("doc_id").collect()] == [True] * 4 + [False] * 3
     assert langid.identify(empty, langs, net).isEmpty()
     assert {r.lang_pred for r in langid.identify(edges, *langid.train(empty)).collect()} == {"und"}
     assert net.documents([b"a" * 300, b"a" * 300])[0] == pytest.approx(net.documents([b"a" * 300])[0])
