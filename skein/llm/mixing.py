@@ -2,7 +2,8 @@
 
 Shares of the sources' tokens are raised to an exponent and normalised. The exponent is bisected: the largest one
 whose weights reach the target entropy and repeat no source over ``max_repeats`` times (at 1 sources keep
-their shares, at 0 all weigh alike). The budget is one full pass over the source that is wanted least beyond
+their shares, at 0 all weigh alike). Entropies come from the driver for up to ``FEW_SOURCES`` sources, beyond that from one aggregation a step;
+weights are columns of the table of sources, which is never collected whole. The budget is one full pass over the source that is wanted least beyond
 its share, so that every document appears at least once; a source that weighs more is
 repeated in whole epochs and one part epoch, each in its own hashed order.
 
@@ -18,17 +19,20 @@ doc_id is kept; equal rows share one place and appear equally often; one source
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from skein.llm.common import WORD, materialize
+from skein.llm.common import WORD, materialize, spare
 
 #: Target entropy as a share of the largest possible one.
 ENTROPY = 0.9
 MAX_REPEATS = 4.0
 BLOCKS = 64
+#: Sources whose token counts the driver holds at most.
+FEW_SOURCES = 100_000
 #: Rows that one bucket of a source holds on average.
 BUCKET_ROWS = 1000
 
@@ -51,23 +55,27 @@ def repeats(tokens: list[float], weights: list[float]) -> list[float]:
     return [r / min(ratio) for r in ratio]
 
 
+def bisect(holds: Callable[[float], bool]) -> float:
+    """Where ``holds`` turns false between 0 and 1; it holds at the low end."""
+    low, high = 0.0, 1.0
+    for _ in range(60):
+        mid = (low + high) / 2
+        low, high = (mid, high) if holds(mid) else (low, mid)
+    return low
+
+
 def solve_exponent(tokens: list[float], target: float = ENTROPY, max_repeats: float = MAX_REPEATS) -> float:
     """Largest exponent in [0, 1] that reaches the entropy, raised where the repetition limit asks for it."""
+    return _exponent(len(tokens), min(tokens, default=1), max(tokens, default=1), lambda a: entropy(tempered(tokens, a)), target, max_repeats)
 
-    def bisect(ok_at_low) -> float:
-        low, high = 0.0, 1.0
-        for _ in range(60):
-            mid = (low + high) / 2
-            low, high = (mid, high) if ok_at_low(mid) else (low, mid)
-        return low
 
-    if len(tokens) < 2:
+def _exponent(n: int, least: float, most: float, entropy_at: Callable[[float], float], target: float, max_repeats: float) -> float:
+    if n < 2:
         return 1.0
-    wanted = target * math.log(len(tokens))
-    by_entropy = 1.0 if entropy(tempered(tokens, 1.0)) >= wanted else bisect(lambda a: entropy(tempered(tokens, a)) >= wanted)
-    if max(repeats(tokens, tempered(tokens, by_entropy))) <= max_repeats:
-        return by_entropy
-    return bisect(lambda a: max(repeats(tokens, tempered(tokens, a))) > max_repeats) + 2**-50
+    wanted = target * math.log(n)
+    by_entropy = 1.0 if entropy_at(1.0) >= wanted else bisect(lambda a: entropy_at(a) >= wanted)
+    passes = lambda a: (most / least) ** (1 - a)  # of the source that weighs most beyond its share
+    return by_entropy if passes(by_entropy) <= max_repeats else bisect(lambda a: passes(a) > max_repeats) + 2**-50
 
 
 def n_tokens():
@@ -83,18 +91,27 @@ def row_order(epoch, key, seed: int):
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), epoch, key), 11)
 
 
-def source_weights(rows: DataFrame, target: float = ENTROPY, max_repeats: float = MAX_REPEATS) -> DataFrame:
-    """source, rows, tokens, weight and passes of every source of counted ``rows``.
+def source_weights(rows: DataFrame, target: float = ENTROPY, max_repeats: float = MAX_REPEATS, few: int = FEW_SOURCES) -> DataFrame:
+    """source, rows, tokens, weight and passes of every source of counted ``rows``."""
+    sized = materialize(rows.groupBy("source").agg(F.count("*").alias("rows"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens")))
+    real = sized.filter("tokens > 0")
+    n, total, least, most = real.agg(F.count("*"), F.sum("tokens"), F.min("tokens"), F.max("tokens")).first()
+    share = F.col("tokens") / F.lit(float(total or 1))
+    if n <= few:
+        tokens = sorted(float(r.tokens) for r in real.select("tokens").collect())
+        entropy_at = lambda a: entropy(tempered(tokens, a))
+    else:
 
-    Sources are hosts or data sets, not documents: their table, one row each, passes through the driver.
-    """
-    sized = rows.groupBy("source").agg(F.count("*").alias("rows"), F.sum("tokens").alias("tokens")).orderBy("source").collect()
-    real = [r for r in sized if r.tokens]
-    tokens = [float(r.tokens) for r in real]
-    w = tempered(tokens, solve_exponent(tokens, target, max_repeats)) if tokens else []
-    by = {r.source: x for r, *x in zip(real, w, repeats(tokens, w) if tokens else [], strict=True)}
-    said = [(r.source, r.rows, int(r.tokens or 0), *by.get(r.source, (0.0, 1.0))) for r in sized]
-    return rows.sparkSession.createDataFrame(said, "source string, rows long, tokens long, weight double, passes double")
+        def entropy_at(a: float) -> float:
+            z, weighed = real.agg(F.sum(share**a), F.sum(share**a * F.log(share))).first()
+            return math.log(z) - a * weighed / z
+
+    a = _exponent(n, float(least or 1), float(most or 1), entropy_at, target, max_repeats)
+    powers = real.agg(F.sum(share**a)).first()[0] or 1.0
+    has = F.col("tokens") > 0
+    weight = F.when(has, share**a / F.lit(powers)).otherwise(0.0)
+    passes = F.when(has, (F.lit(float(most or 1)) / F.col("tokens")) ** (1 - a)).otherwise(1.0)
+    return materialize(sized.select("source", "rows", "tokens", weight.alias("weight"), passes.alias("passes")))
 
 
 def small(df: DataFrame, most: int = 100_000) -> DataFrame:
@@ -135,7 +152,8 @@ def mix(docs: DataFrame, target: float = ENTROPY, max_repeats: float = MAX_REPEA
     small table of sources tells each row how often it appears.
     """
     said = materialize(schedule(docs, target, max_repeats, seed=seed).groupBy("source", "epoch").agg(F.max("place").alias("place")))
-    ends = small(said.groupBy(F.col("source").alias("__s")).agg(F.max("epoch").alias("__last"), F.max_by("place", "epoch").alias("__place")))
-    joined = docs.join(ends, F.col("source").eqNullSafe(F.col("__s")))
-    again = (row_order(F.col("__last"), row_key(), seed) <= F.col("__place")).cast("int")
-    return joined.withColumn("__n", F.explode(F.sequence(F.lit(1), F.greatest(F.col("__last") + again, F.lit(1))))).select(*docs.columns)
+    of, last, place, copy = (spare(docs, x) for x in ("of", "last", "place", "copy"))
+    ends = small(said.groupBy(F.col("source").alias(of)).agg(F.max("epoch").alias(last), F.max_by("place", "epoch").alias(place)))
+    joined = docs.join(ends, F.col("source").eqNullSafe(F.col(of)))
+    again = (row_order(F.col(last), row_key(), seed) <= F.col(place)).cast("int")
+    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1), F.greatest(F.col(last) + again, F.lit(1))))).select(*docs.columns)

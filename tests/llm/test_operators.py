@@ -23,7 +23,7 @@ EDGES = [
     (1, None, None, None, None), (2, "", "en", "a", 0), (3, " \n\t ", "en", "a", 4), (4, LONG, "en", "a", len(LONG)), (None, "a text without an id, of some length", "en", "b", 36),
     (5, "twin words stand here in a row", "en", "b", 30), (6, "twin words stand here in a row", "en", "b", 30), (7, "repeated row", "de", None, 12), (7, "repeated row", "de", None, 12), (8, "ünïcödé 😀 a\x1cb <|endoftext|> x's", "fr", "c", 30),
 ]
-CLASH = ["score", "kept", "n_words", "host", "fp", "leaf", "key", "tokens", "label", "value", "length", "spans", "x", "seq"]
+CLASH = ["k", "t", "of", "last", "place", "copy", "lost", "run", "h", "removed", "node", "root", "score", "kept", "n_words", "host", "fp", "leaf", "key", "tokens", "label", "value", "length", "spans", "x", "seq"]
 
 
 @pytest.fixture(scope="module")
@@ -613,6 +613,36 @@ def test_language_held_out_and_edges(spark, edges, empty):
     assert net.documents([b"a" * 300, b"a" * 300])[0] == pytest.approx(net.documents([b"a" * 300])[0])
 
 
+def plain_probabilities(net, text):
+    """Mean class probabilities of a text, byte after byte in plain loops."""
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    p, h, total = {k: v.astype(float) for k, v in net.p.items()}, net.h, 0
+    for at in range(0, len(text), langid.SEGMENT):
+        part = text[at : at + langid.SEGMENT]
+        both = []
+        for d in (0, 1):
+            state, seen = np.zeros(h), {}
+            for i in range(len(part)) if not d else range(len(part) - 1, -1, -1):
+                x, u = p[f"x{d}"][:, part[i]], p[f"u{d}"] @ state
+                z, r = sigmoid(x[:h] + u[:h]), sigmoid(x[h : 2 * h] + u[h : 2 * h])
+                n = np.tanh(x[2 * h :] + r * u[2 * h :])
+                state = seen[i] = n + z * (state - n)
+            both.append(seen)
+        for i in range(len(part)):
+            q = np.exp(p["v"] @ np.concatenate([both[0][i], both[1][i]]) + p["c"][:, 0])
+            total = total + q / q.sum()
+    return total / len(text)
+
+
+def test_language_equals_plain_loops(spark, docs):
+    langs, net = langid.train(docs, epochs=1)
+    some = docs.filter("length(text) > 0").orderBy("doc_id").limit(12)
+    got = {r.doc_id: r for r in langid.identify(some, langs, net).collect()}
+    for r in some.collect():
+        mean = plain_probabilities(net, r.text.encode())
+        assert got[r.doc_id].lang_pred == langs[int(mean.argmax())] and got[r.doc_id].score == pytest.approx(mean.max(), abs=1e-4)
+
+
 # 8 mixing
 
 
@@ -647,6 +677,43 @@ def test_schedule_spreads_sources(spark, edges, empty, monkeypatch):
     assert mixing.schedule(empty).isEmpty() and mixing.mix(empty).isEmpty()
 
 
+def plain_schedule(rows, weights, blocks):
+    """Block of each (source, epoch, key) by running token counts, from the rows' places; ``weights`` gives (passes, tokens) of a source."""
+    out = {}
+    for source, (passes, total) in weights.items():
+        mine = [r for r in rows if r.source == source]
+        for epoch in range(max(1, math.ceil(passes))):
+            at = epoch * total
+            for r in sorted(mine, key=lambda r: (r.places[epoch], r.key)):
+                if epoch == 0 or at < passes * total:
+                    out[source, epoch, r.key] = min(int(at / max(passes * total, 1.0) * blocks), blocks - 1)
+                at += r.tokens
+    return out
+
+
+def test_schedule_equals_plain_counts(spark, monkeypatch):
+    """Every appearance and its block, against running sums over each source in the order of its permutation."""
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 20)
+    rows = [(i, f"w{i} " * (1 + i % 9), "hot" if i % 3 else f"s{i % 4}") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    places = F.array(*(mixing.row_order(F.lit(e), F.col("key"), 5) for e in range(8)))
+    keyed = df.select("doc_id", "source", mixing.row_key().alias("key"), mixing.n_tokens().alias("tokens")).withColumn("places", places).collect()
+    tokens = {}
+    for r in keyed:
+        assert r.tokens == len(words(rows[r.doc_id][1]))
+        tokens[r.source] = tokens.get(r.source, 0) + r.tokens
+    names = sorted(tokens)
+    w = mixing.tempered([float(tokens[s]) for s in names], mixing.solve_exponent([float(tokens[s]) for s in names]))
+    passes = dict(zip(names, mixing.repeats([float(tokens[s]) for s in names], w)))
+    want = plain_schedule(keyed, {s: (passes[s], tokens[s]) for s in names}, 16)
+    got = mixing.schedule(df, blocks=16).collect()
+    ids = {r.key: r.doc_id for r in keyed}
+    assert {(r.source, r.epoch, r.doc_id): r.block for r in got} == {(s, e, ids[k]): b for (s, e, k), b in want.items()} and len(got) == len(want)
+    counted = df.select("source", mixing.n_tokens().alias("tokens"))
+    few, many = ({r.source: (r.weight, r.passes) for r in mixing.source_weights(counted, few=n).collect()} for n in (100, 0))
+    assert all(x[s] == pytest.approx((w[i], passes[s])) for x in (few, many) for i, s in enumerate(names))
+
+
 # 9 secrets
 
 
