@@ -105,9 +105,19 @@ def search_text(x: Column) -> Column:
     return F.lower(F.regexp_replace(F.replace(decode_percent(x), F.lit("\\"), F.lit("/")), "/+", "/"))
 
 
+#: Absolute Windows and POSIX paths; what stands before a POSIX path is kept.
+_WINDOWS_PATH, _POSIX_PATH = r"[A-Za-z]:[\\/][^\s'\"`]+", r"(^|[\s'\"`(])/[^\s'\"`):]+"
+
+
 def sanitize_error(x: Column) -> Column:
     """Absolute Windows and POSIX paths replaced."""
-    return F.regexp_replace(F.regexp_replace(x, r"[A-Za-z]:[\\/][^\s'\"`]+", "<path>"), r"(^|[\s'\"`(])/[^\s'\"`):]+", "$1<path>")
+    return F.regexp_replace(F.regexp_replace(x, _WINDOWS_PATH, "<path>"), _POSIX_PATH, "$1<path>")
+
+
+def sanitize_text(x: str) -> str:
+    """``sanitize_error`` of a string at hand, without its file URLs."""
+    x = re.sub(r"file:/+[^\s'\"`]+", "<path>", x)
+    return re.sub(_POSIX_PATH, r"\1<path>", re.sub(_WINDOWS_PATH, "<path>", x))
 
 
 def file_stem(path: Column) -> Column:
@@ -119,8 +129,9 @@ def referenced_files(x: Column) -> Column:
     return F.array_distinct(F.transform(found, decode_percent))
 
 
-def global_storage_path(x: Column) -> Column:
-    return F.regexp_replace(x, r"[/\\]workspaceStorage(?:[/\\].*)?$", "/globalStorage/state.vscdb")
+def global_storage_path(x: str) -> str:
+    """The global database beside a folder of workspaces."""
+    return re.sub(r"[/\\]workspaceStorage(?:[/\\].*)?$", "/globalStorage/state.vscdb", x)
 
 
 def document_terms(x: Column) -> Column:

@@ -12,7 +12,8 @@ from skein.schema import ROLES
 from skein.sources.jsonl import metadata
 
 TOOL = "antigravity"
-# Step types as the store names them, and the payload keys of path and plain tool steps.
+# The head lines of an artifact's message, step types as the store names them, and the payload keys of path and plain tool steps.
+HEAD = ("Antigravity artifact: ", "Source: ", "Type: ", "Summary: ")
 STEP = "CORTEX_STEP_TYPE_"
 PATH_STEPS = {"VIEW_FILE": ("view_file", "viewFile", ("absolutePathUri", "filePath", "path")), "LIST_DIRECTORY": ("list_dir", "listDirectory", ("directoryPath", "path"))}
 PLAIN_STEPS = {"FIND": ("find", "find", ("query",)), "SEARCH_WEB": ("search_web", "searchWeb", ("query", "summary")), "READ_URL_CONTENT": ("read_url", "readUrlContent", ("url",))}
@@ -33,9 +34,12 @@ def _finish(rows: DataFrame, since: Column | None, order: list) -> DataFrame:
     return rows.select(F.lit(TOOL).alias("tool"), "session_id", "ts", "role", "content", "message_index", "metadata")
 
 
-def artifacts(spark: SparkSession, path: str, project_root: str | None = None, since: Column | None = None) -> DataFrame:
-    """Chunks of ``<path>/<session>/*.md`` or ``.txt``; the time is the sidecar's, else the file's."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+def artifacts(spark: SparkSession, path: str | DataFrame, project_root: str | None = None, since: Column | None = None) -> DataFrame:
+    """Chunks of ``<path>/<session>/*.md`` or ``.txt``; the time is the sidecar's, else the file's.
+
+    A DataFrame of path, modificationTime and content stands for a folder.
+    """
+    files = path if isinstance(path, DataFrame) else spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     files = files.select(F.regexp_replace("path", "^file:/+", "/").alias("file"), "modificationTime", F.col("content").cast("string").alias("body"))
     name = F.regexp_extract("file", r"([^/]+)$", 1)
     body = files.filter(F.lower(name).rlike(r"\.(md|txt)$") & ~F.contains(name, F.lit(".resolved")) & (F.length(trim_space(F.col("body"))) > 0))
@@ -46,7 +50,7 @@ def artifacts(spark: SparkSession, path: str, project_root: str | None = None, s
     rows = rows.withColumns({"ts": F.when(parsed > F.timestamp_seconds(F.lit(0)), parsed).otherwise(F.col("modificationTime")), "refs": referenced_files(F.col("body"))})
     if project_root is not None:
         rows = rows.filter(mentions_project(F.concat_ws("\n", "file", "summary", "body", "refs"), project_root))
-    header = F.concat_ws("\n", F.concat(F.lit("Antigravity artifact: "), "name"), F.concat(F.lit("Source: "), "file"), F.concat(F.lit("Type: "), "kind"), F.concat(F.lit("Summary: "), "summary"))
+    header = F.concat_ws("\n", *(F.concat(F.lit(label), c) for label, c in zip(HEAD, ("name", "file", "kind", "summary"), strict=True)))
     rows = rows.withColumn("content", F.concat(header, F.lit("\n\n"), trim_space(F.col("body")))).withColumn("role", F.lit("assistant"))
     rows = rows.withColumn("metadata", metadata(artifact_type=F.col("kind"), artifact_name=F.col("name"), summary=F.col("summary"), source_path=F.col("file"), referenced_files=F.col("refs")))
     return _finish(rows, since, ["ts", "file"])

@@ -1,7 +1,8 @@
 """Transcript sources kept in SQLite files: copilot, cursor and opencode.
 
 A database file is read as binary by Spark, wherever it is stored, and queried in memory on the executor that holds
-it; its rows then are an ordinary DataFrame. Files are dealt over the cluster; one file is one task's work.
+it; its rows then are an ordinary DataFrame. Files are dealt over the cluster; one file is one task's work, and a file of 2 GB or more,
+which a binary value cannot hold, is left out and reported. A DataFrame of path and content stands for a folder everywhere.
 """
 
 from __future__ import annotations
@@ -16,16 +17,33 @@ from pyspark.sql.window import Window
 
 from skein.functions import variants as V
 from skein.functions.text import path_in_project, to_timestamp, trim_space
-from skein.sources.jsonl import COPILOT_ROLES, _emit, drift_rows, lookup, metadata
+from skein.sources.jsonl import COPILOT_ROLES, UNREADABLE, _emit, absent, drift_rows, lookup, metadata, odd_kind
 
 
-def query_files(spark: SparkSession, path: str, sql: str, columns: str, glob: str = "*", fallback: str | None = None) -> DataFrame:
+def renamed(field: str) -> str:
+    return f"{absent(field)}, another field holds an array"
+
+
+#: Bytes from which a file is no binary value.
+MOST_BYTES = 2**31 - 1
+
+
+def database_files(spark: SparkSession, path: str | DataFrame, glob: str) -> DataFrame:
+    """path and content of every database below ``path``; content is null where a file is too large."""
+    if isinstance(path, DataFrame):
+        return path.select("path", "content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
+    small = files.filter(F.col("length") < MOST_BYTES).select("path", "content")
+    return small.unionByName(files.filter(F.col("length") >= MOST_BYTES).select("path", F.lit(None).cast("binary").alias("content")))
+
+
+def query_files(spark: SparkSession, path: str | DataFrame, sql: str, columns: str, glob: str = "*", fallback: str | None = None) -> DataFrame:
     """file and the result ``columns`` (all strings, in order of the query) of ``sql`` over every database below ``path``.
 
     A failing query is tried again as ``fallback``; a file that cannot be read gives one row with its ``error``.
     """
     names = columns.split()
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path).select("path", "content")
+    files = database_files(spark, path, glob)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -33,6 +51,8 @@ def query_files(spark: SparkSession, path: str, sql: str, columns: str, glob: st
                 rows, error = [], None
                 db = sqlite3.connect(":memory:")
                 try:
+                    if content is None:
+                        raise sqlite3.Error("file too large")
                     db.deserialize(content)
                     try:
                         rows = db.execute(sql).fetchall()
@@ -55,7 +75,7 @@ def _failed(rows: DataFrame, tool: str) -> DataFrame:
     return drift_rows(rows.withColumn("line_no", F.lit(0)), tool, (F.col("error").isNotNull(), F.concat(F.lit("query failed: "), F.col("error")), 0))
 
 
-def copilot(spark: SparkSession, path: str, workspaces: DataFrame | None = None, project_root: str | None = None) -> tuple[DataFrame, DataFrame]:
+def copilot(spark: SparkSession, path: str | DataFrame, workspaces: DataFrame | None = None, project_root: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(chunks, drift). A map of sessions with their requests; every turn is emitted again on each run and deduplicated by id.
 
     ``workspaces`` (folder, root) names the project of a database's folder, from its workspace.json.
@@ -80,12 +100,12 @@ def copilot(spark: SparkSession, path: str, workspaces: DataFrame | None = None,
     other = F.exists(F.map_values(s.try_cast("map<string,variant>")), lambda x: V.kind(x) == "array")
     odd = drift_rows(
         session.withColumn("line_no", F.lit(0)), "copilot",
-        (F.col("session_id").isNull(), "session has no string sessionId", 1),
-        (V.kind(created) != "number", F.concat(F.lit("creationDate is not a number, got "), V.kind(created)), 0),
-        (V.has(s, "requests") & (V.kind(requests) != "array"), F.concat(F.lit("'requests' is not an array, got "), V.kind(requests)), 1),
-        (~V.has(s, "requests") & other, "'requests' is missing and another key holds an array — likely renamed", 1),
+        (F.col("session_id").isNull(), absent("sessionId"), 1),
+        (V.kind(created) != "number", odd_kind("creationDate", V.kind(created)), 0),
+        (V.has(s, "requests") & (V.kind(requests) != "array"), odd_kind("requests", V.kind(requests)), 1),
+        (~V.has(s, "requests") & other, renamed("requests"), 1),
     )
-    bad = drift_rows(v.withColumn("line_no", F.lit(0)), "copilot", (F.col("v").isNull(), "value is not valid JSON", 1), (F.col("v").isNotNull() & (V.kind(F.col("v")) != "object"), "value is not an object", 1))
+    bad = drift_rows(v.withColumn("line_no", F.lit(0)), "copilot", (F.col("v").isNull(), UNREADABLE, 1), (F.col("v").isNotNull() & (V.kind(F.col("v")) != "object"), odd_kind("value", V.kind(F.col("v"))), 1))
     return _emit(rows, "copilot", None), odd.unionByName(bad).unionByName(_failed(read, "copilot"))
 
 
@@ -104,7 +124,7 @@ def _scoped(read: DataFrame, workspaces: DataFrame | None, project_root: str | N
     return read.withColumn("folder", folder).join(inside, "folder", "left_semi").drop("folder")
 
 
-def cursor(spark: SparkSession, workspace_path: str, global_path: str, workspaces: DataFrame | None = None, project_root: str | None = None, since: Column | None = None) -> tuple[DataFrame, DataFrame]:
+def cursor(spark: SparkSession, workspace_path: str | DataFrame, global_path: str | DataFrame, workspaces: DataFrame | None = None, project_root: str | None = None, since: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """(chunks, drift). Workspaces list conversations; the global store holds them and their bubbles under built keys."""
     listed = _scoped(query_files(spark, workspace_path, "SELECT value FROM ItemTable WHERE key = 'composer.composerData'", "value", "state.vscdb"), workspaces, project_root)
     kv = query_files(spark, global_path, "SELECT key, value FROM cursorDiskKV WHERE key LIKE 'composerData:%' OR key LIKE 'bubbleId:%'", "key value", "state.vscdb")
@@ -136,16 +156,16 @@ def cursor(spark: SparkSession, workspace_path: str, global_path: str, workspace
     at = found.withColumn("line_no", F.lit(0)).withColumn("file", F.concat_ws("#", "file", "id"))
     odd = drift_rows(
         at, "cursor",
-        (c.isNull(), "conversation is listed but not stored", 1),
-        (V.has(c, "fullConversationHeadersOnly") & (V.kind(headers) != "array"), F.concat(F.lit("header list is not an array, got "), V.kind(headers)), 1),
-        (c.isNotNull() & ~V.has(c, "fullConversationHeadersOnly") & other, "header list is missing and another key holds an array — likely renamed", 1),
-        (V.has(c, "modelConfig") & (V.kind(V.at(c, "$.modelConfig")) != "object"), F.concat(F.lit("modelConfig is not an object, got "), V.kind(V.at(c, "$.modelConfig"))), 0),
+        (c.isNull(), "listed conversation is not stored", 1),
+        (V.has(c, "fullConversationHeadersOnly") & (V.kind(headers) != "array"), odd_kind("fullConversationHeadersOnly", V.kind(headers)), 1),
+        (c.isNotNull() & ~V.has(c, "fullConversationHeadersOnly") & other, renamed("fullConversationHeadersOnly"), 1),
+        (V.has(c, "modelConfig") & (V.kind(V.at(c, "$.modelConfig")) != "object"), odd_kind("modelConfig", V.kind(V.at(c, "$.modelConfig"))), 0),
     )
-    bad = drift_rows(v.withColumn("line_no", F.lit(0)), "cursor", (F.col("v").isNull(), "composer data is not valid JSON", 1), (F.col("v").isNotNull() & (V.kind(V.at(F.col("v"), "$.allComposers")) != "array"), "allComposers is not an array", 1))
+    bad = drift_rows(v.withColumn("line_no", F.lit(0)), "cursor", (F.col("v").isNull(), UNREADABLE, 1), (F.col("v").isNotNull() & (V.kind(V.at(F.col("v"), "$.allComposers")) != "array"), odd_kind("allComposers", F.coalesce(V.kind(V.at(F.col("v"), "$.allComposers")), F.lit("none"))), 1))
     return _emit(rows, "cursor", since), odd.unionByName(bad).unionByName(_failed(listed, "cursor")).unionByName(_failed(kv, "cursor"))
 
 
-def opencode(spark: SparkSession, path: str, project_root: str | None = None, since: Column | None = None, glob: str = "*.db") -> tuple[DataFrame, DataFrame]:
+def opencode(spark: SparkSession, path: str | DataFrame, project_root: str | None = None, since: Column | None = None, glob: str = "*.db") -> tuple[DataFrame, DataFrame]:
     """(chunks, drift). Sessions with their messages and parts; text parts join in order of (time_created, id)."""
     sessions = query_files(spark, path, "SELECT id, directory FROM session", "id directory", glob, fallback="SELECT id, NULL FROM session")
     messages = query_files(spark, path, "SELECT id, session_id, time_created, data FROM message", "id session_id time_created data", glob)
@@ -174,15 +194,15 @@ def opencode(spark: SparkSession, path: str, project_root: str | None = None, si
     role_kind = V.kind(V.at(v, "$.role"))
     odd = drift_rows(
         place(m, "message"), "opencode",
-        (v.isNull(), "message.data not parseable JSON", 1),
-        (v.isNotNull() & (V.kind(v) != "object"), F.concat(F.lit("message.data is not an object (got "), V.kind(v), F.lit(")")), 1),
-        ((V.kind(v) == "object") & ~V.has(v, "role"), "message.data missing 'role' field — likely renamed", 1),
-        (V.has(v, "role") & (role_kind != "string"), F.concat(F.lit("expected 'role' to be a string, got "), role_kind), 1),
+        (v.isNull(), f"message: {UNREADABLE}", 1),
+        (v.isNotNull() & (V.kind(v) != "object"), odd_kind("message", V.kind(v)), 1),
+        ((V.kind(v) == "object") & ~V.has(v, "role"), f"message: {absent('role')}", 1),
+        (V.has(v, "role") & (role_kind != "string"), odd_kind("role", role_kind), 1),
     )
-    broken = drift_rows(place(p, "part"), "opencode", (F.col("p").isNull(), "part.data not parseable JSON", 1), (F.col("p").isNotNull() & (V.kind(F.col("p")) != "object"), "part.data is not an object", 1))
+    broken = drift_rows(place(p, "part"), "opencode", (F.col("p").isNull(), f"part: {UNREADABLE}", 1), (F.col("p").isNotNull() & (V.kind(F.col("p")) != "object"), odd_kind("part", V.kind(F.col("p"))), 1))
     drift = odd.unionByName(broken)
     if project_root is not None:
-        drift = drift.unionByName(drift_rows(place(sessions.filter("error IS NULL AND directory IS NULL"), "session"), "opencode", (F.lit(True), "session has no directory; cannot attribute to a project", 1)))
+        drift = drift.unionByName(drift_rows(place(sessions.filter("error IS NULL AND directory IS NULL"), "session"), "opencode", (F.lit(True), "session without a directory, project unknown", 1)))
     for df in (sessions, messages, parts):
         drift = drift.unionByName(_failed(df, "opencode"))
     return _emit(rows, "opencode", since), drift

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from skein.functions.text import sanitize_text
 from skein.operators import ingest
 from skein.operators.store import Store
 from skein.schema import CHUNK
@@ -39,16 +40,23 @@ def into_store(chunks: DataFrame, store: Store, checkpoint: str, name: str = "ch
 
 
 def refresh(spark: SparkSession, store: Store, sources: list[Source]) -> dict[str, str]:
-    """Read every source into the store. A source that fails is recorded as last_error:<tool>, its cursor stays and the others go on."""
+    """Read what each source has since its cursor into the store; ``sources`` that fail are returned with their errors.
+
+    A source that fails is recorded as last_error:<tool> without paths, its cursor stays and the others go on.
+    """
     errors: dict[str, str] = {}
     said: dict[str, str | None] = {}
+    cursors = {r.tool: r.last_timestamp for r in store.cursors().collect()}
     for source in sources:
         try:
-            chunks, drift = source.read(spark, source)
+            if source.read is None:
+                raise ValueError(f"no reader for {source.tool}")
+            chunks, drift = source.read(spark, source, cursors.get(source.tool))
             store.ingest(chunks, drift)
             said[f"last_error:{source.tool}"] = None
         except Exception as e:  # one broken store must not stop the rest
-            errors[source.tool] = said[f"last_error:{source.tool}"] = str(e).splitlines()[0][:500] if str(e) else type(e).__name__
+            first = str(e).splitlines()[0][:500] if str(e) else type(e).__name__
+            errors[source.tool] = said[f"last_error:{source.tool}"] = sanitize_text(first)
     now = spark.sql("SELECT date_format(now(), \"yyyy-MM-dd'T'HH:mm:ss.SSS'Z'\") AS t").first().t
     store.set(last_scan_at=now, **said)
     return errors

@@ -187,7 +187,7 @@ def test_stream_into_store(spark, store, tmp_path):
 def test_failing_source_is_isolated(spark, store):
     from skein.sources.registry import Registry, Source
 
-    good = Source("codex", "Codex", "/tmp", lambda s, _: (chunks(s, chunk("s", 0, "ok")), None))
+    good = Source("codex", "Codex", "/tmp", lambda s, *_: (chunks(s, chunk("s", 0, "ok")), None))
 
     def fail(*_):
         raise OSError("cannot open /var/x")
@@ -196,7 +196,7 @@ def test_failing_source_is_isolated(spark, store):
     for s in (Source("cursor", "Cursor", "/tmp", fail), good):
         registry.register(s)
     assert set(incremental.refresh(spark, store, registry.available(spark))) == {"cursor"}
-    assert store.messages().count() == 1 and "cannot open" in store.settings()["last_error:cursor"]
+    assert store.messages().count() == 1 and store.settings()["last_error:cursor"] == "cannot open <path>"
     assert [r.tool for r in store.cursors().collect()] == ["codex"]
 
 
