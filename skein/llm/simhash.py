@@ -11,8 +11,8 @@ more by signatures of its other segment (two halves of 16 bits, one wildcard), a
 fingerprints can share a bucket.
 
 ``deduplicate`` links texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more. Two sets that much
-alike differ in about 15 of 100 fingerprint bits, so that its fingerprints are longer: as many segments of log2(texts) + 6 bits as give a pair at 0.8 a chance of 0.99 to have one that differs by at most one
-bit; nearer pairs have more. The segments' one-wildcard variants bring candidates together, 64 further bits thin them out, the exact
+alike differ in about 15 of 100 fingerprint bits, so that its fingerprints are longer: as many segments of log2(texts) + 6 bits as give a pair at 0.8 a chance of 0.997 to have one that differs by at most one
+bit; nearer pairs have more. The segments' one-wildcard variants bring candidates together, all bits thin them out, the exact
 similarity of the two texts decides. A variant holds at most two segment values, which are found in groups of half a segment
 (bounded by the number of its values, not of texts). Every two texts that share a variant are compared unless they are linked already.
 
@@ -46,11 +46,11 @@ BUCKET = 4096
 #: Shingle hashes whose bits are counted at a time.
 BLOCK = 1 << 15
 #: Words of a shingle, least similarity, and chance of finding a pair just there, of ``deduplicate``.
-WIDE_SHINGLE, SIMILARITY, FOUND = 5, 0.8, 0.99
-#: Bits that pairs may differ in of the 64 that thin candidates out: a pair at 0.8 differs in 9.7 on average, with a deviation of 2.9.
-THIN = 22
-#: Rows that are broadcast at most (16 bytes each), and the factor by which hubs of a bucket grow with each round.
-FEW, HUBS = 1_000_000, 8
+WIDE_SHINGLE, SIMILARITY, FOUND = 5, 0.8, 0.997
+#: Deviations of the bits that a pair differs in, above their number at the least similarity, beyond which it isn't compared.
+MARGIN = 3
+#: Rows that are broadcast at most (16 bytes each), the factor by which hubs of a bucket grow with each round, and hubs that a task holds at most.
+FEW, HUBS, MOST_HUBS = 1_000_000, 8, 4096
 
 
 def simhash_bytes(text: bytes | None, shingle: int = SHINGLE) -> bytes:
@@ -298,20 +298,23 @@ def wide_bits(texts: list[bytes | None], columns: int) -> np.ndarray:
 
 
 def wide_fingerprints(docs: DataFrame, bits: int, segments: int) -> DataFrame:
-    """The columns of ``docs`` before its text, thin (64 bits) and segments (number and value of each, in one long)."""
+    """The columns of ``docs`` before its text, print (the bits, in longs) and segments (number and value of each, in one long)."""
     ids = docs.select(*(c for c in docs.columns if c != "text"), "text")
-    out = T.StructType([*ids.schema.fields[:-1], T.StructField("thin", T.LongType()), T.StructField("segments", T.ArrayType(T.LongType()))])
+    out = T.StructType([*ids.schema.fields[:-1], T.StructField("print", T.ArrayType(T.LongType())), T.StructField("segments", T.ArrayType(T.LongType()))])
     weights = 1 << np.arange(bits, dtype=np.int64)
     numbers = np.arange(segments, dtype=np.int64) << bits
+    words = -(-bits * segments // 64)
+
+    def listed(x: np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch, "text"):
-                found = wide_bits(byte_texts(part, "text"), 64 + bits * segments)
-                thin = np.packbits(found[:, :64], axis=1).view(">i8").ravel().astype(np.int64)
-                values = found[:, 64:].reshape(-1, segments, bits) @ weights + numbers
-                cuts = pa.array(np.arange(len(found) + 1, dtype=np.int32) * segments)
-                yield pa.record_batch([*part.columns[:-1], pa.array(thin), pa.ListArray.from_arrays(cuts, pa.array(values.ravel()))], out.names)
+                found = wide_bits(byte_texts(part, "text"), 64 * words)
+                prints = np.packbits(found, axis=1).view(">i8").astype(np.int64)
+                values = found[:, : bits * segments].reshape(-1, segments, bits) @ weights + numbers
+                yield pa.record_batch([*part.columns[:-1], listed(prints), listed(values)], out.names)
 
     return map_batches(ids, run, out)
 
@@ -359,7 +362,7 @@ def _shared_variants(values: DataFrame, bits: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose texts are as similar."""
+    """The pairs (a, b) whose texts are as similar; ``texts`` (t, text) may hold a text several times, and only those of pairs travel."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, set()
@@ -373,48 +376,138 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
                     keep.append(i)
             yield pa.record_batch([pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64())], ["a", "b"])
 
+    wanted = materialize(pairs.select(F.col("a").alias("t")).unionByName(pairs.select(F.col("b").alias("t"))).distinct())
+    texts = materialize(texts.join(_few(wanted), "t").groupBy("t").agg(F.first("text").alias("text")))
     # written, so that both sides of the second join are plain shuffles and the rows of a hub can be split
     right = materialize(pairs.join(texts.select(F.col("t").alias("b"), F.col("text").alias("right")), "b"))
     both = right.join(texts.select(F.col("t").alias("a"), F.col("text").alias("left")), "a").select("a", "b", "left", "right")
     return materialize(map_batches(both, run, "a long, b long"))
 
 
-def similar_links(entries: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame | None:
+def bound(bits: int, similarity: float = SIMILARITY) -> int:
+    """Bits of ``bits`` that a pair may differ in to be compared: MARGIN deviations more than a pair at ``similarity`` does."""
+    differ = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.ceil(bits * differ + MARGIN * math.sqrt(bits * differ * (1 - differ)))
+
+
+def _alive(entries: DataFrame, similarity: float) -> DataFrame:
+    """The (key, t) of ``entries`` (key, t, thin) whose bucket holds more than two texts, or two that the bits ``thin`` find near."""
+    most = bound(64, similarity)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, keys, ts, thins = None, np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+
+        def chosen(n: int) -> pa.RecordBatch:
+            """Rows of the first ``n``, which end with a bucket or in the midst of one of over two rows."""
+            k = keys[:n]
+            starts = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]) if n else np.empty(0, np.int64)
+            sizes = np.diff(np.r_[starts, n])
+            stay = (sizes > 2) | (k[starts] == last) if n else sizes > 2
+            two = starts[sizes == 2]
+            stay[sizes == 2] |= np.bitwise_count((thins[two] ^ thins[two + 1]).view(np.uint64)) <= most
+            keep = np.repeat(stay, sizes)
+            return pa.record_batch([pa.array(k[keep]), pa.array(ts[:n][keep])], ["key", "t"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys, ts, thins = (np.concatenate([x, batch.column(i).to_numpy()]) for i, x in enumerate((keys, ts, thins)))
+            cut = int(np.searchsorted(keys, keys[-1]))
+            if len(keys) - cut > 2:  # a bucket that stays, whatever follows
+                cut = len(keys)
+            yield chosen(cut)
+            last = keys[-1] if cut == len(keys) else None
+            keys, ts, thins = keys[cut:], ts[cut:], thins[cut:]
+        yield chosen(len(keys))
+
+    return map_batches(entries.select("key", "t", "thin").repartition("key").sortWithinPartitions("key"), run, "key long, t long")
+
+
+def _met(near: DataFrame, order: list, first: int, hubs: int, most: int) -> DataFrame:
+    """t, a (a hub of one of its buckets, of another label), the hub's degree and the bits in which they differ.
+
+    Hubs of a bucket are its rows ``first`` to ``first + hubs`` in ``order``; they meet each other and all later rows. Buckets are streamed:
+    a task holds the hubs of one.
+    """
+    rows = near.select(F.explode("keys").alias("key"), "t", "label", "degree", "print", *(c.alias(f"o{i}") for i, c in enumerate(order)))
+    dealt = rows.repartition("key").sortWithinPartitions("key", *(f"o{i}" for i in range(len(order))), "t").select("key", "t", "label", "degree", "print")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, seen = None, 0
+        held: list[tuple[np.ndarray, ...]] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys, t, label, degree = (batch.column(i).to_numpy() for i in range(4))
+            prints = batch.column(4).flatten().to_numpy().view(np.uint64).reshape(batch.num_rows, -1)
+            starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+            out: list[tuple[np.ndarray, ...]] = []
+            for i, j in zip(starts.tolist(), [*starts[1:].tolist(), batch.num_rows], strict=True):
+                if keys[i] != key:
+                    key, seen, held = keys[i], 0, []
+                low, high = max(i, i + first - seen), min(j, i + first + hubs - seen)
+                seen += j - i
+                if low < high:  # new hubs meet those before them
+                    held.append((t[low:high], label[low:high], degree[low:high], prints[low:high]))
+                if not held or low >= j:
+                    continue
+                hub_t, hub_label, hub_degree, hub_prints = held[0] if len(held) == 1 else (np.concatenate(x) for x in zip(*held, strict=True))
+                for at in range(low, j, 512):
+                    some = slice(at, min(at + 512, j))
+                    for h in range(len(hub_t)):
+                        bits = np.bitwise_count(prints[some] ^ hub_prints[h]).sum(1)
+                        near = np.flatnonzero((bits <= most) & (label[some] != hub_label[h]))
+                        if len(near):
+                            n = len(near)
+                            out.append((t[some][near], np.full(n, hub_t[h]), np.full(n, hub_degree[h]), bits[near].astype(np.int64)))
+            columns = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.empty(0, np.int64)] * 4
+            yield pa.record_batch([pa.array(c.astype(np.int64)) for c in columns], ["t", "a", "degree", "bits"])
+
+    return map_batches(dealt, run, "t long, a long, degree long, bits long")
+
+
+def similar_links(entries: DataFrame, prints: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame | None:
     """Links (a, b) that join all similar texts among ``entries`` (key, t, thin) that share a key; None without candidates.
 
-    First every text is compared with the hub that has most shared keys (the original of a group of copies shares more than
-    they do among each other). Then each bucket that still holds unlinked texts compares hubs of its rarest group with those of the
-    other groups; a hub that was compared leaves its bucket.
+    ``prints`` are t and print. Two texts whose long fingerprints differ in more bits than ``bound`` aren't compared.
+    First every text is compared with the one that has most shared keys among its hubs (the original of a group of copies shares more than
+    they do among each other), then, while that links more, with the hub of another group that its fingerprint is nearest to. At last each
+    bucket compares its texts of small groups, some more in every round, with the texts of all other groups.
     """
-    apart = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
     pair = lambda df: df.select(F.least("a", "t").alias("a"), F.greatest("a", "t").alias("b")).distinct()
-    degree = materialize(entries.groupBy("t").agg(F.count("*").alias("degree")))
-    entries = materialize(entries.join(degree, "t").withColumn("label", F.col("t")))
-    if entries.isEmpty():
+    keys = _alive(entries, similarity).groupBy("t").agg(F.collect_list("key").alias("keys"))
+    near = materialize(keys.join(prints.select("t", "print"), "t").select("t", "print", "keys", F.size("keys").cast("long").alias("degree"), F.col("t").alias("label"), F.lit(1).cast("long").alias("size")))
+    one = near.first()
+    if one is None:
         return None
-    top = materialize(entries.groupBy("key").agg(F.max(F.struct("degree", F.col("t").alias("a"), F.col("thin").alias("other"))).alias("top")))
-    met = entries.join(top, "key").filter((F.col("t") != F.col("top.a")) & (apart("thin", "top.other") <= THIN))
-    asked = materialize(pair(met.groupBy("t").agg(F.max("top").alias("top")).select("t", "top.a")))
-    new, edges, hubs = _verified(asked, texts, similarity), None, HUBS
-    while True:
-        if not new.isEmpty():
-            edges = edges.unionByName(new) if edges else new
-            roots = materialize(components(edges).withColumnsRenamed({"node": "t", "root": "r"}))
-            entries = entries.join(roots, "t", "left").withColumn("label", F.coalesce("r", "label")).drop("r")
-        many = materialize(entries.groupBy("key").agg((F.min("label") != F.max("label")).alias("many")).filter("many").select("key"))
-        entries = materialize(entries.join(many, "key"))
-        if entries.isEmpty():
-            return edges
-        rare = materialize(entries.groupBy("key", "label").agg((-F.count("*")).alias("rare")))
-        part = F.pmod(F.xxhash64("t"), F.lit(hubs))
-        hub = F.max(F.struct("rare", "degree", F.col("t").alias("a"), F.col("thin").alias("other"), F.col("label").alias("of"))).alias("hub")
-        first = materialize(entries.join(rare, ["key", "label"]).groupBy("key", part.alias("part")).agg(hub).select("key", "hub.a", "hub.other", "hub.of"))
-        pairs = pair(entries.join(first, "key").filter((F.col("label") != F.col("of")) & (apart("thin", "other") <= THIN)))
-        pairs = materialize(pairs.join(asked, ["a", "b"], "left_anti"))
-        asked = asked.unionByName(pairs)
-        new = pairs if pairs.isEmpty() else _verified(pairs, texts, similarity)
-        entries = entries.join(first.select("key", F.col("a").alias("t")), ["key", "t"], "left_anti")
-        hubs *= HUBS
+    most, asked, edges = bound(64 * len(one.print), similarity), None, None
+
+    def compared(pairs: DataFrame) -> bool:
+        """Ask for the pairs that are new, and relabel the texts; whether that linked any."""
+        nonlocal asked, edges, near
+        pairs = materialize(pairs if asked is None else pairs.join(asked, ["a", "b"], "left_anti"))
+        asked = pairs if asked is None else asked.unionByName(pairs)
+        found = None if pairs.isEmpty() else _verified(pairs, texts, similarity)
+        if found is None or found.isEmpty():
+            return False
+        edges = edges.unionByName(found) if edges else found
+        roots = materialize(components(edges).withColumnsRenamed({"node": "t", "root": "r"}))
+        sizes = roots.groupBy("r").agg(F.count("*").alias("n"))
+        near = near.join(roots.join(sizes, "r"), "t", "left").withColumns({"label": F.coalesce("r", "label"), "size": F.coalesce("n", "size")}).drop("r", "n")
+        near = materialize(near)
+        return True
+
+    best = F.struct(F.col("degree"), F.col("a"))
+    while compared(pair(_met(near, [-F.col("degree")], 0, 1, most).groupBy("t").agg(F.max(best).alias("best")).select("t", "best.a"))):
+        best = F.struct(-F.col("bits"), F.col("a"))
+    counts = near.select(F.explode("keys").alias("key"), "label").groupBy("key", "label").agg(F.count("*").alias("n"))
+    left = counts.groupBy("key").agg((F.sum("n") - F.max("n")).alias("rest")).agg(F.max("rest")).first()[0]
+    frozen, first, hubs = near.withColumn("was", F.col("size")), 0, HUBS
+    near = materialize(frozen)
+    while first < left:
+        compared(pair(_met(near, [F.col("was")], first, hubs, most)))
+        first, hubs = first + hubs, min(hubs * HUBS, MOST_HUBS)
+    return edges
 
 
 def _few(df: DataFrame) -> DataFrame:
@@ -434,13 +527,12 @@ def deduplicate(docs: DataFrame, shingle: int = WIDE_SHINGLE, similarity: float
     of_text = materialize(ids.groupBy("t").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "k", "t")).alias("one")))
     bits, segments = segmentation(of_text.count(), similarity)
     prints = wide_fingerprints(docs.select(hashes[1].alias("t"), "text"), bits, segments)
-    prints = materialize(prints.groupBy("t").agg(F.first("thin").alias("thin"), F.first("segments").alias("segments")))
-    rows = prints.select("t", "thin", F.explode("segments").alias("v"))
+    prints = materialize(prints.groupBy("t").agg(F.first("print").alias("print"), F.first("segments").alias("segments")))
+    rows = prints.select("t", F.col("print")[0].alias("thin"), F.explode("segments").alias("v"))
     shared = materialize(_shared_variants(rows.groupBy("v").agg(F.count("*").alias("n")), bits))
-    entries = materialize(rows.join(shared, "v").select("key", "t", "thin"))
-    wanted = materialize(entries.select("t").distinct())
-    texts = keyed.join(_few(wanted.select(F.col("t").alias(t))), t).groupBy(F.col(t).alias("t")).agg(F.first(F.coalesce("text", F.lit(""))).alias("text"))
-    edges = similar_links(entries, materialize(texts), similarity)
+    entries = rows.join(shared, "v").select("key", "t", "thin")
+    texts = docs.select(hashes[1].alias("t"), F.coalesce("text", F.lit("")).alias("text"))
+    edges = similar_links(entries, prints, texts, similarity)
     kept = of_text.select("t", "one")
     if edges is not None:
         roots = components(edges).select(F.col("node").alias("t"), "root")
