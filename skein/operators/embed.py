@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.functions.vector import unit
 from skein.functions.text import split_segments
 
 BATCH = 32
@@ -53,6 +54,14 @@ def pool(vectors: list[list[float]]) -> list[float] | None:
     return (mean / n if n else mean).tolist()
 
 
+def pooled(parts: DataFrame, key: str, vector: str) -> DataFrame:
+    """``key`` and ``pooled``: as ``pool``, over the rows of each key; a key's vectors never meet in one place."""
+    places = parts.select(key, F.posexplode(vector).alias("i", "x"))
+    mean = places.groupBy(key, "i").agg(F.avg(F.col("x").cast("double")).alias("x"), F.count("*").alias("n"))
+    whole = mean.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("v"), F.max("n").alias("n"))
+    return whole.select(key, F.when(F.col("n") > 1, unit(F.col("v"))).otherwise(F.col("v")).alias("pooled"))
+
+
 def vectorize(units: DataFrame, provider: EmbeddingProvider, limit: int | None = None) -> DataFrame:
     """unit_id, model, dimensions, content_hash and vector of (the first ``limit`` of) ``units``; texts without a segment give none."""
     rows = (units if limit is None else units.limit(limit)).select("unit_id", "content_hash", "searchable_text")

@@ -8,6 +8,9 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -129,3 +132,32 @@ def ranking_metrics(ranked: DataFrame, queries: DataFrame) -> DataFrame:
     rows = queries.join(ranked, "query_id", "left")
     hit = lambda c: F.avg(F.coalesce(c.cast("double"), F.lit(0.0)))
     return rows.agg(round_score(hit(1 / F.col("rank"))).alias("mrr"), round_score(hit(F.col("rank") <= 5)).alias("recall_at_5"), round_score(hit(F.col("rank") == 1)).alias("top1"))
+
+
+def nearest(queries: DataFrame, vectors: DataFrame, k: int, block: int = 8192, asked: int = 1024) -> DataFrame:
+    """query_id, vec_id, cosine (six places) and rank of the ``k`` vectors nearest to each query, itself left out; ties to the smaller id.
+
+    ``queries`` (query_id, q) and ``vectors`` (vec_id, embedding) meet in blocks of bounded size, of which each keeps k results a query.
+    """
+    parts = max(1, -(-vectors.count() // block))
+    blocks = max(1, -(-queries.count() // asked))
+    salt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = queries.select("query_id", F.col("q").cast("array<double>").alias("q"), salt("query_id", blocks).alias("b")).withColumn("p", each(parts))
+    right = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v"), salt("vec_id", parts).alias("p")).withColumn("b", each(blocks))
+
+    def meet(some: pd.DataFrame, against: pd.DataFrame) -> pd.DataFrame:
+        out: dict[str, list] = {"query_id": [], "vec_id": [], "cosine": []}
+        if len(some) and len(against):
+            q, v, ids = np.stack(some.q), np.stack(against.v), against.vec_id.to_numpy()
+            size = np.maximum(np.sqrt((q**2).sum(1))[:, None] * np.sqrt((v**2).sum(1)), 1e-300)
+            scores = np.round(q @ v.T / size, 6)
+            for i, query in enumerate(some.query_id):
+                order = [j for j in np.lexsort((ids, -scores[i]))[: k + 1] if ids[j] != query][:k]
+                out["query_id"] += [query] * len(order)
+                out["vec_id"] += ids[order].tolist()
+                out["cosine"] += scores[i][order].tolist()
+        return pd.DataFrame(out)
+
+    found = left.groupBy("b", "p").cogroup(right.groupBy("b", "p")).applyInPandas(meet, "query_id long, vec_id long, cosine double")
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cosine"), "vec_id"))).filter(F.col("rank") <= k)

@@ -4,26 +4,42 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from skein.functions.text import hash_parts, iso_time
 
 SIZE, STRIDE = 8, 4
 
 
+def numbered(messages: DataFrame) -> DataFrame:
+    """``messages`` with ``place`` (from 0, in order of time) and ``total`` of their session.
+
+    Places take two levels, counts by day and a window inside each day, so that a session of many days is dealt over as many tasks.
+    """
+    day, order = F.to_date("ts"), ("ts", "message_index", "id")
+    rows = messages.withColumn("day", day)
+    counts = rows.groupBy("session_ref", "day").agg(F.count("*").alias("n"))
+    session = Window.partitionBy("session_ref")
+    earlier = F.coalesce(F.sum("n").over(session.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("session_ref", "day", earlier.alias("earlier"), F.sum("n").over(session).alias("total"))
+    inside = F.row_number().over(Window.partitionBy("session_ref", "day").orderBy(*order)) - 1
+    return rows.withColumn("inside", inside).join(starts, ["session_ref", "day"]).withColumn("place", F.col("earlier") + F.col("inside")).drop("day", "inside", "earlier")
+
+
 def retrieval_units(messages: DataFrame, size: int = SIZE, stride: int = STRIDE) -> DataFrame:
     """One row per window, with its content-derived id.
 
     Windows start at every ``stride``-th message; the last is the first one that reaches the end of the session.
-    A session's messages meet in one group, as the windows of a session need them in order; sessions
-    are bounded by what one conversation holds.
+    A message goes to the windows that hold it, at most size / stride rounded up; a group is one window.
     """
     size, stride = max(2, size), max(1, stride)
-    row = F.struct("ts", "message_index", "id", "role", "content")
-    whole = messages.groupBy("session_ref", "tool").agg(F.sort_array(F.collect_list(row)).alias("m"))
-    n = F.size("m")
-    last = F.greatest(F.ceil((n - size) / stride), F.lit(0)).cast("int") * stride
-    starts = whole.withColumn("start", F.explode(F.sequence(F.lit(0), last, F.lit(stride))))
-    cut = starts.withColumn("w", F.slice("m", F.col("start") + 1, size)).filter(F.size("w") > 0)
+    rows = numbered(messages)
+    last = F.greatest(F.ceil((F.col("total") - size) / stride), F.lit(0)) * stride
+    lowest = F.greatest(F.ceil((F.col("place") - size + 1) / stride), F.lit(0)) * stride
+    highest = F.least(F.floor(F.col("place") / stride) * stride, last)
+    held = rows.filter(lowest <= highest).withColumn("start", F.explode(F.sequence(lowest.cast("long"), highest.cast("long"), F.lit(stride).cast("long"))))
+    row = F.struct("place", "ts", "message_index", "role", "content")
+    cut = held.groupBy("session_ref", "tool", "start").agg(F.sort_array(F.collect_list(row)).alias("w"))
     count = F.size("w").cast("string")
     first, end = F.col("w")[0], F.element_at("w", -1)
 

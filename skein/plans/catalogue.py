@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from skein.functions import fold
 from skein.functions import text as X
-from skein.functions.vector import cosine, unit
-from skein.operators import ingest, lexical, profile, search, status, windows
-from skein.plans.oracle import ORACLE_SQL  # noqa: F401
+from skein.functions.vector import cosine
+from skein.operators import embed, ingest, lexical, profile, search, status, windows
+from skein.plans import stores
+from skein.plans.oracle import ORACLE_SQL as OWN_SQL
 from skein.sources.tables import START, conversation_chunks, embedding_units, table
 
 SEARCH = "the and tion of"
@@ -169,13 +171,16 @@ def vector_search_one(spark, d):
     return _semantic_rows(search.semantic_search(units, vectors, s, _query_vector(spark, d), 1, tools=["codex", "cursor"]))
 
 
-def _some_keywords(units: DataFrame) -> DataFrame:
-    return units.filter(F.col("unit_id").cast("long") % 97 == 5).select("unit_id", (1 / (F.col("unit_id").cast("long") % 7 + 1)).alias("keyword_score"))
+KEYWORDS = "label3 group2"
+
+
+def _keywords(units: DataFrame, sessions: DataFrame) -> DataFrame:
+    return search.keyword_ranks(lexical.postings(units), lexical.unit_stats(units), units, sessions, KEYWORDS, 5)
 
 
 def hybrid_search(spark, d):
     units, vectors, s = embedding_units(spark, d)
-    return _semantic_rows(search.semantic_search(units, vectors, s, _query_vector(spark, d), 5, _some_keywords(units)))
+    return _semantic_rows(search.semantic_search(units, vectors, s, _query_vector(spark, d), 5, _keywords(units, s)))
 
 
 def confidence_gate_empty(spark, d):
@@ -191,19 +196,17 @@ def confidence_gate_keywords(spark, d):
     units, vectors, s = embedding_units(spark, d)
     far = [1.0 if i == 0 else 0.0 for i in range(64)]
     low = vectors.filter(cosine(F.col("vector"), F.array(*map(F.lit, far))) < 0.3)
-    return _semantic_rows(search.semantic_search(units, low, s, far, 5, _some_keywords(units)))
+    return _semantic_rows(search.semantic_search(units, low, s, far, 5, _keywords(units, s)))
 
 
 def mean_pool_renorm(spark, d):
-    parts = table(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("i", "x"))
-    mean = parts.groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    pooled = mean.groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("v"))
-    return pooled.select("label", F.posexplode(unit(F.col("v"))).alias("i", "x")).select("label", "i", F.round("x", 6).alias("x"))
+    whole = embed.pooled(table(spark, d, "embeddings"), "label", "embedding")
+    return whole.select("label", F.posexplode("pooled").alias("i", "x")).select("label", "i", F.round("x", 6).alias("x"))
 
 
 def scalar_functions(spark, d):
     t = F.coalesce(F.col("text"), F.lit(""))
-    return table(spark, d, "documents").select("doc_id", X.estimate_tokens(t).alias("tokens"), F.md5(X.preview_text(t)).alias("preview_md5"), F.length(X.truncate_content(t)).alias("cut_length"), X.truncate_echo(F.substring(t, 1, 300)).alias("echo"), X.round_score(F.col("n_chars") / 977).alias("score"))
+    return table(spark, d, "documents").select("doc_id", X.estimate_tokens(t).alias("tokens"), F.md5(X.preview_text(t)).alias("preview_md5"), F.length(X.truncate_content(t)).alias("cut_length"), X.truncate_echo(t).alias("echo"), X.round_score(F.col("n_chars") / 977).alias("score"))
 
 
 def iso_times(spark, d):
@@ -224,16 +227,13 @@ def sanitize_errors(spark, d):
 
 
 def running_index(spark, d):
-    order = Window.partitionBy("user_id").orderBy("event_id")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    counts = F.coalesce(F.sum((F.col("event_type") != "view").cast("long")).over(before), F.lit(0))
-    return table(spark, d, "events").select("event_id", "user_id", counts.alias("message_index"))
+    takes = F.col("event_type") != "view"
+    return table(spark, d, "events").select("event_id", "user_id", fold.running_index(takes, "user_id", "event_id").alias("message_index"))
 
 
 def forward_fill_state(spark, d):
-    order = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
-    seen = F.last(F.when(F.col("event_type") == "purchase", F.col("event_id")), ignorenulls=True).over(order)
-    return table(spark, d, "events").select("event_id", "user_id", F.coalesce(seen, F.lit(-1)).alias("state"))
+    bought = F.when(F.col("event_type") == "purchase", F.col("event_id"))
+    return table(spark, d, "events").select("event_id", "user_id", F.coalesce(fold.carried(bought, "user_id", "event_id"), F.lit(-1)).alias("state"))
 
 
 def _event_chunks(spark, d) -> DataFrame:
@@ -252,10 +252,10 @@ def cursor_advance(spark, d):
 
 
 def late_rows(spark, d):
-    """Rows that a second run drops for good: older than the first run's cursor."""
+    """Rows that a second run drops for good: a first run up to the middle of the month sets the cursors, and all older rows come again."""
     rows = _event_chunks(spark, d)
-    cursor = ingest.cursors(rows.filter("event_id < 3000"))
-    late = rows.filter("event_id % 10 = 3").join(F.broadcast(cursor), "tool").filter(F.col("ts") <= F.col("last_timestamp"))
+    cursor = ingest.cursors(rows.filter("ts < '2024-01-15'"))
+    late = rows.join(cursor, "tool").filter(F.col("ts") <= F.col("last_timestamp"))
     return late.groupBy("tool").agg(F.count("*").alias("n"))
 
 
@@ -264,18 +264,18 @@ def json_shape_fingerprint(spark, d):
 
 
 def drift_summary(spark, d):
-    rows = table(spark, d, "events").filter("event_id % 5 = 0").select(F.col("event_type").alias("tool"), F.concat(F.lit("no field "), (F.col("event_id") % 3).cast("string")).alias("surprise"), F.concat(F.lit("events:"), F.col("event_id").cast("string")).alias("location"), F.col("event_id").alias("seq"), F.lit(1).cast("long").alias("records"))
+    rows = table(spark, d, "events").select(F.col("event_type").alias("tool"), F.concat(F.lit("no field "), (F.col("event_id") % 3).cast("string")).alias("surprise"), F.concat(F.lit("events:"), F.col("event_id").cast("string")).alias("location"), F.col("event_id").alias("seq"), F.lit(1).cast("long").alias("records"))
     return ingest.drift_summary(rows)
 
 
 def ranking_metrics(spark, d):
     """Self-retrieval by label: rank of the nearest vector of the same label among the ten nearest."""
     v = table(spark, d, "embeddings")
-    q = v.filter("vec_id % 25 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("ql"), F.col("embedding").alias("q"))
-    pairs = v.join(F.broadcast(q), F.col("vec_id") != F.col("query_id"))
-    scored = pairs.select("query_id", "vec_id", (F.col("label") == F.col("ql")).alias("right"), F.round(cosine(F.col("embedding"), F.col("q")), 6).alias("c"))
-    n = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("c"), "vec_id"))
-    ranked = scored.withColumn("rank", n).filter("rank <= 10 and right").groupBy("query_id").agg(F.min("rank").alias("rank"))
+    q = v.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    near = search.nearest(q, v, 10)
+    labels = v.select("vec_id", "label")
+    asked = labels.select(F.col("vec_id").alias("query_id"), F.col("label").alias("wanted"))
+    ranked = near.join(labels, "vec_id").join(asked, "query_id").filter("label = wanted").groupBy("query_id").agg(F.min("rank").alias("rank"))
     return search.ranking_metrics(ranked, q.select("query_id"))
 
 
@@ -293,4 +293,5 @@ def _is_query(name: str, f) -> bool:
     return callable(f) and not name.startswith("_") and getattr(f, "__module__", "") == __name__
 
 
-QUERIES = {n: f for n, f in list(globals().items()) if _is_query(n, f) and n not in ("messages", "sessions")}
+QUERIES = {n: f for n, f in list(globals().items()) if _is_query(n, f) and n not in ("messages", "sessions")} | stores.QUERIES
+ORACLE_SQL = OWN_SQL | stores.ORACLE_SQL

@@ -84,15 +84,25 @@ found AS (SELECT *, dense_rank() OVER (ORDER BY session_score DESC, fp) AS sessi
 VECTOR = """
 v AS (
   SELECT lpad(vec_id::VARCHAR, 9, '0') AS id, vec_id, (['claude-code', 'codex', 'cursor', 'copilot', 'copilot-cli', 'opencode', 'antigravity'])[vec_id % 50 % 7 + 1] AS tool,
-    to_timestamp(1704067200 + vec_id * 60) AS t, vec_id % 11 + 3 AS i1, embedding::DOUBLE[] AS e FROM embeddings),
+    to_timestamp(1704067200 + vec_id * 60) AS t, vec_id % 11 + 3 AS i1, label, embedding::DOUBLE[] AS e FROM embeddings),
 q0 AS (SELECT e AS q FROM v WHERE vec_id = 0),
 far AS (SELECT list_transform(range(64), lambda i: CASE WHEN i = 0 THEN 1.0 ELSE 0.0 END)::DOUBLE[] AS q)"""
 
 
+#: Ranks of a search for "label3 group2"; each unit has three terms, once each.
+KEYWORDS = """,
+term AS (SELECT id, t, unnest(['label' || label, 'group' || vec_id % 7]) AS term FROM v),
+kwh AS (SELECT * FROM term WHERE term IN ('label3', 'group2')),
+kwi AS (SELECT term, greatest(ln(((SELECT count(*) FROM v) - count(*) + 0.5) / (count(*) + 0.5)), 1e-6) AS idf FROM kwh GROUP BY term),
+kwr AS (
+  SELECT id, 1.0 / row_number() OVER (ORDER BY score DESC, t DESC, id) AS k
+  FROM (SELECT id, t, sum(idf) AS score FROM kwh JOIN kwi USING (term) GROUP BY id, t ORDER BY score DESC, t DESC, id LIMIT 15))"""
+
+
 def semantic(query: str, limit: int, where: str = "true", keywords: bool = False) -> str:
-    kw = "CASE WHEN vec_id % 97 = 5 THEN 1.0 / (vec_id % 7 + 1) ELSE 0.0 END" if keywords else "0.0"
+    kw = "coalesce((SELECT k FROM kwr WHERE kwr.id = v.id), 0.0)" if keywords else "0.0"
     blend = "0.8 * sem + 0.2 * kw" if keywords else "sem"
-    return f"""WITH {VECTOR},
+    return f"""WITH {VECTOR}{KEYWORDS if keywords else ""},
 c AS (SELECT v.*, tool || ':s' || (vec_id % 50) AS ref, list_cosine_similarity(e, q) AS cos, {kw} AS kw FROM v, {query}),
 cand AS (SELECT * FROM c WHERE {where}),
 span AS (SELECT epoch(min(t)) AS o, epoch(max(t)) AS w FROM cand),
@@ -114,8 +124,6 @@ def normal_path(x: str) -> str:
     return f"lower(regexp_replace(regexp_replace({plain}, '/+', '/', 'g'), '/$', ''))"
 
 
-CUT = "substr(text, 1, 300)"
-
 ORACLE_SQL: dict[str, str] = {
     "recent_sessions": f"WITH {SESSIONS} SELECT {SHOWN} FROM sessions ORDER BY t1 DESC, ref LIMIT 5",
     "recent_sessions_filtered": f"WITH {SESSIONS} SELECT {SHOWN} FROM sessions WHERE tool IN ('codex', 'cursor') AND branch IN ('main') ORDER BY t1 DESC, ref LIMIT 7",
@@ -151,7 +159,7 @@ SELECT session_rank::INT AS session_rank, ref AS session_ref, m::INT AS match, i
     "mean_pool_renorm": "WITH p AS (SELECT label, unnest(embedding)::DOUBLE AS x, unnest(range(64)) AS i FROM embeddings), m AS (SELECT label, i, avg(x) AS x FROM p GROUP BY ALL) SELECT label, i::INT AS i, round(x / sqrt(sum(x * x) OVER (PARTITION BY label)), 6) AS x FROM m",
     "scalar_functions": rf"""SELECT doc_id, (ceil(length(text) / 4) + ceil(len(regexp_extract_all(text, '[{{}}\[\]();=+\-*&|<>!]')) / 2))::INT AS tokens, md5(substr(trim(regexp_replace(text, '\s+', ' ', 'g')), 1, 240)) AS preview_md5,
   (CASE WHEN length(text) <= 16000 THEN length(text) ELSE 16000 + length(chr(10) || '…[truncated ' || (length(text) - 16000) || ' chars]') END)::INT AS cut_length,
-  CASE WHEN length({CUT}) <= 200 THEN {CUT} ELSE substr(text, 1, 200) || '…' END AS echo, floor(n_chars / 977 * 1000 + 0.5) / 1000 AS score FROM documents""",
+  CASE WHEN length(text) <= 200 THEN text ELSE substr(text, 1, 200) || '…' END AS echo, floor(n_chars / 977 * 1000 + 0.5) / 1000 AS score FROM documents""",
     "iso_times": f"SELECT event_id, strftime(ts, {ISO}) AS iso FROM events",
     "path_scope": f"WITH p AS (SELECT url AS path FROM pages UNION SELECT unnest(['file:///c:/Work/App/src', 'C:\\Work\\App', '/c:/work/app/', 'c:/work/apple', '//srv//share/', '/home/me/a%20b', '/home/me/50%', '/home/me/a+b', 'c:/work/app'])), n AS (SELECT path, {normal_path('path')} AS normal FROM p) SELECT path, normal, normal = 'c:/work/app' OR starts_with(normal, 'c:/work/app/') AS inside, regexp_replace(regexp_replace(path, '[:/\\\\]', '-', 'g'), '-+$', '') AS encoded FROM n",
     "sanitize_errors": r"""SELECT page_id, regexp_replace(regexp_replace('cannot open /var/data/x.db or C:\tmp\y: ''' || url || '''', '[A-Za-z]:[/\\][^\s''"`]+', '<path>', 'g'), '(^|[\s''"`(])/[^\s''"`):]+', '\1<path>', 'g') AS said FROM pages""",
@@ -159,10 +167,10 @@ SELECT session_rank::INT AS session_rank, ref AS session_ref, m::INT AS match, i
     "forward_fill_state": "SELECT event_id, user_id, coalesce(last_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), -1) AS state FROM events",
     "incremental_cutoff": "SELECT 'since' AS run, event_type AS tool, count(*) AS n, min(event_id) AS first FROM events WHERE ts > TIMESTAMP '2024-01-15' GROUP BY ALL UNION ALL SELECT 'full', event_type, count(*), min(event_id) FROM events GROUP BY ALL",
     "cursor_advance": f"SELECT event_type AS tool, strftime(greatest(max(ts) - INTERVAL 1 SECOND, TIMESTAMP '1970-01-01'), {ISO}) AS last_timestamp FROM events GROUP BY 1",
-    "late_rows": "WITH c AS (SELECT event_type, max(ts) - INTERVAL 1 SECOND AS last FROM events WHERE event_id < 3000 GROUP BY 1) SELECT event_type AS tool, count(*) AS n FROM events JOIN c USING (event_type) WHERE event_id % 10 = 3 AND ts <= last GROUP BY 1",
+    "late_rows": "WITH c AS (SELECT event_type, max(ts) - INTERVAL 1 SECOND AS last FROM events WHERE ts < TIMESTAMP '2024-01-15' GROUP BY 1) SELECT event_type AS tool, count(*) AS n FROM events JOIN c USING (event_type) WHERE ts <= last GROUP BY 1",
     "json_shape_fingerprint": "WITH k AS (SELECT event_type, props, unnest(json_keys(props)) AS k FROM events), s AS (SELECT DISTINCT event_type, k || ': ' || CASE json_type(props, '$.' || k) WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'NULL' THEN 'null' ELSE 'number' END AS shape FROM k) SELECT event_type AS record_type, string_agg(shape, chr(10) ORDER BY shape) AS shapes FROM s GROUP BY 1",
-    "drift_summary": "SELECT event_type AS tool, 'no field ' || event_id % 3 AS surprise, 'events:' || min(event_id) AS first_location, count(*) AS records FROM events WHERE event_id % 5 = 0 GROUP BY 1, 2",
-    "ranking_metrics": """WITH q AS (SELECT vec_id AS qid, label AS ql, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 25 = 0),
+    "drift_summary": "SELECT event_type AS tool, 'no field ' || event_id % 3 AS surprise, 'events:' || min(event_id) AS first_location, count(*) AS records FROM events GROUP BY 1, 2",
+    "ranking_metrics": """WITH q AS (SELECT vec_id AS qid, label AS ql, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 20 = 0),
 s AS (SELECT qid, vec_id, label = ql AS ok, round(list_cosine_similarity(embedding::DOUBLE[], q), 6) AS c FROM embeddings JOIN q ON vec_id <> qid),
 r AS (SELECT qid, ok, row_number() OVER (PARTITION BY qid ORDER BY c DESC, vec_id) AS rank FROM s),
 f AS (SELECT qid, min(rank) AS rank FROM r WHERE rank <= 10 AND ok GROUP BY qid)

@@ -39,7 +39,7 @@ def embedding_units(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
     unit, session = F.lpad(F.col("vec_id").cast("string"), 9, "0"), F.col("vec_id") % 50
     ref = F.concat(F.element_at(F.array(*map(F.lit, TOOLS)), (session % len(TOOLS) + 1).cast("int")), F.lit(":s"), session.cast("string"))
     at = F.timestamp_seconds(START + F.col("vec_id") * 60)
-    units = v.select(unit.alias("unit_id"), ref.alias("session_ref"), F.split(ref, ":")[0].alias("tool"), (F.col("vec_id") % 11).cast("int").alias("message_start_index"), (F.col("vec_id") % 11 + 3).cast("int").alias("message_end_index"), at.alias("started_at"), at.alias("ended_at"), F.concat(F.lit("unit "), unit).alias("content"))
+    units = v.select(unit.alias("unit_id"), ref.alias("session_ref"), F.split(ref, ":")[0].alias("tool"), (F.col("vec_id") % 11).cast("int").alias("message_start_index"), (F.col("vec_id") % 11 + 3).cast("int").alias("message_end_index"), at.alias("started_at"), at.alias("ended_at"), F.concat(F.lit("unit "), unit).alias("content"), F.concat(F.lit("label"), F.col("label").cast("string"), F.lit(" group"), (F.col("vec_id") % 7).cast("string"), F.lit(" item")).alias("searchable_text"))
     vectors = v.select(unit.alias("unit_id"), F.lit("given").alias("model"), F.col("embedding").alias("vector"))
     sessions = units.groupBy("session_ref").agg(F.first("tool").alias("tool"), F.lit(15).cast("long").alias("message_count")).withColumn("git_branch", F.lit(None).cast("string"))
     return units, vectors, sessions
