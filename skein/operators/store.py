@@ -1,8 +1,9 @@
 """The stored tables: immutable batches of Parquet and one state file that names those which count.
 
 A batch holds the rows that it adds to each table; windows that no longer apply are added to ``units_gone``. The state file of the
-next version is written beside and renamed, so that readers see whole batches and of two writers one fails. A batch reads
-only the stored rows of the sessions that it touches.
+next version is written beside and renamed, so that readers see whole batches and of two writers one fails. Messages and windows lie in
+buckets of their session, postings in buckets of their term: a batch reads only the stored buckets of the sessions that it touches, a search
+those of its terms. ``compact`` makes one batch of all.
 """
 
 from __future__ import annotations
@@ -10,13 +11,19 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein import schema
-from skein.operators import ingest, windows
+from skein.operators import ingest, lexical, windows
 
-TABLES = ("messages", "sessions", "units", "units_gone", "vectors", "settings", "cursors", "drift")
+TABLES = ("messages", "sessions", "units", "units_gone", "postings", "unit_stats", "vectors", "settings", "cursors", "drift")
+#: Buckets of a batch, and the column that each bucketed table is dealt by.
+BUCKETS, DEALT_BY = 16, {"messages": "session_ref", "units": "session_ref", "postings": "term"}
+
+
+def bucket(column: str) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(BUCKETS)).cast("int")
 
 
 class ConflictError(RuntimeError):
@@ -42,9 +49,11 @@ class Store:
             return {"version": 0, "schema": schema.SCHEMA_VERSION, "batches": []}
         return json.loads(self.spark.read.text(f"{self.root}/state/v{max(versions)}", wholetext=True).first().value)
 
-    def _commit(self, before: dict, batch: dict) -> None:
+    def _commit(self, before: dict, batch: dict, alone: bool = False) -> None:
+        """Add ``batch`` to those of ``before``; ``alone`` puts it in their place and keeps their tags."""
         jvm = self.spark.sparkContext._jvm
-        after = {"version": before["version"] + 1, "schema": schema.SCHEMA_VERSION, "batches": [*before["batches"], batch]}
+        tags = [*before.get("tags", []), *([b["tag"] for b in before["batches"] if b["tag"]] if alone else [])]
+        after = {"version": before["version"] + 1, "schema": schema.SCHEMA_VERSION, "batches": [*([] if alone else before["batches"]), batch], "tags": tags}
         fs, new = self._fs(f"{self.root}/state/.{uuid.uuid4().hex}")
         out = fs.create(new)
         out.write(json.dumps(after).encode())
@@ -62,28 +71,60 @@ class Store:
     def add(self, tables: dict[str, DataFrame], tag: str | None = None) -> None:
         """Write one batch and commit it; a ``tag`` that is committed already is not written again."""
         before = self.state()
-        if tag is not None and any(b["tag"] == tag for b in before["batches"]):
+        if tag is not None and (tag in before.get("tags", []) or any(b["tag"] == tag for b in before["batches"])):
             return
+        self._commit(before, self._write(before, tables, tag))
+
+    def _write(self, before: dict, tables: dict[str, DataFrame], tag: str | None = None) -> dict:
         batch = {"id": uuid.uuid4().hex, "seq": before["version"] + 1, "tag": tag, "tables": sorted(tables)}
         for name, rows in tables.items():
-            rows.withColumn("seq", F.lit(batch["seq"])).write.parquet(f"{self.root}/data/{batch['id']}/{name}")
-        self._commit(before, batch)
-
-    def raw(self, name: str) -> DataFrame | None:
+            rows, path = rows.withColumn("seq", F.lit(batch["seq"])), f"{self.root}/data/{batch['id']}/{name}"
+            if name in DEALT_BY:
+                dealt = rows.withColumn("bucket", bucket(DEALT_BY[name]))
+                dealt.repartition("bucket").write.partitionBy("bucket").parquet(path)
+            else:
+                rows.write.parquet(path)
+        return batch
+
+    def raw(self, name: str, only: DataFrame | None = None) -> DataFrame | None:
+        """All rows of a table; with ``only`` (rows of its dealing column) those of their buckets: no other folder is listed."""
         paths = [f"{self.root}/data/{b['id']}/{name}" for b in self.state()["batches"] if name in b["tables"]]
+        if name in DEALT_BY:
+            wanted = None if only is None else {f"bucket={r.b}" for r in only.select(bucket(DEALT_BY[name]).alias("b")).distinct().collect()}  # BUCKETS numbers at most
+            folders = [s.getPath() for p in paths for s in self._fs(p)[0].listStatus(self._fs(p)[1]) if s.isDirectory()]
+            paths = [f.toString() for f in folders if wanted is None or f.getName() in wanted]
         return self.spark.read.parquet(*paths) if paths else None
 
+    def compact(self) -> None:
+        """One batch of the tables as they stand, so that reads list one folder a table; the files of before stay for their readers."""
+        before = self.state()
+        now = {"messages": self.messages(), "sessions": self.sessions(), "units": self.units(), "postings": self._live("postings"), "unit_stats": self._live("unit_stats"), "vectors": self.vectors(), "cursors": self.raw("cursors"), "drift": self.raw("drift"), "settings": None}
+        settings = self.raw("settings")
+        now["settings"] = None if settings is None else ingest.latest(settings, ["key"], "seq")
+        self._commit(before, self._write(before, {n: t.drop("seq") for n, t in now.items() if t is not None}), alone=True)
+
     # tables as they stand
 
-    def messages(self) -> DataFrame | None:
-        return self.raw("messages")
+    def messages(self, only: DataFrame | None = None) -> DataFrame | None:
+        return self.raw("messages", only)
 
     def sessions(self) -> DataFrame | None:
         rows = self.raw("sessions")
         return None if rows is None else ingest.latest(rows, ["session_ref"], "seq")
 
-    def units(self) -> DataFrame | None:
-        rows, gone = self.raw("units"), self.raw("units_gone")
+    def _live(self, name: str, only: DataFrame | None = None) -> DataFrame | None:
+        """Rows of the windows that apply."""
+        rows, units = self.raw(name, only), self.units()
+        return None if rows is None or units is None else rows.join(units.select("unit_id"), "unit_id", "left_semi").dropDuplicates(["unit_id", "term"] if name == "postings" else ["unit_id"])
+
+    def index(self, terms: list[str]) -> tuple[DataFrame, DataFrame] | None:
+        """The stored postings of ``terms`` and the lengths of all windows."""
+        only = self.spark.createDataFrame([(t,) for t in terms] or [("",)], "term string")
+        postings, stats = self._live("postings", only), self._live("unit_stats")
+        return None if postings is None or stats is None else (postings.filter(F.col("term").isin(terms)), stats)
+
+    def units(self, only: DataFrame | None = None) -> DataFrame | None:
+        rows, gone = self.raw("units", only), self.raw("units_gone")
         if rows is None or gone is None:
             return rows
         last = gone.groupBy("unit_id").agg(F.max("seq").alias("gone"))
@@ -118,19 +159,20 @@ class Store:
         ingest.to_messages(chunks).write.parquet(staged)
         incoming = self.spark.read.parquet(staged)
         touched = incoming.select("session_ref").distinct()
-        stored = self.messages()
+        stored = self.messages(touched)
         old = None if stored is None else stored.drop("seq").join(touched, "session_ref", "left_semi")
         new = incoming if old is None else ingest.new_messages(incoming, old).select(incoming.columns)
         whole = new if old is None else old.unionByName(new)
         desired = windows.retrieval_units(whole, self.window_size, self.window_stride)
         tables = {"messages": new, "sessions": ingest.sessions_of(whole), "cursors": ingest.cursors(chunks)}
-        units = self.units()
+        units = self.units(touched)
         if units is None:
-            tables["units"] = desired
+            tables["units"] = fresh = desired
         else:
             mine = units.drop("seq").join(touched, "session_ref", "left_semi")
             gone, fresh = windows.window_diff(mine, desired)
             tables |= {"units": fresh, "units_gone": gone.select("unit_id")}
+        tables |= {"postings": lexical.postings(fresh), "unit_stats": lexical.unit_stats(fresh)}
         if drift is not None:
             tables["drift"] = drift
         self.add(tables, tag)

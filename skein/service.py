@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.functions.text import iso_time
+from skein.functions.text import iso_time, query_phrases, sanitize_text
 from skein.operators import embed, lexical, search, status, windows
 from skein.operators.store import Store
 
@@ -26,6 +26,7 @@ class Service:
         self.spark, self.store, self.provider, self._refresh = spark, store, provider, refresh
         self.ttl, self.budget, self._lock, self._thread, self._at = ttl, budget, threading.Lock(), None, -1e9
         self.embedding_error: str | None = None
+        self.mode_used: str | None = None
 
     def refresh(self) -> bool:
         """Whether the tables are up to date when it returns."""
@@ -47,6 +48,10 @@ class Service:
         self.refresh()
         return status.recent_sessions(self.store.sessions(), limit, tools, branches)
 
+    def indexed_sessions(self, limit: float | None = None, tools=None, branches=None) -> DataFrame:
+        """As ``recent_sessions``, of what is stored already: no refresh."""
+        return status.recent_sessions(self.store.sessions(), limit, tools, branches)
+
     def session_detail(self, ref: str, offset: int = 0, limit: float | None = None) -> DataFrame:
         return status.session_detail(self.store.messages(), ref, offset, limit)
 
@@ -66,33 +71,66 @@ class Service:
             done += 1
         return done
 
+    def loading(self) -> bool:
+        """Whether the provider says that its model is not ready yet."""
+        ready = getattr(self.provider, "ready", None)
+        return ready is not None and not ready()
+
     def search(self, query: str, limit: float | None = None, tools=None, branches=None, mode: str | None = None) -> DataFrame | None:
-        """Matches of the best sessions, or None for a blank query. Hybrid falls back to keywords where embedding fails; vector raises."""
+        """Matches of the best sessions, or None for a blank query. Hybrid falls back to keywords where embedding fails or its model
+        is loading; vector raises. ``mode_used`` tells which it was.
+        """
         if not query.strip():
             return None
         self.refresh()
         mode, limit = search.normalize_mode(mode), search.normalize_limit(limit)
         units, sessions = self.store.units(), self.store.sessions()
-        index, stats = lexical.postings(units), lexical.unit_stats(units)
+        terms = sorted({t for p in query_phrases(query) for t in lexical.phrase_parts(p)})
+        index, stats = self.store.index(terms) or (lexical.postings(units), lexical.unit_stats(units))
+        self.mode_used = "keyword"
         keyword = lambda: search.keyword_search(index, stats, units, sessions, query, limit, tools, branches)
         if mode == "keyword":
             return keyword()
         try:
             if self.provider is None:
                 raise RuntimeError("no embedding provider")
+            if self.loading():
+                raise RuntimeError("the embedding model is loading")
             self.vectorize()
             vector = self.provider.embed_batch([query])[0]
         except Exception as e:
             if mode == "vector":
                 raise
-            self.embedding_error = str(e)
+            self.embedding_error = sanitize_text(str(e))
             return keyword()
         vectors = self.store.vectors()
         if vectors is None:
             return keyword()
+        self.mode_used = mode
         ranks = search.keyword_ranks(index, stats, units, sessions, query, limit, tools, branches) if mode == "hybrid" else None
         return search.semantic_search(units, vectors.filter(F.col("model") == self.provider.model), sessions, vector, limit, ranks, tools, branches)
 
+    def answer(self, query: str, limit: float | None = None, tools=None, branches=None, mode: str | None = None) -> dict:
+        """A search as one value: the mode that was used, sessions with their matches, and how far embedding has come."""
+        found = self.search(query, limit, tools, branches, mode)
+        rows = [] if found is None else search.match_rows(found).orderBy("session_rank", "match").collect()  # three matches a session, 100 sessions at most
+        sessions: dict[str, dict] = {}
+        for r in rows:
+            score = {"score": r.session_score, "relevance": r.session_relevance}
+            one = sessions.setdefault(r.session_ref, {"session_ref": r.session_ref, **score, "matches": []})
+            one["matches"].append({k: r[k] for k in ("unit_id", "message_start_index", "message_end_index", "preview", "relevance", "semantic_score", "keyword_score", "recency_score", "continuity_score")})
+        known = {r.session_ref: r.asDict() for r in self.store.sessions().filter(F.col("session_ref").isin(list(sessions))).collect()} if sessions else {}
+        shown = ("tool", "git_branch", "git_commit", "message_count", "preview", "source_path")
+        sessions = {ref: one | {k: known[ref][k] for k in shown if ref in known} for ref, one in sessions.items()}
+        return {"query": query, "mode": self.mode_used, "sessions": list(sessions.values()), "progress": self.progress()}
+
+    def progress(self) -> dict:
+        """Windows, those with a current vector, and whether the model is loading."""
+        units, vectors = self.store.units(), self.store.vectors()
+        total = 0 if units is None else units.count()
+        left = total if vectors is None or units is None or self.provider is None else windows.backlog(units, vectors, self.provider.model).count()
+        return {"retrieval_units": total, "vectorized_units": total - left, "loading": self.loading(), "embedding_error": self.embedding_error}
+
     def status(self) -> dict:
         s, m, u, v, said = self.store.sessions(), self.store.messages(), self.store.units(), self.store.vectors(), self.store.settings()
         n = lambda df: 0 if df is None else df.count()
@@ -102,7 +140,7 @@ class Service:
     def manifest(self, refs: list[str] | None = None, limit: float | None = None, tools=None, branches=None, correlation_id: str | None = None) -> dict:
         """Sessions with pointers to their details, and requested references that are not stored."""
         if refs:
-            rows = status.resolve_refs(self.store.sessions(), refs).orderBy("position").collect()
+            rows = status.resolve_refs(search.scope(self.store.sessions(), tools, branches), refs).orderBy("position").collect()
         else:
             rows = self.recent_sessions(limit, tools, branches).withColumn("missing", F.lit(False)).collect()
         found = [{"session_ref": r.session_ref, "tool": r.tool, "message_count": r.message_count, "retrieve": {"query": "session_detail", "session_ref": r.session_ref}} for r in rows if not r.missing]

@@ -166,12 +166,72 @@ def test_search_service(spark, store):
     assert "codex:old" in render.session_list([r.asDict() for r in service.recent_sessions().collect()])
     page = [r.asDict() for r in service.session_detail("codex:old", 1, 1).collect()]
     assert len(page) == 1 and "~~~" in render.session_detail("codex:old", page, 1, 1)
+    answer = service.answer("cache invalidation")
+    assert answer["mode"] == "hybrid" and answer["sessions"][0]["matches"] and answer["progress"]["vectorized_units"] == answer["progress"]["retrieval_units"]
+    assert "codex:old" in render.search_answer(answer) and "Mode: hybrid" in render.search_answer(answer)
+    assert service.manifest(["codex:old"], tools=["cursor"])["missing_session_refs"] == ["codex:old"]
+    assert "codex:none: not stored" in render.manifest(service.manifest(["codex:old", "codex:none"]))
+    assert service.indexed_sessions().count() == 2
+
+    class Slow(embed.HashingEmbedder):
+        def ready(self):
+            return False
+
+    waiting = Service(spark, store, Slow(64))
+    assert waiting.answer("cache")["mode"] == "keyword" and waiting.progress()["loading"]
+    assert render.failure(ValueError("no C:\\x\\y"))["message"] == "no <path>"
     broken = Service(spark, store, None)
     assert not broken.search("cache").isEmpty() and broken.embedding_error
     with pytest.raises(RuntimeError):
         broken.search("cache", mode="vector")
 
 
+def test_index_is_stored_and_pruned(spark, store):
+    """A search reads the postings of its terms' buckets alone, a batch the buckets of its sessions, and both equal a fresh index."""
+    store.ingest(chunks(spark, *(chunk(f"s{i}", j, f"cache number{i} word{j} invalidation") for i in range(12) for j in range(3))))
+    store.ingest(chunks(spark, *(chunk(f"s{i}", 3, "late cache entry") for i in range(4))))
+    units = store.units()
+    index, stats = store.index(["cache", "late"])
+    fresh = lexical.postings(units).filter("term in ('cache', 'late')")
+    shown = lambda df: sorted((r.unit_id, r.term, r.tf, tuple(r.positions)) for r in df.collect())
+    assert shown(index) == shown(fresh) and stats.count() == units.count()
+    read = {f.split("/")[-2] for f in store.raw("postings", spark.createDataFrame([("cache",), ("late",)], "term string")).inputFiles()}
+    assert len(read) <= 2 < len({f.split("/")[-2] for f in store.raw("postings").inputFiles()})
+    touched = spark.createDataFrame([("codex:s1",)], "session_ref string")
+    assert {r.session_ref for r in store.messages(touched).select("session_ref").distinct().collect()} < {r.session_ref for r in store.messages().select("session_ref").distinct().collect()}
+    rows = lambda df: sorted(map(repr, df.drop("seq").collect()))
+    before = [rows(t) for t in (store.messages(), store.units(), store.sessions(), store.cursors())]
+    found = shown(store.index(["cache", "late"])[0])
+    store.compact()
+    assert [rows(t) for t in (store.messages(), store.units(), store.sessions(), store.cursors())] == before and len(store.state()["batches"]) == 1
+    assert shown(store.index(["cache", "late"])[0]) == found
+    store.ingest(chunks(spark, chunk("s1", 4, "after it")))
+    assert store.messages().count() == 41
+
+
+def test_windows_of_one_long_session(spark):
+    """A session that is all of the data still numbers its messages over several days."""
+    rows = [chunk("s", i, f"m{i}", minute=400 * i) for i in range(50)]
+    units = windows.retrieval_units(ingest.to_messages(chunks(spark, *rows)), 8, 4).orderBy("message_start_index").collect()
+    assert [(u.message_start_index, u.message_end_index) for u in units] == [(s, min(s + 8, 50) - 1) for s in range(0, 45, 4)]
+    assert all(u.searchable_text.split("\n") == [f"m{i}" for i in range(u.message_start_index, u.message_end_index + 1)] for u in units)
+
+
+def test_nearest_in_blocks(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(90, 5))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    q = df.filter("vec_id % 9 = 0").selectExpr("vec_id AS query_id", "embedding AS q")
+    whole, cut = (sorted(map(tuple, search.nearest(q, df, 4, *sizes).collect())) for sizes in ((), (16, 3)))
+    unit_x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for i in range(0, 90, 9):
+        order = sorted((j for j in range(90) if j != i), key=lambda j: (-round(float(unit_x[i] @ unit_x[j]), 6), j))[:4]
+        assert [v for _, v in sorted((r, v) for a, v, _, r in whole if a == i)] == order
+    assert whole == cut
+
+
 def test_stream_into_store(spark, store, tmp_path):
     arrivals, checkpoint = str(tmp_path / "arrivals"), str(tmp_path / "checkpoint")
     for part in ([chunk("s", 0, "one"), chunk("s", 0, "one")], [chunk("s", 1, "two")]):
