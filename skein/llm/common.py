@@ -61,13 +61,25 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "4m")}
 
 
+#: What a worker process keeps from task to task (functions under ``functools.cache``).
+WORKER_CACHES: list = []
+
+
 def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
-    """``mapInArrow`` over small batches; a session that has sizes of its own keeps them. A task that ends gives its memory back."""
+    """``mapInArrow`` over small batches; a session that has sizes of its own keeps them.
+
+    A task that ends gives its memory back, and what earlier tasks have kept goes when a task of another kind begins.
+    """
     for key, (default, wanted) in BATCHES.items():
         if df.sparkSession.conf.get(key, default) == default:
             df.sparkSession.conf.set(key, wanted)
 
+    owner = run.__qualname__
+
     def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for user, cache in WORKER_CACHES:
+            if user != owner:
+                cache.cache_clear()
         yield from run(batches)
         pa.default_memory_pool().release_unused()
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skein.llm.common import byte_texts, map_batches, materialize, text_slices
+from skein.llm.common import WORKER_CACHES, byte_texts, map_batches, materialize, text_slices
 
 CAPACITY = 4096
 END_ID = 1
@@ -131,6 +131,8 @@ def tokens(docs: DataFrame, file: str | None = None, capacity: int = CAPACITY, e
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_tokens(file)
+        if not WORKER_CACHES:
+            WORKER_CACHES.append((owner, word_tokens))
         for batch in batches:
             for part in text_slices(batch, "text"):
                 whole = [x + end for x in encoder.encode(byte_texts(part, "text"))]
@@ -139,6 +141,7 @@ def tokens(docs: DataFrame, file: str | None = None, capacity: int = CAPACITY, e
                 columns = [part.column(0).take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array([len(c) // 4 for c in cut], pa.int64()), pa.array(map(zlib.crc32, cut), pa.int64())]
                 yield pa.record_batch(columns + [pa.array(cut, pa.binary())] * keep_ids, out.names)
 
+    owner = run.__qualname__
     return map_batches(ids, run, out)
 
 

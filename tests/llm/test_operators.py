@@ -555,9 +555,12 @@ def test_deduplicate_equals_all_pairs(spark, docs, edges, empty):
             for at in rng.sample(range(300), 5):
                 copy[at] = f"e{rng.randrange(10**6)}"
             made.append((1000 * g + i, " ".join(copy)))
-    for df in (docs, spark.createDataFrame(made, "doc_id long, text string")):
-        kept = [r.doc_id for r in simhash.deduplicate(df).collect()]
-        assert sorted(kept) == sorted(min(g) for g in similar_components([(r.doc_id, r.text) for r in df.collect()]))
+    kept = [r.doc_id for r in simhash.deduplicate(docs).collect()]
+    assert sorted(kept) == sorted(min(g) for g in similar_components([(r.doc_id, r.text) for r in docs.collect()]))
+    # a pair at 0.8 is found with a chance of 0.99: of the copies at 0.84, one in a hundred may be missed
+    groups = similar_components(made)
+    kept = {r.doc_id for r in simhash.deduplicate(spark.createDataFrame(made, "doc_id long, text string")).collect()}
+    assert len(groups) == 4 and {min(g) for g in groups} <= kept and len(kept) <= 4 + len(made) // 100
     out = simhash.deduplicate(edges)
     assert out.columns == edges.columns and out.count() == len(similar_components([r[:2] for r in EDGES]))
     assert simhash.deduplicate(empty).isEmpty() and simhash.deduplicate(edges.limit(1)).count() == 1
