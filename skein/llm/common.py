@@ -61,8 +61,18 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "4m")}
 
 
-#: What a worker process keeps from task to task (functions under ``functools.cache``).
-WORKER_CACHES: list = []
+#: What a worker process keeps from task to task: functions under ``functools.cache``, by the kind of task that uses them.
+_KEPT: dict[str, Callable] = {}
+
+
+def keep_cache(owner: str, cache: Callable) -> None:
+    _KEPT[owner] = cache
+
+
+def drop_caches(owner: str) -> None:
+    """Forget what tasks of other kinds have kept in this process."""
+    for other in [o for o in _KEPT if o != owner]:
+        _KEPT.pop(other).cache_clear()
 
 
 def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
@@ -77,9 +87,7 @@ def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterato
     owner = run.__qualname__
 
     def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for user, cache in WORKER_CACHES:
-            if user != owner:
-                cache.cache_clear()
+        drop_caches(owner)
         yield from run(batches)
         pa.default_memory_pool().release_unused()
 

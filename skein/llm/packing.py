@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skein.llm.common import WORKER_CACHES, byte_texts, map_batches, materialize, text_slices
+from skein.llm.common import byte_texts, keep_cache, map_batches, materialize, text_slices
 
 CAPACITY = 4096
 END_ID = 1
@@ -131,8 +131,7 @@ def tokens(docs: DataFrame, file: str | None = None, capacity: int = CAPACITY, e
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_tokens(file)
-        if not WORKER_CACHES:
-            WORKER_CACHES.append((owner, word_tokens))
+        keep_cache(owner, word_tokens)
         for batch in batches:
             for part in text_slices(batch, "text"):
                 whole = [x + end for x in encoder.encode(byte_texts(part, "text"))]
