@@ -68,6 +68,28 @@ def added_lines(before: DataFrame, after: DataFrame, most: int = 12) -> DataFram
     return new.withColumn("n", n).filter(F.col("n") <= most).drop("n")
 
 
+# Columns that count what was sampled, and names of files that SQLite keeps beside an open database.
+COUNTERS = ("filesSampled", "recordsSampled")
+SIDECAR = r"\.[A-Za-z0-9]+-(wal|shm|journal)$"
+
+
+def lasting(files: DataFrame, name: str = "path") -> DataFrame:
+    """Files without those that exist only while a database is open."""
+    return files.filter(~F.col(name).rlike(SIDECAR))
+
+
+def comparable(fingerprints: DataFrame) -> DataFrame:
+    """Fingerprints without counts of what was sampled, and with plain line ends: what two of them are compared by."""
+    kept = fingerprints.select(*(c for c in fingerprints.columns if c not in COUNTERS))
+    return kept.withColumn("shapes", F.regexp_replace("shapes", "\r\n", "\n"))
+
+
+def differing(before: DataFrame, after: DataFrame) -> DataFrame:
+    """record_type of the fingerprints that are not the same, or that only one side has."""
+    old, new = (comparable(df).select("record_type", F.col("shapes").alias(n)) for df, n in ((before, "old"), (after, "new")))
+    return old.join(new, "record_type", "full").filter(~F.col("old").eqNullSafe(F.col("new"))).select("record_type")
+
+
 def newest_sample(files: DataFrame, records: DataFrame, n_files: int = 30, n_records: int = 400) -> DataFrame:
     """The first records of the newest files: ``files`` (path, modified), ``records`` (path, line_no, value)."""
     chosen = files.orderBy(F.desc("modified"), "path").limit(n_files)

@@ -276,6 +276,20 @@ def test_fingerprints(spark):
     assert [r["shape"] for r in profile.added_lines(before, profile.fingerprint(rows)).collect()] == ["$: invalid"]
 
 
+def test_fingerprints_are_compared_without_noise(spark):
+    before = spark.createDataFrame([("a", "x: number\r\ny: string", 3), ("b", "z: null", 1)], "record_type string, shapes string, recordsSampled int")
+    after = spark.createDataFrame([("a", "x: number\ny: string", 900), ("c", "z: null", 1)], "record_type string, shapes string, recordsSampled int")
+    assert sorted(r.record_type for r in profile.differing(before, after).collect()) == ["b", "c"]
+    files = spark.createDataFrame([("/s/state.vscdb",), ("/s/state.vscdb-wal",), ("/s/state.db-journal",), ("/s/notes-wal.md",)], "path string")
+    assert sorted(r.path for r in profile.lasting(files).collect()) == ["/s/notes-wal.md", "/s/state.vscdb"]
+
+
+def test_newest_sample(spark):
+    files = spark.createDataFrame([("old", 1), ("new", 3), ("mid", 2)], "path string, modified int")
+    records = spark.createDataFrame([(p, i, f"{p}{i}") for p in ("old", "mid", "new") for i in range(5)], "path string, line_no int, value string")
+    assert sorted(r.value for r in profile.newest_sample(files, records, 2, 3).collect()) == ["mid0", "mid1", "mid2", "new0", "new1", "new2"]
+
+
 def test_queries_match_their_sql(spark):
     db = duckdb.connect()
     for t in ("conversations", "embeddings", "documents", "events", "pages"):
