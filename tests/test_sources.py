@@ -190,6 +190,65 @@ def test_configured_sources(spark, tmp_path):
     assert known.get("codex") is None and len(known.all()) == 1
 
 
+def seven_stores(home, turn):
+    """Stores of all tools with turns 0 to ``turn``: each holds one session under the project /work/app."""
+    said = [(i, "user" if i % 2 == 0 else "assistant", f"said {i}", T.format(i)) for i in range(turn + 1)]
+    lines(home / "claude" / "-work-app" / "s.jsonl", *({"type": r, "timestamp": t, "cwd": "/work/app", "content": x} for _, r, x, t in said))
+    lines(home / "claude" / "-work-elsewhere" / "z.jsonl", {"type": "user", "timestamp": T.format(0), "content": "foreign"})
+    meta = {"timestamp": T.format(0), "type": "session_meta", "payload": {"id": "s", "cwd": "/work/app"}}
+    message = lambda r, x, t: {"timestamp": t, "type": "event_msg", "payload": {"type": "user_message", "message": x}} if r == "user" else {"timestamp": t, "type": "response_item", "payload": {"type": "message", "role": r, "content": [{"text": x}]}}
+    lines(home / "codex" / "2026" / "f.jsonl", meta, *(message(r, x, t) for _, r, x, t in said))
+    lines(home / "cli" / "s" / "events.jsonl", {"type": "session.start", "timestamp": T.format(0), "data": {"context": {"cwd": "/work/app"}}}, *({"type": f"{r}.message", "timestamp": t, "data": {"content": x}} for _, r, x, t in said))
+    for p in ("copilot/h/state.vscdb", "cursor/workspaceStorage/h/state.vscdb", "cursor/globalStorage/state.vscdb", "oc/opencode.db"):
+        (home / p).unlink(missing_ok=True)
+    requests = [{"message": {"parts": [{"text": x}]}, "response": []} for _, _, x, _ in said]
+    item_table(home / "copilot" / "h" / "state.vscdb", "interactive.sessions", {"s": {"sessionId": "s", "creationDate": 1778407200000, "requests": requests}})
+    item_table(home / "cursor" / "workspaceStorage" / "h" / "state.vscdb", "composer.composerData", {"allComposers": [{"composerId": "s"}]})
+    for p in ("copilot/h", "cursor/workspaceStorage/h"):
+        (home / p / "workspace.json").write_text(json.dumps({"folder": "file:///work/app"}))
+    kv = {"composerData:s": {"fullConversationHeadersOnly": [{"bubbleId": str(i)} for i, *_ in said], "modelConfig": {}}} | {f"bubbleId:s:{i}": {"type": 1 + i % 2, "text": x, "createdAt": t} for i, _, x, t in said}
+    database(home / "cursor" / "globalStorage" / "state.vscdb", ("CREATE TABLE cursorDiskKV (key TEXT, value TEXT)",), *(("INSERT INTO cursorDiskKV VALUES (?, ?)", k, json.dumps(v)) for k, v in kv.items()))
+    rows = [("INSERT INTO message VALUES (?, 's', ?, ?)", f"m{i}", 1778407200000 + 1000 * i, json.dumps({"role": r})) for i, r, *_ in said] + [("INSERT INTO part VALUES (?, ?, 1, ?)", f"p{i}", f"m{i}", json.dumps({"type": "text", "text": x})) for i, _, x, _ in said]
+    database(home / "oc" / "opencode.db", ("CREATE TABLE session (id TEXT, directory TEXT)",), ("CREATE TABLE message (id TEXT, session_id TEXT, time_created INT, data TEXT)",), ("CREATE TABLE part (id TEXT, message_id TEXT, time_created INT, data TEXT)",), ("INSERT INTO session VALUES ('s', '/work/app')",), *rows)
+    folder = home / "brain" / "s"
+    folder.mkdir(parents=True, exist_ok=True)
+    for i, _, x, t in said:
+        (folder / f"n{i}.md").write_text(f"{x} in file:///work/app/x")
+        (folder / f"n{i}.md.metadata.json").write_text(json.dumps({"updatedAt": t}))
+    return {"claude-code": "claude", "codex": "codex", "copilot-cli": "cli", "copilot": "copilot", "cursor": "cursor/workspaceStorage", "opencode": "oc/opencode.db", "antigravity": "brain"}
+
+
+def test_readers_start_from_the_cursor(spark, tmp_path):
+    """All seven tools by their own readers: everything, then what is newer than a cursor (and, as ever, all of copilot's)."""
+    from datetime import datetime
+
+    from skein.sources import registry
+
+    home = tmp_path / "home"
+    config = {"tools": {tool: {"storePath": str(home / place)} for tool, place in seven_stores(home, 5).items()}}
+    (tmp_path / "config.yaml").write_text(json.dumps(config))
+    found = registry.configured(registry.load_config(spark, str(tmp_path / "config.yaml")), str(home), project_root="/work/app")
+    assert registry.load_config(spark, str(tmp_path / "none.yaml")) == {}
+    since = datetime(2026, 5, 10, 10, 0, 2)
+    assert {s.tool: (s.read(spark, s, None)[0].count(), s.read(spark, s, since)[0].count()) for s in found} == dict.fromkeys(registry.CATALOGUE, (6, 3)) | {"copilot": (6, 6)}
+
+
+def test_refresh_stores_what_is_new(spark, tmp_path):
+    """A second refresh adds new turns; turns that come again are stored once."""
+    from skein.operators.store import Store
+    from skein.sources import registry
+    from skein.streaming import incremental
+
+    places = seven_stores(tmp_path / "home", 3)
+    known = [registry.Source(tool, tool, str(tmp_path / "home" / places[tool]), registry.READERS[tool]) for tool in ("codex", "copilot")]
+    store = Store(spark, str(tmp_path / "store"))
+    count = lambda: {r.tool: r["count"] for r in store.messages().groupBy("tool").count().collect()}
+    assert incremental.refresh(spark, store, known) == {} and count() == {"codex": 4, "copilot": 4}
+    seven_stores(tmp_path / "home", 5)
+    assert incremental.refresh(spark, store, known) == {} and count() == {"codex": 6, "copilot": 6}
+    assert all(r.message_count == 6 for r in store.sessions().collect())
+
+
 def test_package_is_shipped_once(spark):
     from skein.session import ship
 
