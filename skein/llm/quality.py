@@ -190,8 +190,9 @@ def clean(docs: DataFrame, host: str = "source", limit: int = LINE_LIMIT, deplet
     rows = docs.withColumn(host_at, F.col(host))
     by_host: dict = {}
     if joined := over.limit(lines_in_task + 1).count() > lines_in_task:
-        found = materialize(of_text.select("h", F.lower(F.hex("t")).alias("t"), F.col("removed").alias(lost_at)))
-        rows = rows.join(found, _same(host_at, "h") & (F.md5(F.coalesce("text", F.lit(""))) == F.col("t")), "left").drop("h", "t")
+        h, t = spare(docs, "h"), spare(docs, "t")
+        found = materialize(of_text.select(F.col("h").alias(h), F.lower(F.hex("t")).alias(t), F.col("removed").alias(lost_at)))
+        rows = rows.join(found, _same(host_at, h) & (F.md5(F.coalesce("text", F.lit(""))) == F.col(t)), "left").drop(h, t)
     else:
         for r in over.collect():
             by_host.setdefault(r.h, set()).add(r.l)

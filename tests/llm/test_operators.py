@@ -228,6 +228,7 @@ def test_pipeline_removes_blocks_of_shared_lines(spark):
 def test_quality_edges(spark, edges, empty):
     assert quality.verdicts(edges).count() == len(EDGES) and quality.verdicts(empty).isEmpty()
     assert quality.clean(empty).isEmpty() and quality.clean(edges).columns == edges.columns
+    assert sorted(map(repr, quality.clean(edges, lines_in_task=-1).collect())) == sorted(map(repr, quality.clean(edges).collect()))
 
 
 def test_quality_sql(spark):
