@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import ann, langid, mixing, packing, pii, quality, secrets, sharding, simhash, toxicity
+from skein.llm import ann, langid, mixing, packing, pii, quality, resampling, secrets, sharding, simhash, toxicity
 from skein.llm.common import hadoop_fs, read_table, shared_dir
 
 
@@ -70,6 +70,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("full_tiers", F.lit(len(table.full_tiers(version))))
 
 
+def op11_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 OP10_SQL = "SELECT doc_id, coalesce(doc_id % 16, 0) AS arrival, strlen(text)::BIGINT AS n_bytes, md5(text) AS text_md5, 0 AS full_tiers FROM documents"
 
 
@@ -84,5 +88,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_source_mixing": op8_source_mixing,
     "op9_secret_scan": op9_secret_scan,
     "op10_sharding": op10_sharding,
+    "op11_target_resampling": op11_target_resampling,
 }
-ORACLE_SQL: dict[str, str] = {"op2_quality_rules": quality.ORACLE_SQL, "op10_sharding": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_quality_rules": quality.ORACLE_SQL, "op10_sharding": OP10_SQL, "op11_target_resampling": resampling.ORACLE_SQL}
