@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import ann, langid, mixing, packing, pii, quality, resampling, secrets, sharding, simhash, toxicity
+from skein.llm import ann, langid, mixing, packing, pieces, pii, quality, resampling, secrets, sharding, simhash, toxicity
 from skein.llm.common import hadoop_fs, read_table, shared_dir
 
 
@@ -74,6 +74,10 @@ def op11_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(read_table(spark, sf_dir, "documents"))
+
+
 OP10_SQL = "SELECT doc_id, coalesce(doc_id % 16, 0) AS arrival, strlen(text)::BIGINT AS n_bytes, md5(text) AS text_md5, 0 AS full_tiers FROM documents"
 
 
@@ -89,5 +93,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_secret_scan": op9_secret_scan,
     "op10_sharding": op10_sharding,
     "op11_target_resampling": op11_target_resampling,
+    "op12_sentencepiece": op12_sentencepiece,
 }
 ORACLE_SQL: dict[str, str] = {"op2_quality_rules": quality.ORACLE_SQL, "op10_sharding": OP10_SQL, "op11_target_resampling": resampling.ORACLE_SQL}
