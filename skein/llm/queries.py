@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import ann, langid, mixing, packing, pieces, pii, quality, resampling, secrets, sharding, simhash, toxicity
+from skein.llm import ann, langid, mixing, packing, pieces, pii, quality, resampling, secrets, sharding, simhash, toxicity, trie
 from skein.llm.common import hadoop_fs, read_table, shared_dir
 
 
@@ -78,6 +78,10 @@ def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(read_table(spark, sf_dir, "documents"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(read_table(spark, sf_dir, "conversations"))
+
+
 OP10_SQL = "SELECT doc_id, coalesce(doc_id % 16, 0) AS arrival, strlen(text)::BIGINT AS n_bytes, md5(text) AS text_md5, 0 AS full_tiers FROM documents"
 
 
@@ -94,5 +98,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_sharding": op10_sharding,
     "op11_target_resampling": op11_target_resampling,
     "op12_sentencepiece": op12_sentencepiece,
+    "op13_prefix_trie": op13_prefix_trie,
 }
-ORACLE_SQL: dict[str, str] = {"op2_quality_rules": quality.ORACLE_SQL, "op10_sharding": OP10_SQL, "op11_target_resampling": resampling.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_quality_rules": quality.ORACLE_SQL, "op10_sharding": OP10_SQL, "op11_target_resampling": resampling.ORACLE_SQL, "op13_prefix_trie": trie.ORACLE_SQL}
