@@ -4,11 +4,13 @@ Every line is normalised (ASCII lower case, digits to 0, white space collapsed)
 counted per host over the distinct documents that hold it. Lines above ``limit`` documents of a host are
 boilerplate: they are removed, and a document that loses over ``depleted`` of its words is rejected.
 
-A document is a distinct text of a host, however often it is repeated. Near copies are one document: a text with over ``COPY``
-of its words in lines that over ``limit`` texts of its host hold (two such texts have a similarity above 0.8) is known by
-the longest of those lines, so that the copies of a page don't make its own lines frequent.
+A document is a distinct text of a host, however often it is repeated. Texts that are the same but for a few words are one document, so that the
+copies of a page don't make its own lines frequent. Whether they are is looked up in their words, for texts with over ``SUSPECT`` of their words in lines that over ``limit``
+texts of the host hold: their five-word shingles are counted over these texts, and one with under a ``OWN``-th of shingles that ``limit`` texts or fewer hold is known
+by the set of its other shingles. Two texts of one set have a similarity above 0.96. A menu of 40 lines beside one line of one's own makes no copies; pages that differ in
+less than that share are taken for copies.
 
-One Arrow pass reads the texts and leaves 16 bytes of text hash, counts and the line hashes. Contents
+One Arrow pass reads the texts (a second one those of suspects) and leaves 16 bytes of text hash, counts and the line hashes. Contents
 are made distinct before their lines are exploded, counts are pre-aggregated before each shuffle, and
 only hashes move; a line that a third of all documents share is one pre-aggregated group. ``clean`` reads the texts a second time and cuts
 the frequent lines where they lie: up to ``LINES_IN_TASK`` of them go to every task, beyond that a join brings each text its own.
@@ -26,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,8 +40,12 @@ REPEAT_WINDOW = 8
 MAX_REPEAT_PERCENT = 30
 #: Distinct documents of one host that may share a line.
 LINE_LIMIT = 20
-#: Ninths of a text's words in lines above the limit, beyond which it is a near copy: two that differ in the rest have a similarity above 0.8.
-COPY_NINTHS = 8
+#: Share of a text's words in lines that over the limit of texts hold, beyond which it may be a copy of another.
+SUSPECT = 0.85
+#: A copy has fewer own shingles than one in so many: similarity of two copies (OWN - 1) / (OWN + 1).
+OWN, SHINGLE = 64, 5
+#: Suspects (of 40 bytes) that are sent to every task; more of them are joined.
+SUSPECTS_IN_TASK = 200_000
 #: Share of a document's words that it may lose.
 DEPLETED = 0.7
 #: Frequent lines that are sent to every task; more of them are joined.
@@ -152,22 +159,61 @@ def _above(counted: DataFrame, limit: int) -> DataFrame:
     return counted.filter(F.col("n") > limit).select(F.col("host").alias("h"), F.col("line").alias("l"))
 
 
-def frequent_lines(feats: DataFrame, limit: int = LINE_LIMIT) -> tuple[DataFrame, DataFrame]:
+def shingle_hashes(text: bytes | None) -> list[int]:
+    """Hashes of the distinct shingles of a text's normalised words."""
+    words = normal_words(text or b"")
+    n = max(1, len(words) - SHINGLE + 1)
+    return list({xxhash.xxh64_intdigest(b" ".join(words[i : i + SHINGLE])) - (1 << 63) for i in range(n)})
+
+
+def _shingles(texts: DataFrame) -> DataFrame:
+    """h, t and shingles of ``texts`` (h, t, text)."""
+    out = T.StructType([texts.schema["h"], texts.schema["t"], T.StructField("shingles", T.ArrayType(T.LongType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_slices(batch, "text"):
+                yield pa.record_batch([part.column(0), part.column(1), pa.array(map(shingle_hashes, byte_texts(part, "text")), pa.list_(pa.int64()))], out.names)
+
+    return map_batches(texts, run, out)
+
+
+def _documents(docs: DataFrame, suspects: DataFrame, limit: int, host: str) -> DataFrame:
+    """h, t and document of the ``suspects`` (h, t) that are copies of others."""
+    texts = docs.select(F.col(host).alias("host"), F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("hash"), "text")
+    if suspects.limit(SUSPECTS_IN_TASK + 1).count() <= SUSPECTS_IN_TASK:
+        suspects = F.broadcast(suspects)
+    found = _shingles(texts.join(suspects, _same("host", "h") & (F.col("hash") == F.col("t"))).select("h", "t", "text"))
+    each = materialize(found.groupBy("h", "t").agg(F.first("shingles").alias("shingles"))).select("h", "t", F.explode("shingles").alias("shingle"))
+    common = each.groupBy(F.col("h").alias("ch"), F.col("shingle").alias("c")).agg(F.count("*").alias("n")).filter(F.col("n") > limit).drop("n")
+    known = each.join(common, _same("h", "ch") & (F.col("shingle") == F.col("c")), "left")
+    # the set of a text's common shingles, whatever their order: their number and two sums of 64-bit hashes
+    sums = [F.sum(F.when(F.col("c").isNotNull(), F.xxhash64(F.lit(i), "c").cast("decimal(20)"))).alias(f"s{i}") for i in (1, 2)]
+    sets = known.groupBy("h", "t").agg(F.count("*").alias("n"), F.count("c").alias("n_common"), *sums)
+    return sets.filter((F.col("n") - F.col("n_common")) * OWN < F.col("n")).select("h", "t", F.concat_ws(" ", "n_common", "s1", "s2").cast("binary").alias("document"))
+
+
+def frequent_lines(docs: DataFrame, feats: DataFrame, limit: int = LINE_LIMIT, host: str = "source") -> tuple[DataFrame, DataFrame]:
     """Lines (h, l) that over ``limit`` documents of a host hold, and the rows of lines that over ``limit`` texts hold."""
     rows = _lines(feats)
     many = materialize(_above(rows.groupBy("host", "line").agg(F.count("*").alias("n")), limit))
     held = materialize(rows.join(many, _same("host", "h") & (F.col("line") == F.col("l"))).drop("h", "l"))
-    known = held.groupBy("host", "text_hash").agg(F.sum("words").alias("inside"), F.first("total").alias("total"), F.max(F.struct("words", "line")).alias("longest"))
-    copy = F.col("inside") * 9 > F.col("total") * COPY_NINTHS
-    name = F.when(copy, F.unhex(F.lpad(F.hex("longest.line"), 16, "0"))).otherwise(F.col("text_hash"))
-    known = known.select(F.col("host").alias("h"), F.col("text_hash").alias("t"), name.alias("document"))
-    named = held.join(known, _same("host", "h") & (F.col("text_hash") == F.col("t")))
-    return materialize(_above(named.groupBy("host", "line").agg(F.countDistinct("document").alias("n")), limit)), held
-
-
-def _removed(feats: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
+    inside = held.groupBy(F.col("host").alias("h"), F.col("text_hash").alias("t")).agg(F.sum("words").alias("inside"), F.first("total").alias("total"))
+    suspects = materialize(inside.filter(F.col("inside") > F.col("total") * SUSPECT).select("h", "t"))
+    if suspects.isEmpty():
+        return many, held
+    copies = materialize(_documents(docs, suspects, limit, host))
+    named = held.join(copies, _same("host", "h") & (F.col("text_hash") == F.col("t")), "left")
+    # a line's documents: its texts that are no copies, and the distinct names of copies
+    names = named.filter("document IS NOT NULL").groupBy("host", "line", "document").agg(F.lit(1).alias("n"))
+    single = named.filter("document IS NULL").groupBy("host", "line").agg(F.count("*").alias("n"))
+    counted = single.unionByName(names.select("host", "line", "n")).groupBy("host", "line").agg(F.sum("n").alias("n"))
+    return materialize(_above(counted, limit)), held
+
+
+def _removed(docs: DataFrame, feats: DataFrame, limit: int, host: str) -> tuple[DataFrame, DataFrame]:
     """The frequent lines, and h, t, removed (hashes) and removed_words of each text of a host that holds some."""
-    over, held = frequent_lines(feats, limit)
+    over, held = frequent_lines(docs, feats, limit, host)
     hit = held.join(over, _same("host", "h") & (F.col("line") == F.col("l")))
     return over, hit.groupBy(F.col("host").alias("h"), F.col("text_hash").alias("t")).agg(F.collect_set("line").alias("removed"), F.sum("words").alias("removed_words"))
 
@@ -175,7 +221,7 @@ def _removed(feats: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
 def verdicts(docs: DataFrame, host: str = "source", limit: int = LINE_LIMIT, depleted: float = DEPLETED) -> DataFrame:
     """The counts of every row, base_failed, removed_words and kept."""
     feats = materialize(features(docs, host))
-    found = _removed(feats, limit)[1].drop("removed")
+    found = _removed(docs, feats, limit, host)[1].drop("removed")
     rows = feats.drop("lines", "line_words").join(found, _same("host", "h") & (F.col("text_hash") == F.col("t")), "left")
     failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)
     removed = F.coalesce("removed_words", F.lit(0))
@@ -185,7 +231,7 @@ def verdicts(docs: DataFrame, host: str = "source", limit: int = LINE_LIMIT, dep
 def clean(docs: DataFrame, host: str = "source", limit: int = LINE_LIMIT, depleted: float = DEPLETED, lines_in_task: int = LINES_IN_TASK) -> DataFrame:
     """The kept rows of ``docs`` without their frequent lines; columns stay, n_chars follows the text."""
     feats = materialize(features(docs, host, base=False))
-    over, of_text = _removed(feats, limit)
+    over, of_text = _removed(docs, feats, limit, host)
     host_at, lost_at = spare(docs, "host"), spare(docs, "lost")
     rows = docs.withColumn(host_at, F.col(host))
     by_host: dict = {}
@@ -241,13 +287,19 @@ held AS (SELECT DISTINCT source, text, h, n FROM norm JOIN d USING (r)),
 many AS (SELECT source, h FROM held GROUP BY source, h HAVING count(*) > {LINE_LIMIT}),
 inside AS (SELECT held.* FROM held JOIN many ON many.h = held.h AND many.source IS NOT DISTINCT FROM held.source),
 total AS (SELECT source, text, sum(n) AS total FROM held GROUP BY source, text),
-longest AS (SELECT source, text, sum(n) AS n, arg_max(h, (n, md5_signed)) AS h FROM (SELECT *, md5(h)[1:1] < '8' AS s, (s, md5(h)[1:16]) AS md5_signed FROM inside) GROUP BY source, text),
-name AS (
-  SELECT l.source, l.text, CASE WHEN l.n * 9 > t.total * {COPY_NINTHS} THEN 'line ' || l.h ELSE 'text ' || l.text END AS document
-  FROM longest l JOIN total t ON t.text = l.text AND t.source IS NOT DISTINCT FROM l.source),
+suspect AS (
+  SELECT i.source, i.text FROM (SELECT source, text, sum(n) AS n FROM inside GROUP BY ALL) i JOIN total t ON t.text = i.text AND t.source IS NOT DISTINCT FROM i.source
+  WHERE i.n > t.total * {SUSPECT}),
+plain AS (
+  SELECT source, text, regexp_extract_all(regexp_replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9]', '0', 'g'), '[^\x20\x09-\x0D]+') AS ws FROM suspect),
+shingle AS (SELECT DISTINCT source, text, array_to_string(ws[k + 1 : k + {SHINGLE}], ' ') AS s FROM (SELECT *, unnest(range(greatest(1, len(ws) - {SHINGLE - 1}))) AS k FROM plain)),
+known AS (SELECT *, count(*) OVER (PARTITION BY source, s) > {LINE_LIMIT} AS common FROM shingle),
+copy AS (
+  SELECT source, text, string_agg(s, chr(10) ORDER BY s) FILTER (common) AS document FROM known
+  GROUP BY source, text HAVING count(*) FILTER (NOT common) * {OWN} < count(*)),
 freq AS (
-  SELECT i.source, i.h FROM inside i JOIN name ON name.text = i.text AND name.source IS NOT DISTINCT FROM i.source
-  GROUP BY i.source, i.h HAVING count(DISTINCT document) > {LINE_LIMIT}),
+  SELECT i.source, i.h FROM inside i LEFT JOIN copy c ON c.text = i.text AND c.source IS NOT DISTINCT FROM i.source
+  GROUP BY i.source, i.h HAVING count(DISTINCT coalesce('copy ' || c.document, 'text ' || i.text)) > {LINE_LIMIT}),
 lost AS (SELECT r, sum(n) AS removed_words FROM norm JOIN d USING (r) JOIN freq ON freq.h = norm.h AND freq.source IS NOT DISTINCT FROM d.source GROUP BY r),
 base AS (
   SELECT doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars,

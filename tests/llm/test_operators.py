@@ -5,6 +5,7 @@ import math
 import random
 import re
 import zlib
+from collections import Counter
 from itertools import pairwise
 
 import duckdb
@@ -151,12 +152,17 @@ def plain_quality(rows, limit):
     for (s, t), lines in sizes.items():
         for k in lines:
             holders.setdefault((s, k), set()).add(t)
-    documents = {}
+    grams = {}
     for (s, t), lines in sizes.items():
-        inside = {k: n for k, n in lines.items() if len(holders[s, k]) > limit}
-        copy = 9 * sum(inside.values()) > 8 * sum(lines.values())
-        for k in inside:
-            documents.setdefault((s, k), set()).add(max((n, k) for k, n in inside.items())[1] if copy else t)
+        if sum(n for k, n in lines.items() if len(holders[s, k]) > limit) > 0.85 * sum(lines.values()):
+            ws = norm(t).split(" ")
+            grams[s, t] = {tuple(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))}
+    held = Counter((s, g) for (s, _), gs in grams.items() for g in gs)
+    document = {}
+    for (s, t), gs in grams.items():
+        common = frozenset(g for g in gs if held[s, g] > limit)
+        document[s, t] = common if 64 * (len(gs) - len(common)) < len(gs) else t
+    documents = {(s, k): {document.get((s, t), t) for t in ts} for (s, k), ts in holders.items()}
     out = []
     for i, source, text in rows:
         ws, lines = words(text), [x for x in (text or "").split("\n") if words(x)]
@@ -186,7 +192,7 @@ def test_quality_equals_plain_rules(spark):
     assert joined == kept
 
 
-@pytest.mark.parametrize(("shared", "own"), [(6, 1), (20, 3), (20, 5), (40, 6)])
+@pytest.mark.parametrize(("shared", "own"), [(6, 1), (20, 1), (40, 1), (20, 3), (20, 5), (40, 6)])
 def test_menu_lines_of_pages_go(spark, shared, own):
     """Lines that 400 different pages of a host share are removed, however many there are; pages of little else are rejected."""
     name = lambda *x: "".join(chr(97 + int(c)) for c in "0".join(map(str, x)))
@@ -200,6 +206,18 @@ def test_menu_lines_of_pages_go(spark, shared, own):
     assert {i for i, r in got.items() if r.kept} == {1000, 1001} == {r.doc_id for r in quality.clean(df).collect() if "menu" not in r.text}
 
 
+@pytest.mark.parametrize("case", ["menu", "pool", "few"])
+def test_pages_of_shared_lines_are_all_rejected(spark, case):
+    """1000 different pages of one host, nearly all of whose words lie in lines that other pages hold, though no two pages hold the same."""
+    rng = random.Random(4)
+    made = lambda n: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(n))
+    menu, pool, first = [made(8) for _ in range(20)], [made(9) for _ in range(400)], made(25)
+    page = {"menu": lambda: [*menu, made(10)], "pool": lambda: [first, *rng.sample(pool, 25)], "few": lambda: [*menu[:6], made(10)]}[case]
+    df = spark.createDataFrame([(i, "h", "\n".join(page())) for i in range(1000)], "doc_id int, source string, text string")
+    got = quality.verdicts(df).collect()
+    assert len(got) == 1000 and not any(r.kept for r in got) and quality.clean(df).isEmpty()
+
+
 def test_quality_copies_do_not_condemn_themselves(spark):
     body = "\n".join(f"line {w} of a clean document {w * 2} with words {w * 3} enough to stay {w * 4}" for w in "abcdefg")
     near = [(1000 + i, "h", body + f"\nand a last line of its own {chr(97 + i % 26) * (i // 26 + 1)}") for i in range(600)]
