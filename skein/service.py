@@ -6,13 +6,16 @@ once at a time and at most every ``ttl`` seconds; a caller waits up to ``budget`
 
 from __future__ import annotations
 
+import inspect
 import threading
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skein import render
 from skein.functions.text import iso_time, query_phrases, sanitize_text
 from skein.operators import embed, lexical, search, status, windows
 from skein.operators.store import Store
@@ -22,9 +25,10 @@ TTL, BUDGET, VECTOR_BATCH = 30.0, 4.0, 512
 
 
 class Service:
-    def __init__(self, spark: SparkSession, store: Store, provider: embed.EmbeddingProvider | None = None, refresh: Callable[[], dict[str, str]] | None = None, ttl: float = TTL, budget: float = BUDGET):
+    def __init__(self, spark: SparkSession, store: Store, provider: embed.EmbeddingProvider | None = None, refresh: Callable[[], dict[str, str]] | None = None, ttl: float = TTL, budget: float = BUDGET, project_root: str | None = None):
         self.spark, self.store, self.provider, self._refresh = spark, store, provider, refresh
         self.ttl, self.budget, self._lock, self._thread, self._at = ttl, budget, threading.Lock(), None, -1e9
+        self.project_root = project_root
         self.embedding_error: str | None = None
         self.mode_used: str | None = None
 
@@ -129,7 +133,11 @@ class Service:
         units, vectors = self.store.units(), self.store.vectors()
         total = 0 if units is None else units.count()
         left = total if vectors is None or units is None or self.provider is None else windows.backlog(units, vectors, self.provider.model).count()
-        return {"retrieval_units": total, "vectorized_units": total - left, "loading": self.loading(), "embedding_error": self.embedding_error}
+        return {"retrieval_units": total, "vectorized_units": total - left, "scanning": self.scanning(), "loading": self.loading(), "embedding_error": self.embedding_error}
+
+    def scanning(self) -> bool:
+        """Whether a refresh is still running."""
+        return self._thread is not None and self._thread.is_alive()
 
     def status(self) -> dict:
         s, m, u, v, said = self.store.sessions(), self.store.messages(), self.store.units(), self.store.vectors(), self.store.settings()
@@ -143,9 +151,65 @@ class Service:
             rows = status.resolve_refs(search.scope(self.store.sessions(), tools, branches), refs).orderBy("position").collect()
         else:
             rows = self.recent_sessions(limit, tools, branches).withColumn("missing", F.lit(False)).collect()
-        found = [{"session_ref": r.session_ref, "tool": r.tool, "message_count": r.message_count, "retrieve": {"query": "session_detail", "session_ref": r.session_ref}} for r in rows if not r.missing]
-        return {"schema_version": "handoff-manifest/v1", "correlation_id": (correlation_id or "").strip() or None, "sessions": found, "missing_session_refs": [r.session_ref for r in rows if r.missing]}
+        at = lambda t: None if t is None else t.isoformat(timespec="milliseconds") + "Z"
+        found = [
+            {"session_ref": r.session_ref, "tool": r.tool, "started_at": at(r.started_at), "last_activity_at": at(r.last_activity_at), "message_count": r.message_count, "source_path": r.source_path, "retrieve": {"query": "session_detail", "session_ref": r.session_ref}}
+            for r in rows if not r.missing
+        ]
+        sessions, said = self.store.sessions(), self.store.settings()
+        return {
+            "schema_version": "handoff-manifest/v1", "generated_at": at(datetime.now(UTC).replace(tzinfo=None)), "correlation_id": (correlation_id or "").strip() or None, "project": {"root": self.project_root},
+            "freshness": {"last_scan_at": said.get("last_scan_at"), "indexed_sessions": 0 if sessions is None else sessions.count(), "indexing": {k: v for k, v in self.progress().items() if k != "embedding_error"}},
+            "sessions": found, "missing_session_refs": [r.session_ref for r in rows if r.missing], "contract": {"authority": "raw-transcript", "detail": "session_detail", "correlation": "kept by the caller alone"},
+        }
+
+    # calls by name
+
+    def call(self, name: str, arguments: Mapping | None = None) -> dict:
+        """A query by its name as an envelope: its value with a text of it, or an error of a kind; arguments that are no mapping count as none.
+
+        ``format`` "markdown" gives the text as Markdown. Names that are no query, arguments that it does not take and everything that goes wrong
+        inside it can be told apart by ``kind`` (not_found, invalid_argument, others).
+        """
+        given = dict(arguments) if isinstance(arguments, Mapping) else {}
+        markdown = given.pop("format", None) == "markdown"
+        try:
+            if name not in CALLS:
+                raise LookupError(f"no query {name}")
+            run, shown = CALLS[name]
+            try:
+                bound = inspect.signature(run).bind(self, **given)
+            except TypeError as e:
+                raise ValueError(f"arguments of {name}: {e}") from None
+            value = run(*bound.args, **bound.kwargs)
+            return render.success(shown(value) if markdown else value)
+        except Exception as e:  # every failure is an answer
+            return render.failure(e)
+
+    def _page(self, session_ref: str, offset: int = 0, limit: float | None = None) -> dict:
+        if not isinstance(session_ref, str) or not session_ref.strip():
+            raise ValueError("session_ref is empty")
+        limit = search.normalize_limit(limit, search.DETAIL_LIMIT)
+        return {"session_ref": session_ref, "offset": offset, "limit": limit, "messages": [r.asDict() for r in self.session_detail(session_ref, offset, limit).collect()]}
+
+    def _recent(self, limit: float | None = None, tools=None, branches=None) -> dict:
+        return {"sessions": [r.asDict() for r in self.recent_sessions(limit, tools, branches).collect()]}
+
+    def _search(self, query: str, limit: float | None = None, tools=None, branches=None, mode: str | None = None) -> dict:
+        if not isinstance(query, str) or not query.strip():
+            raise ValueError("query is empty")
+        return self.answer(query, limit, tools, branches, mode)
 
     def active(self) -> dict | None:
         rows = status.active(self.store.sessions(), F.current_timestamp()).withColumn("last_activity_at", iso_time(F.col("last_activity_at"))).collect()
         return rows[0].asDict() if rows else None
+
+
+#: Queries by name, and how each one's value is shown as Markdown.
+CALLS: dict[str, tuple[Callable, Callable]] = {
+    "recent_sessions": (Service._recent, lambda v: render.session_list(v["sessions"])),
+    "session_detail": (Service._page, lambda v: render.session_detail(v["session_ref"], v["messages"], v["offset"], v["limit"])),
+    "search_sessions": (Service._search, render.search_answer),
+    "status": (Service.status, render.status),
+    "manifest": (Service.manifest, render.manifest),
+}

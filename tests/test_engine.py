@@ -180,12 +180,27 @@ def test_search_service(spark, store):
     waiting = Service(spark, store, Slow(64))
     assert waiting.answer("cache")["mode"] == "keyword" and waiting.progress()["loading"]
     assert render.failure(ValueError("no C:\\x\\y"))["message"] == "no <path>"
+    calls_by_name(service)
     broken = Service(spark, store, None)
     assert not broken.search("cache").isEmpty() and broken.embedding_error
     with pytest.raises(RuntimeError):
         broken.search("cache", mode="vector")
 
 
+def calls_by_name(service):
+    """Envelopes: values with texts, and three kinds of errors."""
+    good = service.call("manifest", {"refs": ["codex:old"], "correlation_id": " c1 "})
+    value = good["value"]
+    assert not good["is_error"] and value["correlation_id"] == "c1" and value["freshness"]["indexed_sessions"] == 2 and value["freshness"]["indexing"]["scanning"] is False
+    assert value["sessions"][0]["started_at"] == "2026-05-10T10:00:00.000Z" and "c1" in good["text"]
+    assert service.call("search_sessions", {"query": "cache", "format": "markdown"})["text"].startswith("**Found**")
+    assert "`codex:new`" in service.call("recent_sessions", "no mapping")["text"].replace('"codex:new"', "`codex:new`")
+    assert service.call("session_detail", {"session_ref": "codex:old", "limit": 1})["value"]["messages"][0]["role"] == "user"
+    assert service.call("status", {"format": "markdown"})["text"].startswith("**Stored**")
+    kinds = [service.call(*c)["kind"] for c in (("no_such_query", {}), ("search_sessions", {"query": " "}), ("search_sessions", {"q": "x"}), ("session_detail", {}))]
+    assert kinds == ["not_found", "invalid_argument", "invalid_argument", "invalid_argument"]
+
+
 def test_index_is_stored_and_pruned(spark, store):
     """A search reads the postings of its terms' buckets alone, a batch the buckets of its sessions, and both equal a fresh index."""
     store.ingest(chunks(spark, *(chunk(f"s{i}", j, f"cache number{i} word{j} invalidation") for i in range(12) for j in range(3))))
