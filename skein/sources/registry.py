@@ -85,15 +85,18 @@ def read_claude_code(spark: SparkSession, source: Source, since: datetime | None
     lines = jsonl.read_lines(spark, folders, newer=_newer(since))
     if root:
         lines = jsonl.in_project_dirs(lines, root)
-    return jsonl.claude_code(lines, root, F.col("exact") if root else None, _since(since))
+    chunks, drift = jsonl.claude_code(lines, root, F.col("exact") if root else None, _since(since))
+    return chunks, drift.unionByName(jsonl.unread(spark, folders, "claude-code", newer=_newer(since)))
 
 
 def read_codex(spark: SparkSession, source: Source, since: datetime | None = None):
-    return jsonl.codex(jsonl.read_lines(spark, source.path, newer=_newer(since)), source.options.get("project_root"), _since(since))
+    chunks, drift = jsonl.codex(jsonl.read_lines(spark, source.path, newer=_newer(since)), source.options.get("project_root"), _since(since))
+    return chunks, drift.unionByName(jsonl.unread(spark, source.path, "codex", newer=_newer(since)))
 
 
 def read_copilot_cli(spark: SparkSession, source: Source, since: datetime | None = None):
-    return jsonl.copilot_cli(jsonl.read_lines(spark, source.path, newer=_newer(since)), source.options.get("project_root"), _since(since))
+    chunks, drift = jsonl.copilot_cli(jsonl.read_lines(spark, source.path, newer=_newer(since)), source.options.get("project_root"), _since(since))
+    return chunks, drift.unionByName(jsonl.unread(spark, source.path, "copilot-cli", newer=_newer(since)))
 
 
 def read_copilot(spark: SparkSession, source: Source, since: datetime | None = None):

@@ -224,6 +224,61 @@ def test_index_is_stored_and_pruned(spark, store):
     assert store.messages().count() == 41
 
 
+def test_two_writers_store_a_message_once(spark, store, monkeypatch):
+    """A commit between a writer's plan and its own commit makes it plan anew; compaction beside it loses nothing."""
+    store.ingest(chunks(spark, chunk("s", 0, "one")))
+    other, commit = Store(spark, store.root, 2, 1), Store._commit
+    meant = [lambda: other.ingest(chunks(spark, chunk("s", 1, "two"), chunk("s", 2, "three"))), other.compact, lambda: other.set(k="v")]
+
+    def interrupted(self, *given):
+        if self is store and meant:
+            meant.pop(0)()
+        commit(self, *given)
+
+    monkeypatch.setattr(Store, "_commit", interrupted)
+    store.ingest(chunks(spark, chunk("s", 1, "two"), chunk("s", 3, "four")))
+    assert sorted(r.content for r in store.messages().collect()) == ["four", "one", "three", "two"] and not meant
+    assert store.sessions().first().message_count == 4 and store.settings() == {"k": "v"} and store.units().count() == 3
+    data = {s.getPath().getName() for s in store._fs(f"{store.root}/data")[0].listStatus(store._fs(f"{store.root}/data")[1])}
+    assert {b["id"] for b in store.state()["batches"]} <= data and len(data) == 5  # what was planned in vain is gone
+
+
+def test_snapshot_is_one_version_and_old_files_expire(spark, store):
+    store.ingest(chunks(spark, chunk("s", 0, "one")), tag="q-0")
+    before = store.snapshot()
+    store.ingest(chunks(spark, chunk("s", 1, "two")), tag="q-1")
+    assert before.messages().count() == 1 and before.sessions().first().message_count == 1 and store.messages().count() == 2
+    store.compact()
+    assert store.state()["tags"] == {"q": 1} and store.expire() == 0 and before.messages().count() == 1
+    assert store.expire(0) == 2 and len(store._versions()) == 1
+    assert sorted(r.content for r in store.messages().collect()) == ["one", "two"]
+    store.ingest(chunks(spark, chunk("s", 2, "three")), tag="q-1")
+    assert store.messages().count() == 2
+
+
+def test_buckets_grow_and_large_ones_are_split(spark, store, monkeypatch):
+    from skein.operators import store as S
+
+    monkeypatch.setattr(S, "BUCKET_ROWS", 10)
+    store.ingest(chunks(spark, *(chunk(f"t{i}", 0, f"few {i}") for i in range(5))))
+    store.ingest(chunks(spark, *(chunk(f"s{i}", j, f"text {i} {j}") for i in range(120) for j in range(4))))
+    assert [b["buckets"] for b in store.state()["batches"]] == [16, 64]
+    folders = {f.split("/")[-2] for f in store.raw("messages").inputFiles()}
+    assert len(folders) > 40 and store.messages().count() == 485
+    some = spark.createDataFrame([("codex:s7",), ("codex:t1",)], "session_ref string")
+    assert len(store.raw("messages", some).inputFiles()) <= 3 and {"codex:s7", "codex:t1"} <= {r.session_ref for r in store.messages(some).collect()}
+
+
+def test_other_schema_is_left_alone_by_readers(spark, store, monkeypatch):
+    from skein import schema
+
+    store.ingest(chunks(spark, chunk("s", 0, "one")))
+    monkeypatch.setattr(schema, "SCHEMA_VERSION", 99)
+    assert Store(spark, store.root).messages() is None and len(store._versions()) == 1
+    store.ingest(chunks(spark, chunk("s", 1, "two")))
+    assert [r.content for r in store.messages().collect()] == ["two"]
+
+
 def test_windows_of_one_long_session(spark):
     """A session that is all of the data still numbers its messages over several days."""
     rows = [chunk("s", i, f"m{i}", minute=400 * i) for i in range(50)]

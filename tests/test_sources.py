@@ -93,6 +93,71 @@ def test_copilot_cli(spark, tmp_path):
     assert shown(chunks) == [] and any("project unknown" in s for s in surprises(drift))
 
 
+def test_scan_equals_windows_on_any_split(spark):
+    """Counts, last values and conditions over blocks are those of one window over the whole key, wherever blocks begin."""
+    import random
+
+    from skein.functions import fold
+
+    r = random.Random(9)
+    rows = []
+    for key in "abc":
+        cut = sorted(r.sample(range(200), 7))
+        rows += [(key, sum(c <= i for c in cut), i, r.random() < 0.4, r.choice([None, None, "x", "y"]), r.random() < 0.01) for i in range(200)]
+    df = spark.createDataFrame(rows, "k string, b int, i int, takes boolean, said string, ends boolean").repartition(3)
+    got = fold.scan(df, "k", "b", "i", counts={"n": F.col("takes")}, latest={"last": F.col("said")}, held={"ended": F.col("ends")})
+    want = df.withColumns({"n": fold.running_index(F.col("takes"), "k", "i"), "last": fold.carried(F.col("said"), "k", "i"), "ended": fold.ever(F.col("ends"), "k", "i")})
+    assert sorted(map(repr, got.select(*want.columns).collect())) == sorted(map(repr, want.collect()))
+
+
+def test_one_large_file_is_read_by_many_tasks(spark, tmp_path):
+    """Three sources, each from one file cut into many splits: the same chunks as from one split."""
+    user = lambda i: {"timestamp": T.format(1), "type": "event_msg", "payload": {"type": "user_message", "message": f"q{i}"}}
+    meta = {"type": "session_meta", "payload": {"id": "c1", "cwd": "/work/app", "git": {"branch": "main"}}}
+    turn = lambda i: {"type": "turn_context", "payload": {"approval_policy": "full-auto" if i % 2 else "suggest", "cwd": "/work/app" if i < 250 else "/else"}}
+    files = {
+        "codex": lines(tmp_path / "a" / "f.jsonl", meta, *(user(i) if i % 50 else turn(i) for i in range(300))),
+        "claude": lines(tmp_path / "b" / "s1.jsonl", *({"type": "human", "content": f"hi {i}" * (i % 7), "timestamp": T.format(0)} for i in range(300))),
+        "cli": lines(tmp_path / "c" / "events.jsonl", {"type": "session.start", "data": {"context": {"cwd": "/work/app", "branch": "dev"}}}, *({"type": "user.message", "data": {"content": f"c{i}"}} for i in range(300))),
+    }
+    read = {"codex": lambda x: jsonl.codex(x, "/work/app"), "claude": jsonl.claude_code, "cli": lambda x: jsonl.copilot_cli(x, "/work/app")}
+    rows = lambda tool: [sorted(map(repr, df.collect())) for df in read[tool](jsonl.read_lines(spark, files[tool]))]
+    whole = {tool: rows(tool) for tool in files}
+    assert {t: len(x[0]) for t, x in whole.items()} == {"codex": 245, "claude": 257, "cli": 300}
+    keys = {"spark.sql.files.maxPartitionBytes": "2000", "spark.sql.files.openCostInBytes": "0"}
+    old = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        assert all(jsonl.read_lines(spark, f).select("block").distinct().count() > 5 for f in files.values())
+        assert {tool: rows(tool) for tool in files} == whole
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_files_that_are_not_read_whole_are_reported(spark, tmp_path, monkeypatch):
+    """A truncated and a garbled archive and a vanished file: one drift row each, and the rest is read."""
+    import gzip
+
+    from pyspark.sql.classic.dataframe import DataFrame as Classic
+
+    folder = tmp_path / "with space"
+    path = lines(folder / "good.jsonl", *GOOD)
+    (folder / "empty.jsonl").write_text("")
+    (folder / "crlf.jsonl").write_bytes(b'{"type":"human","content":"x","timestamp":"2026-05-10T10:00:00Z"}\r\n' * 3)
+    body = gzip.compress("\n".join(json.dumps(GOOD[0] | {"content": f"{i} {hash((i, 'x'))}"}) for i in range(5000)).encode())
+    (folder / "fine.jsonl.gz").write_bytes(body)
+    (folder / "cut.jsonl.gz").write_bytes(body[: len(body) // 2])
+    (folder / "bad.jsonl.gz").write_bytes(b"no archive at all")
+    listed = Classic.inputFiles
+    monkeypatch.setattr(Classic, "inputFiles", lambda self: [*listed(self), f"file://{folder}/gone.jsonl"])
+    got = {r.location.rsplit("/", 1)[1]: r for r in jsonl.unread(spark, path, "claude-code", "*.jsonl*").collect()}
+    assert set(got) == {"cut.jsonl.gz", "bad.jsonl.gz", "gone.jsonl"} and got["gone.jsonl"].surprise == "file vanished" and all(r.records == 1 for r in got.values())
+    read = jsonl.claude_code(jsonl.read_lines(spark, path, "*.jsonl*"))[0].groupBy("session_id").count().collect()
+    assert {r.session_id: r["count"] for r in read}.items() >= {"good": 3, "crlf": 3, "fine.jsonl": 5000}.items()
+
+
 def database(path, *statements):
     path.parent.mkdir(parents=True, exist_ok=True)
     db = sqlite3.connect(path)
