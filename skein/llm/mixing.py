@@ -31,6 +31,8 @@ from skein.llm.common import WORD, materialize, spare
 ENTROPY = 0.9
 MAX_REPEATS = 4.0
 BLOCKS = 64
+#: Cuts of sources into blocks that are sent to every task; more of them are joined.
+MOST_CUTS = 1_000_000
 #: Sources whose token counts the driver holds at most.
 FEW_SOURCES = 100_000
 #: Rows that one bucket of a source holds on average.
@@ -145,15 +147,18 @@ def schedule(docs: DataFrame, target: float = ENTROPY, max_repeats: float = MAX_
     return run.select("doc_id", "source", "tokens", "weight", "epoch", block.alias("block"), F.xxhash64(F.lit(seed + 1), "key", "epoch").alias("position"), "place")
 
 
-def mix(docs: DataFrame, target: float = ENTROPY, max_repeats: float = MAX_REPEATS, seed: int = 5) -> DataFrame:
-    """``docs`` with every row as often as its source's weight asks for; rows with equal keys go together.
+def mix(docs: DataFrame, target: float = ENTROPY, max_repeats: float = MAX_REPEATS, blocks: int = BLOCKS, seed: int = 5) -> DataFrame:
+    """``docs`` with every row as often as its source's weight asks for, in the order of the blocks and of their permutations; rows with equal keys go together.
 
-    Texts are not shuffled: a source's last, part epoch ends at one place of its permutation, so that the
-    small table of sources tells each row how often it appears.
+    A block ends at one place of a source's permutation, so that the small table of sources and blocks tells each row how often and in which
+    blocks it appears. Texts are shuffled once, into ranges of (block, position): the files of the result follow each other in that order.
     """
-    said = materialize(schedule(docs, target, max_repeats, seed=seed).groupBy("source", "epoch").agg(F.max("place").alias("place")))
-    of, last, place, copy = (spare(docs, x) for x in ("of", "last", "place", "copy"))
-    ends = small(said.groupBy(F.col("source").alias(of)).agg(F.max("epoch").alias(last), F.max_by("place", "epoch").alias(place)))
-    joined = docs.join(ends, F.col("source").eqNullSafe(F.col(of)))
-    again = (row_order(F.col(last), row_key(), seed) <= F.col(place)).cast("int")
-    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1), F.greatest(F.col(last) + again, F.lit(1))))).select(*docs.columns)
+    cuts = materialize(schedule(docs, target, max_repeats, blocks, seed).groupBy("source", "epoch", "block").agg(F.min("place").alias("first"), F.max("place").alias("end")))
+    of, last, place, starts, copy, block, position, key = (spare(docs, x) for x in ("of", "last", "place", "starts", "copy", "block", "position", "key"))
+    ends = cuts.groupBy(F.col("source").alias(of)).agg(F.max("epoch").alias(last), F.max(F.struct("epoch", "end"))["end"].alias(place), F.collect_list(F.struct("epoch", "block", "first")).alias(starts))
+    joined = docs.withColumn(key, row_key()).join(small(ends, MOST_CUTS // blocks), F.col("source").eqNullSafe(F.col(of)))
+    again = (row_order(F.col(last), F.col(key), seed) <= F.col(place)).cast("int")
+    each = joined.withColumn(copy, F.explode(F.sequence(F.lit(0), F.greatest(F.col(last) + again, F.lit(1)) - 1)))
+    begun = F.filter(starts, lambda x: (x.epoch == F.col(copy)) & (x.first <= row_order(F.col(copy), F.col(key), seed)))
+    placed = each.withColumns({block: F.coalesce(F.array_max(F.transform(begun, lambda x: x.block)), F.lit(0)), position: F.xxhash64(F.lit(seed + 1), F.col(key), F.col(copy))})
+    return placed.drop(starts).repartitionByRange(block, position).sortWithinPartitions(block, position).select(*docs.columns)
