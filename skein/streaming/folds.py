@@ -2,8 +2,8 @@
 
 ``transformWithStateInPandas`` keeps it by file, a value state for what carries forward and one for the counters, in RocksDB; lines of a batch are put in order of their
 place first. A stream of lines (``skein_lines``, or any with file, place and line) becomes chunks and drift by the expressions that batch reading uses: what a line alone says
-is computed before the fold, what the folded state makes of it after. A file that nothing was added to for ``idle`` milliseconds of processing time
-loses its state, and when it goes on after all, ``initial`` gives the state back: rows of file and folded columns, kept by ``last_states``.
+is computed before the fold, what the folded state makes of it after. The state of a file (about 200 bytes) stays as long as the query's checkpoint: a transcript
+can go on after any time.
 """
 
 from __future__ import annotations
@@ -24,27 +24,17 @@ CARRIED = T.StructType([*(T.StructField(n, T.BooleanType()) for n in jsonl.CODEX
 COUNTED = T.StructType([T.StructField("line_no", T.IntegerType()), T.StructField("message_index", T.LongType())])
 FACTS = (*jsonl.CODEX_HELD, *jsonl.CODEX_LATEST, "takes")
 FOLDED = T.StructType([T.StructField("file", T.StringType()), T.StructField("line_no", T.IntegerType()), T.StructField("line", T.StringType()), T.StructField("now_takes", T.BooleanType()), *CARRIED.fields, T.StructField("message_index", T.LongType())])
-#: Processing time after which an idle file's state goes.
-IDLE = 24 * 3600 * 1000
 
 
 class CodexFold(StatefulProcessor):
-    def __init__(self, everywhere: bool, idle: int = IDLE):
-        self.everywhere, self.idle = everywhere, idle
+    def __init__(self, everywhere: bool):
+        self.everywhere = everywhere
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
         self.carried = handle.getValueState("carried", CARRIED)
         self.counted = handle.getValueState("counted", COUNTED)
 
-    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        row = initialState.iloc[-1]
-        self.carried.update(tuple(_plain(row[f.name]) for f in CARRIED))
-        self.counted.update(tuple(int(row[f.name]) for f in COUNTED))
-
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        for timer in self.handle.listTimers():
-            self.handle.deleteTimer(timer)
         lines = pd.concat(list(rows)).sort_values("place", kind="stable")  # of one file and one batch of the stream
         state = dict(zip(CARRIED.names, self.carried.get() if self.carried.exists() else (False, False, *[None] * len(jsonl.CODEX_LATEST)), strict=True))
         line_no, index = self.counted.get() if self.counted.exists() else (0, 0)
@@ -61,14 +51,8 @@ class CodexFold(StatefulProcessor):
             index += takes and not state["ended"] and (state["seen"] or self.everywhere)
         self.carried.update(tuple(state.values()))
         self.counted.update((line_no, int(index)))
-        self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle)
         yield pd.DataFrame(out, columns=FOLDED.names)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.carried.clear()
-        self.counted.clear()
-        yield pd.DataFrame([], columns=FOLDED.names)
-
     def close(self) -> None:
         pass
 
@@ -77,22 +61,14 @@ def _plain(x):
     return None if x is None or x is pd.NA or isinstance(x, float) and x != x else x
 
 
-def fold_codex(lines: DataFrame, project_root: str | None = None, idle: int = IDLE, initial: DataFrame | None = None) -> DataFrame:
+def fold_codex(lines: DataFrame, project_root: str | None = None) -> DataFrame:
     """A stream of lines (file, place, line) with line numbers and the folded state of their file. Needs the RocksDB state store."""
     parsed = lines.filter("line IS NOT NULL").select("file", "place", "line", V.parse(F.col("line")).alias("v"))
     facts = jsonl.codex_facts(parsed, project_root).select("file", "place", "line", *(f"now_{n}" for n in FACTS))
-    state = None if initial is None else initial.groupBy("file")
-    return facts.groupBy("file").transformWithStateInPandas(CodexFold(project_root is None, idle), FOLDED, "append", "processingTime", state)
+    return facts.groupBy("file").transformWithStateInPandas(CodexFold(project_root is None), FOLDED, "append", "none")
 
 
 def codex_batch(folded: DataFrame, project_root: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(chunks, drift) of folded lines, as of a micro-batch; blank lines count, but say nothing."""
     real = folded.filter(F.length(trim_space(F.col("line"))) > 0).withColumn("v", V.parse(F.col("line")))
     return jsonl.codex_rows(real, project_root)
-
-
-def last_states(folded: DataFrame) -> DataFrame:
-    """What ``initial`` takes: the state after the last line of each file."""
-    last = folded.groupBy("file").agg(F.max_by(F.struct(*FOLDED.names), "line_no").alias("x")).select("x.*")
-    counts = F.col("now_takes") & ~F.col("ended") & F.col("seen")
-    return last.withColumn("message_index", F.col("message_index") + counts.cast("long")).select("file", *CARRIED.names, *COUNTED.names)
