@@ -37,9 +37,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skein.llm.common import bounded_rows, map_batches, text_slices
+from skein.llm.common import bounded_rows, map_batches, materialize, text_slices
 
-TRAIN_DOCS, TRAIN_ROWS = 40_000, 40_000
+TRAIN_DOCS, TRAIN_ROWS = 12_000, 40_000
 PRECISION = 0.995
 #: Quiet places of a document that examples are put into, for each base span and at least.
 PLACES = 4
@@ -62,7 +62,10 @@ _NOT_DIGIT = re.compile(r"[^0-9]+")
 
 # Generators beyond the base kinds.
 _AT, _DOT = r"(?: ?[\[({<_]at[\])}>_] ?| at )", r"(?: ?[\[({<_]dot[\])}>_] ?| dot )"
-_SPELT = re.compile(rf"[A-Za-z0-9](?:[A-Za-z0-9._%+-]|{_DOT}(?=[A-Za-z0-9._%+-]{{1,64}}{_AT})){{0,63}}{_AT}[A-Za-z0-9-]{{1,63}}(?:{_DOT}[A-Za-z0-9-]{{2,24}}){{1,3}}(?![A-Za-z0-9])|[A-Za-z0-9][A-Za-z0-9._%+-]{{0,63}} ?[\[({{<_]at[\])}}>_] ?[A-Za-z0-9-]{{1,63}}(?:\.[A-Za-z0-9-]{{2,24}}){{1,3}}", re.I)
+# An "at" is looked for first, then what follows it and what goes before.
+_MARK, _HEAD = re.compile(_AT, re.I), re.compile(rf"[A-Za-z0-9](?:[A-Za-z0-9._%+-]|{_DOT}(?=[A-Za-z0-9._%+-]))*$", re.I)
+_TAIL = re.compile(rf"[A-Za-z0-9-]{{1,63}}(?:{_DOT}[A-Za-z0-9-]{{2,24}}){{1,3}}(?![A-Za-z0-9])", re.I)
+_DOTTED_TAIL = re.compile(r"[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{2,24}){1,3}")
 _LOOSE_PHONE = re.compile(r"(?<![0-9A-Za-z+.])(?:1[ .-])?\(?[0-9]{2,5}\)?(?:[ .-][0-9]{2,4}){2,4}(?![0-9A-Za-z])")
 _SSN = re.compile(r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])")
 _ACCOUNT = re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b")
@@ -137,15 +140,25 @@ def _alone(text: str, a: int, b: int) -> bool:
     return not _GOES_ON_BEFORE.search(text[max(0, a - 12) : a]) and not _GOES_ON_AFTER.match(text[b : b + 12])
 
 
+def _spelt_emails(text: str) -> Iterator[tuple[int, int]]:
+    last = 0
+    for mark in _MARK.finditer(text):
+        tail = _TAIL.match(text, mark.end()) or (_DOTTED_TAIL.match(text, mark.end()) if mark[0] != " at " else None)
+        head = _HEAD.search(text[max(last, mark.start() - 80) : mark.start()]) if tail else None
+        if head:
+            yield mark.start() - len(head[0]), tail.end()
+            last = tail.end()
+
+
 def further(text: str) -> list[tuple[str, int, int]]:
     """Candidates of the wide generators; they may overlap."""
-    out = [("email", m.start(), m.end()) for m in _SPELT.finditer(text)] if re.search(r"[^A-Za-z0-9]at[^A-Za-z0-9]", text, re.I) else []
+    out = [("email", a, b) for a, b in _spelt_emails(text)]
     numbers = []
     if re.search("[0-9]{2}", text):
         numbers += [("phone", m.start(), m.end()) for m in _LOOSE_PHONE.finditer(text) if 9 <= len(_NOT_DIGIT.sub("", m[0])) <= 12]
         numbers += [("ssn", m.start(), m.end()) for m in _SSN.finditer(text)]
         numbers += [("card", m.start(), m.end()) for m in _SHORT_CARD.finditer(text)]
-    if ":" in text:
+    if re.search(":[0-9A-Fa-f]{0,4}:", text):
         numbers += [("ip", m.start(), m.end()) for m in _IPV6.finditer(text) if m.end() - m.start() >= 5]
     if re.search("[A-Z]{2}[0-9]{2}", text):
         out += [("account", m.start(), m.end()) for m in _ACCOUNT.finditer(text)]
@@ -440,7 +453,7 @@ def train(docs: DataFrame, labelled: DataFrame | None = None, train_docs: int =
                 yield pa.record_batch([pa.array([g[i] for g in got], k) for i, k in enumerate(kinds)], ["fold", "kind", "y", "x"])
 
     found = map_batches(rows, run, "fold int, kind string, y int, x array<double>")
-    got = bounded_rows(found, train_rows).orderBy("fold", "kind", "y", "x").toArrow()
+    got = bounded_rows(materialize(found), train_rows).orderBy("fold", "kind", "y", "x").toArrow()
     y, fold, kind = (np.array(got[c].to_pylist()) for c in ("y", "fold", "kind"))
     if min(((y == k) & (fold > 0)).sum() if len(y) else 0 for k in (0, 1)) < 8:
         return Finder()
