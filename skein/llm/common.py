@@ -7,6 +7,9 @@ recomputation of one stage at most and no plan is evaluated twice.
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -75,6 +78,14 @@ def drop_caches(owner: str) -> None:
         _KEPT.pop(other).cache_clear()
 
 
+def release_memory() -> None:
+    """Give freed memory of this process back to the system, where the C library can."""
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
+    if trim:
+        trim(0)
+
+
 def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
     """``mapInArrow`` over small batches; a session that has sizes of its own keeps them.
 
@@ -90,6 +101,7 @@ def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterato
         drop_caches(owner)
         yield from run(batches)
         pa.default_memory_pool().release_unused()
+        release_memory()
 
     return df.mapInArrow(released, schema)
 

@@ -39,8 +39,8 @@ END_ID = 1
 OPEN_BINS = 1 << 14
 ROWS_PER_TASK = 50_000
 TOKENIZER = "word_bpe_49k.json"
-#: Words, and parts of words, that a worker remembers (about 200 bytes each).
-CACHE_WORDS, CACHE_PARTS = 800_000, 400_000
+#: Words that a worker remembers (about 200 bytes each), and half as many parts of words.
+CACHE_WORDS = 800_000
 
 # The parts that this tokenizer splits lower-case text into.
 _PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -61,7 +61,8 @@ class WordTokens:
     New parts go to the tokenizer's own merges in one call; a token that ends a part carries the end-of-word mark.
     """
 
-    def __init__(self, file: str):
+    def __init__(self, file: str, cache_words: int = CACHE_WORDS):
+        self.most_words, self.most_parts = cache_words, cache_words // 2
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
@@ -93,7 +94,7 @@ class WordTokens:
                 self.words[words.pop(i)] = np.array(self.tokenizer.encode(texts.pop(i), add_special_tokens=False).ids, "<u4").tobytes()
         split = [find(t.lower()) for t in texts]
         wanted = set(itertools.chain.from_iterable(split))
-        if len(self.parts) + len(wanted) > CACHE_PARTS:
+        if len(self.parts) + len(wanted) > self.most_parts:
             self.parts.clear()
         self._learn_parts(list(wanted.difference(self.parts)))
         known = self.parts
@@ -102,7 +103,7 @@ class WordTokens:
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         split = [(t or b"").split() for t in texts]
         new = set(itertools.chain.from_iterable(split)).difference(self.words)
-        if len(self.words) + len(new) > CACHE_WORDS:
+        if len(self.words) + len(new) > self.most_words:
             self.words.clear()
             new = set(itertools.chain.from_iterable(split))
         collects = gc.isenabled()
@@ -116,12 +117,12 @@ class WordTokens:
 
 
 @functools.cache
-def word_tokens(file: str) -> WordTokens:
+def word_tokens(file: str, cache_words: int = CACHE_WORDS) -> WordTokens:
     """One encoder for each worker process, kept from task to task."""
-    return WordTokens(file)
+    return WordTokens(file, cache_words)
 
 
-def tokens(docs: DataFrame, file: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:
+def tokens(docs: DataFrame, file: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = False, cache_words: int = CACHE_WORDS) -> DataFrame:
     """doc_id, piece, start, length and ids_crc32 of every piece; with ``keep_ids`` its ids, too."""
     file = file or public_tokenizers.path(TOKENIZER)
     ids = docs.select("doc_id", "text")
@@ -130,7 +131,7 @@ def tokens(docs: DataFrame, file: str | None = None, capacity: int = CAPACITY, e
     end, width = np.array([end_id], "<u4").tobytes(), 4 * capacity
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = word_tokens(file)
+        encoder = word_tokens(file, cache_words)
         keep_cache(owner, word_tokens)
         for batch in batches:
             for part in text_slices(batch, "text"):
@@ -194,6 +195,6 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS
     return map_batches(pieces.repartition(tasks).sortWithinPartitions(*order), run, out)
 
 
-def pack_documents(docs: DataFrame, file: str | None = None, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, keep_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, file: str | None = None, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, keep_ids: bool = False, cache_words: int = CACHE_WORDS) -> DataFrame:
     """Every piece of every document with its sequence and its place there."""
-    return pack(materialize(tokens(docs, file, capacity, keep_ids=keep_ids)), capacity, open_bins)
+    return pack(materialize(tokens(docs, file, capacity, keep_ids=keep_ids, cache_words=cache_words)), capacity, open_bins)
