@@ -28,13 +28,13 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document once, those of small sources as often as their weight asks for."""
+    """Every document once, those of small sources as often as their weight asks for, in the order of the mixture's blocks."""
     return mixing.mix(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents' tokens and their places in sequences of 4096."""
-    return packing.pack_documents(docs)
+    return packing.pack_documents(docs, cache_words=300_000)
 
 
 STAGES = [
