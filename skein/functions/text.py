@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
 import pandas as pd
 
@@ -14,9 +15,33 @@ SPACE = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
 
 # Limits of previews, messages, echoed queries and embedding segments.
 PREVIEW_CHARS, MESSAGE_CHARS, ECHO_CHARS, SEGMENT_CHARS = 240, 16_000, 200, 1024
-# Letters whose accents the document tokeniser folds, and what they fold to.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāăąćĉċčďēĕėęěĝğġģĥĩīĭįĵķĺļľńņňōŏőŕŗřśŝşšţťũūŭůűųŵŷźżž"
-FOLDED = "aaaaaaceeeeiiiinooooouuuuyyaaaccccdeeeeegggghiiiijklllnnnooorrrssssttuuuuuuwyzzz"
+
+
+def _foldings() -> tuple[str, str, str]:
+    """(letters, what they fold to, marks that are dropped) as the document tokeniser has them, from the Unicode tables.
+
+    A letter folds to its case-folded form, and further to an ASCII letter where it is one with a single mark; the marks of such letters are dropped wherever
+    they stand. Letters with two marks keep them. Lower case is taken before, so that only forms that it leaves need an entry.
+    """
+    letters, plain, marks = [], [], set()
+    for c in range(0x80, 0x10000):
+        ch = chr(c)
+        if not ch.isalpha() or ch.lower() != ch:
+            continue
+        form = ch.casefold() if len(ch.casefold()) == 1 and ch.casefold().islower() else ch
+        parts = unicodedata.decomposition(form).split()
+        if len(parts) == 2 and not parts[0].startswith("<"):
+            base, mark = (chr(int(x, 16)) for x in parts)
+            if base.isascii() and base.isalpha() and unicodedata.combining(mark):
+                form = base
+                marks.add(mark)
+        if form != ch:
+            letters.append(ch)
+            plain.append(form)
+    return "".join(letters), "".join(plain), "".join(sorted(marks))
+
+
+_LETTERS, _PLAIN, _MARKS = _foldings()
 
 
 def trim_space(x: Column) -> Column:
@@ -135,8 +160,8 @@ def global_storage_path(x: str) -> str:
 
 
 def document_terms(x: Column) -> Column:
-    """Terms in order: lower case, accents folded, split where neither letter nor digit stands."""
-    plain = F.translate(F.lower(x), ACCENTED, FOLDED)
+    """Terms in order: lower case, accents folded (also those that are characters of their own), split where neither letter nor digit stands."""
+    plain = F.translate(F.lower(x), _LETTERS + _MARKS, _PLAIN)
     return F.filter(F.split(plain, r"[^\p{L}\p{N}\p{Co}]+"), lambda t: t != "")
 
 

@@ -2,46 +2,45 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-# How deep shapes go, and how many element types an array shows.
+# Levels of objects below the first, elements that an array shows, and the keys that are names and not data.
 DEPTH, ELEMENTS = 4, 20
+NAME = re.compile(r"[A-Za-z0-9_$.:@-]{1,64}")
+IDENT = re.compile(r"[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}|[0-9a-f]{16,}", re.I)
+_TYPES = {type(None): "null", bool: "boolean", int: "number", float: "number", str: "string", dict: "object"}
 
 
-def shape_lines(text: str | None) -> Iterator[str]:
-    """``path: type`` of every leaf of one JSON text; keys that are data (ids, numbers) become a star."""
-    import json
-    import re
-
-    plain = re.compile(r"[A-Za-z_][A-Za-z0-9_]{0,40}$")
-    ident = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$|[0-9a-fA-F]{16,}$")
-
-    def name(x: object) -> str:
-        if isinstance(x, list):
-            return f"array<{'|'.join(sorted({name(v) if not isinstance(v, (list, dict)) else type_of(v) for v in x[:ELEMENTS]}))}>"
-        return type_of(x)
-
-    def type_of(x: object) -> str:
-        if x is None:
-            return "null"
-        return {bool: "boolean", int: "number", float: "number", str: "string", list: "array", dict: "object"}[type(x)]
-
-    def walk(x: object, path: str, depth: int) -> Iterator[str]:
-        if isinstance(x, dict) and depth < DEPTH and x:
-            for k, v in x.items():
-                key = k if plain.match(k) and not ident.match(k) else "*"
-                yield from walk(v, f"{path}.{key}" if path else key, depth + 1)
-        else:
-            yield f"{path or '$'}: {name(x)}"
+def type_name(x: object) -> str:
+    """The type of a JSON value; an array says which types its first elements have, arrays among them in turn."""
+    if not isinstance(x, list):
+        return _TYPES[type(x)]
+    return f"array<{'|'.join(sorted({type_name(v) for v in x[:ELEMENTS]})) or 'empty'}>"
+
 
+def shape_lines(text: str | None) -> Iterator[str]:
+    """``path: type`` of every leaf of one JSON text. Keys that are data (ids, paths, long names) become a star; an empty object has no leaf."""
     try:
-        yield from walk(json.loads(text or ""), "", 0)
+        value = json.loads(text or "")
     except ValueError:
         yield "$: invalid"
+        return
+    open_, level = [("", value)], 0
+    while open_:
+        inner = []
+        for path, x in open_:
+            if isinstance(x, dict) and level <= DEPTH:
+                inner += [(".".join(filter(None, (path, k if NAME.fullmatch(k) and not IDENT.fullmatch(k) else "*"))), v) for k, v in x.items()]
+            elif path:
+                yield f"{path}: {type_name(x)}"
+        open_, level = inner, level + 1
 
 
 def fingerprint(records: DataFrame) -> DataFrame:
@@ -49,8 +48,6 @@ def fingerprint(records: DataFrame) -> DataFrame:
 
     The recursive walk runs by Arrow batches and leaves distinct lines of its batch, so that few rows are shuffled.
     """
-    import pandas as pd
-
     def run(batches):
         for b in batches:
             lines = {(k, s) for k, j in zip(b.record_type, b.json, strict=True) for s in shape_lines(j)}
@@ -78,6 +75,29 @@ def lasting(files: DataFrame, name: str = "path") -> DataFrame:
     return files.filter(~F.col(name).rlike(SIDECAR))
 
 
+def without_counters(value: object) -> object:
+    """A JSON value without the counters, at any depth."""
+    if isinstance(value, dict):
+        return {k: without_counters(v) for k, v in value.items() if k not in COUNTERS}
+    return [without_counters(v) for v in value] if isinstance(value, list) else value
+
+
+def comparable_json(text: Column) -> Column:
+    """Whole fingerprints as JSON, without counters and in one form: what two of them are compared by. Null where it is no JSON."""
+
+    @F.pandas_udf("string")
+    def plain(texts: pd.Series) -> pd.Series:
+        def one(x: str | None) -> str | None:
+            try:
+                return json.dumps(without_counters(json.loads(x)), indent=2) + "\n"
+            except (TypeError, ValueError):
+                return None
+
+        return texts.map(one)
+
+    return plain(text)
+
+
 def comparable(fingerprints: DataFrame) -> DataFrame:
     """Fingerprints without counts of what was sampled, and with plain line ends: what two of them are compared by."""
     kept = fingerprints.select(*(c for c in fingerprints.columns if c not in COUNTERS))

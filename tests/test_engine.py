@@ -339,6 +339,43 @@ def test_running_index_stream(spark, tmp_path):
     assert sorted(tuple(r) for r in spark.table("counted").collect()) == [("a", 1, 0), ("a", 2, 1), ("b", 1, 0)]
 
 
+def test_terms_fold_as_the_full_text_tokeniser_does(spark):
+    """Every letter, digit and mark of the first plane between two letters, against SQLite's tokeniser; its tables end with Unicode 6.1."""
+    import sqlite3
+    import unicodedata
+
+    db = sqlite3.connect(":memory:")
+    db.execute("CREATE VIRTUAL TABLE t USING fts5(x, tokenize='unicode61')")
+    db.execute("CREATE VIRTUAL TABLE v USING fts5vocab(t, instance)")
+    points = [c for c in range(0x80, 0x10000) if unicodedata.category(chr(c)) in ("Lu", "Ll", "Lt", "Lm", "Lo", "Nd", "Nl", "No") or c in range(0x300, 0x332)]
+    db.executemany("INSERT INTO t (rowid, x) VALUES (?, ?)", [(c, f"a{chr(c)}b") for c in points])
+    want = {}
+    for term, c in db.execute("SELECT term, doc FROM v ORDER BY doc, offset"):
+        want.setdefault(c, []).append(term)
+    rows = spark.createDataFrame([(c, f"a{chr(c)}b") for c in points], "c int, x string").filter(~F.col("x").rlike(r"\p{Cn}")).select("c", X.document_terms(F.col("x")).alias("terms")).collect()  # what Java knows
+    newer = lambda c: want[c] == [f"a{chr(c)}b"] and (chr(c).isupper() or c >= 0x1C80 and not unicodedata.decomposition(chr(c)))  # noqa: E731  (cases that its tables don't know)
+    differ = [hex(r.c) for r in rows if r.terms != want[r.c] and not newer(r.c) and not 0x19B0 <= r.c <= 0x19C9 and not 0x1CF2 <= r.c <= 0x1CF3 and not 0xAB70 <= r.c <= 0xABBF and not 0x13F8 <= r.c <= 0x13FD]
+    assert differ == [] and len(rows) > 48_000
+    assert spark.range(1).select(X.document_terms(F.lit("Cafe\u0301 TIẾNG Ơn µ"))).first()[0] == ["cafe", "tiếng", "on", "μ"]
+
+
+def test_shapes_of_nested_values():
+    """Five levels of objects, arrays of arrays, keys that are data, empty objects and arrays."""
+    import json
+
+    deep = {"l1": {"l2": {"l3": {"l4": {"l5": {"l6": 1}}}}}}
+    value = {"a-b": 1, "x.y": None, "$@:9": True, "k" * 64: "s", "k" * 65: "s", "/home/me": 1.5, "0123456789abcdef": 1, "DEADBEEF-0000-1111-2222-333344445555": [], "n": [[1, "x"], [None], {}, []], "none": {}, **deep}
+    got = sorted(profile.shape_lines(json.dumps(value)))
+    assert got == sorted(["a-b: number", "x.y: null", "$@:9: boolean", f"{'k' * 64}: string", "*: string", "*: number", "*: number", "*: array<empty>", "n: array<array<empty>|array<null>|array<number|string>|object>", "l1.l2.l3.l4.l5: object"])
+    assert list(profile.shape_lines("[1]")) == [] and list(profile.shape_lines(None)) == ["$: invalid"]
+
+
+def test_counters_go_at_any_depth(spark):
+    one, two = '{"a": {"filesSampled": 3, "b": [{"recordsSampled": 9, "c": 1}]}}', '{"a":{"b":[{"c":1}],\r\n"filesSampled":77}}'
+    got = spark.createDataFrame([(one,), (two,), ("no json",), (None,)], "x string").select(profile.comparable_json(F.col("x"))).collect()
+    assert got[0][0] == got[1][0] and "filesSampled" not in got[0][0] and got[2][0] is None and got[3][0] is None
+
+
 def test_fingerprints(spark):
     rows = spark.createDataFrame([("a", '{"x": 1, "y": {"deadbeefdeadbeef": [1, "s"]}}'), ("a", "{bad"), ("a", None)], "record_type string, json string")
     before = profile.fingerprint(rows.limit(1))
