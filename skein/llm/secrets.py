@@ -1,6 +1,7 @@
 """Secret scans with DataFrame functions alone; a random forest removes false positives.
 
-Rules propose wide: long runs of key characters that hold a digit. Each candidate gets its length, character classes and their
+Rules propose wide: long runs of key characters that hold a digit, whatever is assigned to a name that says credential (of any length, with or without a
+digit), passwords inside addresses. Each candidate gets its length, character classes and their
 transitions, its coverage by dictionary words, what its path says, and the words beside it. A random forest (Spark ML)
 trained on labelled findings scores it. Where no findings are handed in, rules label those of the corpus that are plain: vendor
 prefixes and assignments to a credential are secrets; plain numbers, hashes named as such, dates and dictionary words are not.
@@ -27,17 +28,26 @@ from skein.llm.common import bounded_rows, materialize
 TRAIN_ROWS = 20_000
 TREES, DEPTH = 20, 6
 THRESHOLD = 0.5
-#: A dotted JWT, or a run of key characters with a digit; "=" is padding at its end alone, so that a name before "=" is no part of it.
-CANDIDATE = r"(?<![A-Za-z0-9+/_.-])(eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{4,}+(?:\.[A-Za-z0-9_-]++)?|(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{16,}+(?:={1,2}(?![A-Za-z0-9+/_=-]))?)"
+#: Names that values are assigned to (bounded, as a lookbehind must be), and what a value of such a name is made of.
+_NAMED = r"(?i:token|secret|passw(?:or)?d|passphrase|pwd|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|auth)[A-Za-z0-9_-]{0,20}[\"']?\s{0,2}[=:]\s{0,2}"
+#: A dotted JWT; a run of key characters with a digit ("=" is padding at its end alone, so that a name before "=" is no part of it); a quoted or bare value
+#: of a credential's name; the password of an address.
+CANDIDATE = (
+    r"((?<![A-Za-z0-9+/_.-])eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{4,}+(?:\.[A-Za-z0-9_-]++)?"
+    r"|(?<![A-Za-z0-9+/_.-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{16,}+(?:={1,2}(?![A-Za-z0-9+/_=-]))?"
+    rf"|(?<={_NAMED}[\"'])[^\s\"']{{4,}}+(?=[\"'])|(?<={_NAMED})[^\s\"'`,;(){{}}\[\]<>]{{6,}}+"
+    r"|(?<=[a-z]{2,10}://[^\s:/@]{1,64}:)[^\s:/@]{3,}+(?=@))"
+)
 
 # Words that identifiers and examples are made of, prefixes of issued keys, and words beside findings.
 DICTIONARY = "access account admin api auth bucket cache cloud code config data demo dummy example file host http https index item key local login main name node page password path port private public query sample secret server service session source test text token type user value version".split()
 PREFIXES = r"^(?:AKIA|ASIA|ghp_|gho_|github_pat_|glpat-|sk-|sk_live_|xox[abp]-|AIza|eyJ)"
-CREDENTIAL = r"(?i)(?:token|secret|passw(?:or)?d|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth)\W*$"
+CREDENTIAL = r"(?i)(?:token|secret|passw(?:or)?d|passphrase|pwd|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|auth)[A-Za-z0-9_-]{0,20}\W*$"
+ADDRESS, BLOCK = r"[a-z]{2,10}://[^\s:/@]+:$", r"PRIVATE KEY-----\s*$"
 ASSIGNED = r"[=:]\s*[\"']?$"
 DIGEST = r"(?i)(?:sha-?\d*|md5|checksum|digest|commit|uuid|etag|hash)\W*$"
 QUIET_PATH = r"(?i)(?:^|[^a-z])(?:tests?|examples?|samples?|fixtures?|docs?|mock)(?:[^a-z]|$)"
-FEATURES = ["length", "digits", "upper", "lower", "others", "transitions", "distinct_chars", "hex_only", "dictionary", "letter_runs", "prefix", "credential", "assigned", "quoted", "digest", "quiet_path", "beside_letters"]
+FEATURES = ["length", "digits", "upper", "lower", "others", "transitions", "distinct_chars", "hex_only", "dictionary", "letter_runs", "prefix", "credential", "assigned", "address", "block", "quoted", "digest", "quiet_path", "beside_letters"]
 
 
 def _share(value: Column, pattern: str) -> Column:
@@ -78,6 +88,8 @@ def candidates(docs: DataFrame, path: str = "source") -> DataFrame:
         flag(value.rlike(PREFIXES)).alias("prefix"),
         flag(F.regexp_replace(before, ASSIGNED, "").rlike(CREDENTIAL)).alias("credential"),
         flag(before.rlike(ASSIGNED)).alias("assigned"),
+        flag(before.rlike(ADDRESS) & after.startswith("@")).alias("address"),
+        flag(before.rlike(BLOCK)).alias("block"),
         flag(before.rlike("[\"']$") & after.rlike("^[\"']")).alias("quoted"),
         flag(F.regexp_replace(before, ASSIGNED, "").rlike(DIGEST)).alias("digest"),
         flag(F.col("path").rlike(QUIET_PATH)).alias("quiet_path"),
@@ -87,7 +99,7 @@ def candidates(docs: DataFrame, path: str = "source") -> DataFrame:
 
 def plain_labels(found: DataFrame) -> DataFrame:
     """Candidates that rules can label, with ``label`` 1.0 (secret) or 0.0."""
-    secret = (F.col("prefix") == 1) | ((F.col("credential") == 1) & (F.col("assigned") == 1) & (F.col("digits") < 1))
+    secret = (F.col("prefix") == 1) | (F.col("address") == 1) | (F.col("block") == 1) | ((F.col("credential") == 1) & (F.col("assigned") == 1) & (F.col("digits") < 1))
     harmless = (F.col("digits") == 1) | (F.col("digest") == 1) | (F.col("dictionary") > 0.6) | F.col("value").rlike(r"^\d{4}-\d\d-\d\d")
     return found.withColumn("label", F.when(secret, 1.0).when(harmless, 0.0)).filter(F.col("label").isNotNull())
 
