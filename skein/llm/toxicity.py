@@ -13,7 +13,8 @@ when at least ``LEAST`` toxic texts hold it and the likelihood ratio against cha
 is; no number of terms is set. Scoring is one Arrow pass over all rows without a shuffle.
 
 Defined results: a null or empty text scores as a text without words; without labelled rows of both classes
-every score is the share of toxic ones (0 without labels); equal rows get equal results; an empty table
+there is no lexicon and every score is the regression's intercept alone (on the side of the one class, and drawn towards 0.5 where rows are few; 0 without labels); quotation marks are looked for
+within 80 characters of a hit; equal rows get equal results; an empty table
 gives an empty result; columns that share a name with a result are not read.
 """
 
