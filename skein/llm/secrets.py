@@ -36,7 +36,7 @@ CANDIDATE = (
     r"((?<![A-Za-z0-9+/_.-])eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{4,}+(?:\.[A-Za-z0-9_-]++)?"
     r"|(?<![A-Za-z0-9+/_.-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{16,}+(?:={1,2}(?![A-Za-z0-9+/_=-]))?"
     # short lookbehinds first: the long ones are looked at after an assignment or a colon alone
-    rf"|(?<=[=:]\s{{0,2}}[\"'])(?<={_NAMED}[\"'])[^\s\"']{{4,}}+(?=[\"'])|(?<=[=:]\s{{0,2}})(?<={_NAMED})[^\s\"'`,;(){{}}\[\]<>]{{6,}}+"
+    rf"|(?<=[\"'])(?<=[=:]\s{{0,2}}[\"'])(?<={_NAMED}[\"'])[^\s\"']{{4,}}+(?=[\"'])|(?<=[=:\s])(?<=[=:]\s{{0,2}})(?<={_NAMED})[^\s\"'`,;(){{}}\[\]<>]{{6,}}+"
     r"|(?<=:)(?<=[a-z]{2,10}://[^\s:/@]{1,64}:)[^\s:/@]{3,}+(?=@))"
 )
 
