@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from skein.llm.common import WORD, materialize, spare
+from skein.llm.common import WORD, materialize, scratch, spare
 
 #: Target entropy as a share of the largest possible one.
 ENTROPY = 0.9
@@ -153,7 +153,8 @@ def mix(docs: DataFrame, target: float = ENTROPY, max_repeats: float = MAX_REPEA
     A block ends at one place of a source's permutation, so that the small table of sources and blocks tells each row how often and in which
     blocks it appears. Texts are shuffled once, into ranges of (block, position): the files of the result follow each other in that order.
     """
-    cuts = materialize(schedule(docs, target, max_repeats, blocks, seed).groupBy("source", "epoch", "block").agg(F.min("place").alias("first"), F.max("place").alias("end")))
+    with scratch(docs.sparkSession):
+        cuts = materialize(schedule(docs, target, max_repeats, blocks, seed).groupBy("source", "epoch", "block").agg(F.min("place").alias("first"), F.max("place").alias("end")), stay=True)
     of, last, place, starts, copy, block, position, key = (spare(docs, x) for x in ("of", "last", "place", "starts", "copy", "block", "position", "key"))
     ends = cuts.groupBy(F.col("source").alias(of)).agg(F.max("epoch").alias(last), F.max(F.struct("epoch", "end"))["end"].alias(place), F.collect_list(F.struct("epoch", "block", "first")).alias(starts))
     joined = docs.withColumn(key, row_key()).join(small(ends, MOST_CUTS // blocks), F.col("source").eqNullSafe(F.col(of)))

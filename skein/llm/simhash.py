@@ -12,7 +12,8 @@ fingerprints can share a bucket.
 
 ``deduplicate`` links texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more. Two sets that much
 alike differ in about 15 of 100 fingerprint bits, so that its fingerprints are longer: as many segments of log2(texts) + 6 bits as give a pair at 0.8 a chance of 0.99 to have one that differs by at most one
-bit; nearer pairs have more. The segments' one-wildcard variants bring candidates together, all bits thin them out, the exact
+bit; nearer pairs have more. The segments' one-wildcard variants bring candidates together. Texts that meet no near one there leave the
+variant (64 bits tell, with a wide margin), so that what goes on follows the near copies and not the chance meetings, which grow faster than the texts. All bits thin the rest out, the exact
 similarity of the two texts decides. A variant holds at most two segment values, which are found in groups of half a segment
 (bounded by the number of its values, not of texts). Every two texts that share a variant are compared unless they are linked already.
 
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from skein.llm.common import byte_texts, map_batches, materialize, spare, text_slices
+from skein.llm.common import byte_texts, map_batches, materialize, scratch, spare, text_slices
 
 DISTANCE = 3
 SHINGLE = 3
@@ -49,6 +50,8 @@ BLOCK = 1 << 15
 WIDE_SHINGLE, SIMILARITY, FOUND = 5, 0.8, 0.99
 #: Deviations of the bits that a pair differs in, above their number at the least similarity, beyond which it isn't compared.
 MARGIN = 3
+#: The same for the 64 bits by which a bucket keeps its texts, and texts of a bucket that are compared so; larger buckets keep all.
+THIN_MARGIN, HELD = 4, 256
 #: Rows that are broadcast at most (16 bytes each), the factor by which hubs of a bucket grow with each round, and hubs that a task holds at most.
 FEW, HUBS, MOST_HUBS = 1_000_000, 8, 4096
 
@@ -376,36 +379,47 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
                     keep.append(i)
             yield pa.record_batch([pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64())], ["a", "b"])
 
-    wanted = materialize(pairs.select(F.col("a").alias("t")).unionByName(pairs.select(F.col("b").alias("t"))).distinct())
-    texts = materialize(texts.join(_few(wanted), "t").groupBy("t").agg(F.first("text").alias("text")))
-    # written, so that both sides of the second join are plain shuffles and the rows of a hub can be split
-    right = materialize(pairs.join(texts.select(F.col("t").alias("b"), F.col("text").alias("right")), "b"))
-    both = right.join(texts.select(F.col("t").alias("a"), F.col("text").alias("left")), "a").select("a", "b", "left", "right")
-    return materialize(map_batches(both, run, "a long, b long"))
+    with scratch(pairs.sparkSession):
+        wanted = materialize(pairs.select(F.col("a").alias("t")).unionByName(pairs.select(F.col("b").alias("t"))).distinct())
+        texts = materialize(texts.join(_few(wanted), "t").groupBy("t").agg(F.first("text").alias("text")))
+        # written, so that both sides of the second join are plain shuffles and the rows of a hub can be split
+        right = materialize(pairs.join(texts.select(F.col("t").alias("b"), F.col("text").alias("right")), "b"))
+        both = right.join(texts.select(F.col("t").alias("a"), F.col("text").alias("left")), "a").select("a", "b", "left", "right")
+        return materialize(map_batches(both, run, "a long, b long"), stay=True)
 
 
-def bound(bits: int, similarity: float = SIMILARITY) -> int:
-    """Bits of ``bits`` that a pair may differ in to be compared: MARGIN deviations more than a pair at ``similarity`` does."""
+def bound(bits: int, similarity: float = SIMILARITY, margin: float = MARGIN) -> int:
+    """Bits of ``bits`` that a pair may differ in to be compared: ``margin`` deviations more than a pair at ``similarity`` does."""
     differ = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return math.ceil(bits * differ + MARGIN * math.sqrt(bits * differ * (1 - differ)))
+    return math.ceil(bits * differ + margin * math.sqrt(bits * differ * (1 - differ)))
+
+
+def _segment_rows(prints: DataFrame, bits: int, segments: int) -> DataFrame:
+    """t, thin and v of every segment; ``thin`` is a word of the print half a print away from it, as texts that share a segment are near in its own bits."""
+    words = -(-bits * segments // 64)
+    word = F.expr(f"cast((i * {bits} div 64 + {words // 2}) % {words} as int)")
+    return prints.select("t", "print", F.posexplode("segments").alias("i", "v")).select("t", F.col("print")[word].alias("thin"), "v")
 
 
 def _alive(entries: DataFrame, similarity: float) -> DataFrame:
-    """The (key, t) of ``entries`` (key, t, thin) whose bucket holds more than two texts, or two that the bits ``thin`` find near."""
-    most = bound(64, similarity)
+    """The (key, t) of ``entries`` (key, t, thin) that the bits ``thin`` find near another text of their bucket, and those of buckets of over HELD texts."""
+    most = bound(64, similarity, THIN_MARGIN)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, keys, ts, thins = None, np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
 
         def chosen(n: int) -> pa.RecordBatch:
-            """Rows of the first ``n``, which end with a bucket or in the midst of one of over two rows."""
+            """Rows of the first ``n``, which end with a bucket or in the midst of one of over HELD rows."""
             k = keys[:n]
             starts = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]) if n else np.empty(0, np.int64)
             sizes = np.diff(np.r_[starts, n])
-            stay = (sizes > 2) | (k[starts] == last) if n else sizes > 2
-            two = starts[sizes == 2]
-            stay[sizes == 2] |= np.bitwise_count((thins[two] ^ thins[two + 1]).view(np.uint64)) <= most
-            keep = np.repeat(stay, sizes)
+            whole = (sizes > HELD) | (k[starts] == last) if n else sizes > HELD
+            keep = np.repeat(whole, sizes)
+            for size in np.unique(sizes[~whole & (sizes > 1)]).tolist():  # buckets of a size at once, each row against the others
+                at = starts[~whole & (sizes == size)][:, None] + np.arange(size)
+                near = np.bitwise_count((thins[at][:, :, None] ^ thins[at][:, None, :]).view(np.uint64)) <= most
+                near[:, range(size), range(size)] = False
+                keep[at] = near.any(2)
             return pa.record_batch([pa.array(k[keep]), pa.array(ts[:n][keep])], ["key", "t"])
 
         for batch in batches:
@@ -413,7 +427,7 @@ def _alive(entries: DataFrame, similarity: float) -> DataFrame:
                 continue
             keys, ts, thins = (np.concatenate([x, batch.column(i).to_numpy()]) for i, x in enumerate((keys, ts, thins)))
             cut = int(np.searchsorted(keys, keys[-1]))
-            if len(keys) - cut > 2:  # a bucket that stays, whatever follows
+            if len(keys) - cut > HELD:  # a bucket that stays, whatever follows
                 cut = len(keys)
             yield chosen(cut)
             last = keys[-1] if cut == len(keys) else None
@@ -472,7 +486,8 @@ def similar_links(entries: DataFrame, prints: DataFrame, texts: DataFrame, simil
     ``prints`` are t and print. Two texts whose long fingerprints differ in more bits than ``bound`` aren't compared.
     First every text is compared with the one that has most shared keys among its hubs (the original of a group of copies shares more than
     they do among each other), then, while that links more, with the hub of another group that its fingerprint is nearest to. At last each
-    bucket compares its texts of small groups, some more in every round, with the texts of all other groups.
+    bucket of several groups compares its texts, those of small groups first and some more in every round, with the texts of all other groups,
+    until those of its last group alone are left.
     """
     pair = lambda df: df.select(F.least("a", "t").alias("a"), F.greatest("a", "t").alias("b")).distinct()
     keys = _alive(entries, similarity).groupBy("t").agg(F.collect_list("key").alias("keys"))
@@ -497,15 +512,25 @@ def similar_links(entries: DataFrame, prints: DataFrame, texts: DataFrame, simil
         near = materialize(near)
         return True
 
+    def narrowed() -> int:
+        """Leave the buckets of one group; of the others, the most texts that come before those of the last group by size and label."""
+        nonlocal near
+        rows = near.select(F.explode("keys").alias("key"), "t", "label", "size")
+        counts = rows.groupBy("key", "size", "label").agg(F.count("*").alias("n"))
+        rest = F.sum("n") - F.max_by("n", F.struct("size", "label"))
+        several = materialize(counts.groupBy("key").agg(rest.alias("rest")).filter("rest > 0"))
+        keys = rows.join(_few(several.select("key")), "key").groupBy("t").agg(F.collect_list("key").alias("keys"))
+        near = materialize(near.drop("keys").join(keys, "t").select(near.columns))
+        return several.agg(F.max("rest")).first()[0] or 0
+
     best = F.struct(F.col("degree"), F.col("a"))
     while compared(pair(_met(near, [-F.col("degree")], 0, 1, most).groupBy("t").agg(F.max(best).alias("best")).select("t", "best.a"))):
         best = F.struct(-F.col("bits"), F.col("a"))
-    counts = near.select(F.explode("keys").alias("key"), "label").groupBy("key", "label").agg(F.count("*").alias("n"))
-    left = counts.groupBy("key").agg((F.sum("n") - F.max("n")).alias("rest")).agg(F.max("rest")).first()[0]
-    frozen, first, hubs = near.withColumn("was", F.col("size")), 0, HUBS
-    near = materialize(frozen)
+        narrowed()
+    left, first, hubs = narrowed(), 0, HUBS
+    near = near.withColumns({"was": F.col("size"), "of": F.col("label")})
     while first < left:
-        compared(pair(_met(near, [F.col("was")], first, hubs, most)))
+        compared(pair(_met(near, [F.col("was"), F.col("of")], first, hubs, most)))
         first, hubs = first + hubs, min(hubs * HUBS, MOST_HUBS)
     return edges
 
@@ -523,23 +548,25 @@ def deduplicate(docs: DataFrame, shingle: int = WIDE_SHINGLE, similarity: float
     k, t = spare(docs, "k"), spare(docs, "t")
     hashes = [F.xxhash64("doc_id", "text").alias(k), F.xxhash64(F.coalesce("text", F.lit("")), F.lit(1)).alias(t)]
     keyed = docs.select("*", *hashes)
-    ids = materialize(docs.select("doc_id", hashes[0].alias("k"), hashes[1].alias("t")))
-    of_text = materialize(ids.groupBy("t").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "k", "t")).alias("one")))
-    bits, segments = segmentation(of_text.count(), similarity)
-    prints = wide_fingerprints(docs.select(hashes[1].alias("t"), "text"), bits, segments)
-    prints = materialize(prints.groupBy("t").agg(F.first("print").alias("print"), F.first("segments").alias("segments")))
-    rows = prints.select("t", F.col("print")[0].alias("thin"), F.explode("segments").alias("v"))
-    shared = materialize(_shared_variants(rows.groupBy("v").agg(F.count("*").alias("n")), bits))
-    entries = rows.join(shared, "v").select("key", "t", "thin")
-    texts = docs.select(hashes[1].alias("t"), F.coalesce("text", F.lit("")).alias("text"))
-    edges = similar_links(entries, prints, texts, similarity)
-    kept = of_text.select("t", "one")
-    if edges is not None:
-        roots = components(edges).select(F.col("node").alias("t"), "root")
-        kept = kept.join(roots, "t", "left").groupBy(F.coalesce("root", "t").alias("root")).agg(F.min("one").alias("one"))
-    kept = materialize(kept.select("one.k", "one.t"))
-    lost = materialize(ids.select("k", "t").join(kept, ["k", "t"], "left_anti").distinct())
-    twice = materialize(ids.join(kept, ["k", "t"]).groupBy("k", "t").count().filter("count > 1").select("k", "t"))
+    with scratch(docs.sparkSession):
+        ids = materialize(docs.select("doc_id", hashes[0].alias("k"), hashes[1].alias("t")))
+        of_text = materialize(ids.groupBy("t").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "k", "t")).alias("one")))
+        bits, segments = segmentation(of_text.count(), similarity)
+        prints = wide_fingerprints(docs.select(hashes[1].alias("t"), "text"), bits, segments)
+        prints = materialize(prints.groupBy("t").agg(F.first("print").alias("print"), F.first("segments").alias("segments")))
+        rows = _segment_rows(prints, bits, segments)
+        values = materialize(rows.groupBy("v").agg(F.count("*").alias("n")))
+        shared = materialize(_shared_variants(values, bits))
+        entries = rows.join(shared, "v").select("key", "t", "thin")
+        texts = docs.select(hashes[1].alias("t"), F.coalesce("text", F.lit("")).alias("text"))
+        edges = similar_links(entries, prints, texts, similarity)
+        kept = of_text.select("t", "one")
+        if edges is not None:
+            roots = components(edges).select(F.col("node").alias("t"), "root")
+            kept = kept.join(roots, "t", "left").groupBy(F.coalesce("root", "t").alias("root")).agg(F.min("one").alias("one"))
+        kept = materialize(kept.select("one.k", "one.t"))
+        lost = materialize(ids.select("k", "t").join(kept, ["k", "t"], "left_anti").distinct(), stay=True)
+        twice = materialize(ids.join(kept, ["k", "t"]).groupBy("k", "t").count().filter("count > 1").select("k", "t"), stay=True)
     away = _few(lost.unionByName(twice).withColumnsRenamed({"k": k, "t": t}))
     single = keyed.join(away, [k, t], "left_anti")
     if twice.isEmpty():

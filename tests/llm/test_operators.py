@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -616,6 +617,51 @@ def test_deduplicate_equals_all_pairs(spark, docs, edges, empty):
     assert simhash.deduplicate(edges.withColumns({"k": F.lit(1), "t": F.lit(2)})).count() == out.count()
 
 
+def test_buckets_keep_only_texts_with_a_near_one(spark):
+    rng = random.Random(14)
+    many = [(3, 100 + i, rng.getrandbits(63)) for i in range(simhash.HELD + 1)]
+    rows = [(1, 1, 0), (1, 2, 7), (1, 3, -1), (2, 4, 0), (2, 5, -1), (4, 6, -1), (4, 7, -8), (5, 8, 1), *many]
+    got = sorted(tuple(r) for r in simhash._alive(spark.createDataFrame(rows, "key long, t long, thin long"), 0.8).collect())
+    assert got == sorted([(1, 1), (1, 2), (4, 6), (4, 7), *(r[:2] for r in many)])
+
+
+def test_thin_bits_lie_apart_from_their_segment(spark):
+    """Texts that share a segment, and nothing else, don't count as near by the segment's own bits."""
+    bits, segments = 20, 33
+    print_ = list(range(-(-bits * segments // 64)))
+    df = spark.createDataFrame([(1, print_, [i << bits for i in range(segments)])], "t long, print array<long>, segments array<long>")
+    for r in simhash._segment_rows(df, bits, segments).collect():
+        i = r.v >> bits
+        assert not i * bits // 64 <= r.thin <= (i * bits + bits - 1) // 64
+
+
+def test_a_small_group_of_a_bucket_meets_a_larger_one_elsewhere(spark):
+    """One text of the bucket's larger group is similar to its ten of a group that is the larger one over all buckets."""
+    x = [f"x{i}" for i in range(400)]
+    last = [f"y{i}" for i in range(34)] + x[34:]
+    other = last[:200] + [f"z{i}" for i in range(34)] + last[234:]
+    a = [" ".join([*x[:398], f"a{i}", f"a{i}"]) for i in range(100)] + [" ".join(last)]
+    b = [" ".join([*other[:398], f"b{i}", f"b{i}"]) for i in range(150)]
+    texts = dict(enumerate(a)) | {1000 + i: text for i, text in enumerate(b)}
+    found = np.packbits(simhash.wide_bits([t.encode() for t in texts.values()], 1088), axis=1).view(">i8").astype(np.int64).tolist()
+    prints = dict(zip(texts, found, strict=True))
+    entries = [(1, t) for t in texts if t < 1000] + [(2, t) for t in texts if t >= 1000] + [(3, t) for t in texts if t < 1010]
+    edges = simhash.similar_links(
+        spark.createDataFrame([(k, t, prints[t][0]) for k, t in entries], "key long, t long, thin long"),
+        spark.createDataFrame(list(prints.items()), "t long, print array<long>"), spark.createDataFrame(list(texts.items()), "t long, text string"),
+    )
+    roots = {r.node: r.root for r in simhash.components(edges).collect()}
+    assert roots == dict.fromkeys(texts, 0)
+
+
+def test_deduplicate_leaves_no_tables_but_those_its_result_reads(spark, docs):
+    held = lambda: set(os.listdir(spark.conf.get("spark.checkpoint.dir").removeprefix("file:")))
+    before, kept = held(), simhash.deduplicate(docs)
+    assert len(held() - before) <= 2 and kept.count() == kept.select("doc_id").distinct().count()
+    before, mixed = held(), mixing.mix(docs)
+    assert len(held() - before) <= 1 and mixed.count() >= docs.count()
+
+
 def test_shared_variants_are_all_close_values(spark):
     rng, bits = random.Random(13), 20
     values = sorted({(rng.randrange(2) << bits) + (1000 + rng.randrange(300) if rng.random() < 0.5 else rng.randrange(1 << bits)) for _ in range(600)})
