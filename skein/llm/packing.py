@@ -20,6 +20,7 @@ import functools
 import gc
 import itertools
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skein.llm.common import byte_texts, keep_cache, map_batches, materialize, text_slices
+from skein.llm.common import byte_texts, keep_cache, map_batches, materialize, release_memory, text_slices
 
 CAPACITY = 4096
 END_ID = 1
@@ -41,7 +42,10 @@ ROWS_PER_TASK = 50_000
 TOKENIZER = "word_bpe_49k.json"
 #: Words that a worker remembers (about 200 bytes each), and half as many parts of words.
 CACHE_WORDS = 800_000
+#: Bytes of text that are split into words at a time; a word list takes about ten times its text.
+SPLIT_BYTES = 1 << 18
 
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 # The parts that this tokenizer splits lower-case text into.
 _PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Letters below U+0100 have no accents to compose and fold to one letter each; other words go whole to the tokenizer.
@@ -55,6 +59,15 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
+def _cuts(text: bytes, most: int) -> Iterator[bytes]:
+    """The text in pieces of about ``most`` bytes, cut at white space; a longer word stays whole."""
+    at = 0
+    while len(text) - at > most and (space := _SPACE.search(text, at + most)):
+        yield text[at : space.start()]
+        at = space.end()
+    yield text[at:] if at else text
+
+
 class WordTokens:
     """Ids of whole texts as little-endian unsigned 32-bit bytes, from bounded caches of words and of their parts.
 
@@ -100,8 +113,8 @@ class WordTokens:
         known = self.parts
         self.words.update(zip(words, [known[p[0]] if len(p) == 1 else b"".join([known[x] for x in p]) for p in split], strict=True))
 
-    def encode(self, texts: list[bytes | None]) -> list[bytes]:
-        split = [(t or b"").split() for t in texts]
+    def _encode(self, texts: list[bytes]) -> list[bytes]:
+        split = [t.split() for t in texts]
         new = set(itertools.chain.from_iterable(split)).difference(self.words)
         if len(self.words) + len(new) > self.most_words:
             self.words.clear()
@@ -115,11 +128,33 @@ class WordTokens:
                 gc.enable()
         return [b"".join(map(self.words.__getitem__, ws)) for ws in split]
 
+    def encode(self, texts: list[bytes | None]) -> list[bytes]:
+        """Ids of each text; words are listed for about ``SPLIT_BYTES`` of text at a time, whatever the texts' sizes."""
+        ids: list[list[bytes]] = [[] for _ in texts]
+        rows, some, held = [], [], 0
+
+        def flush() -> None:
+            for i, x in zip(rows, self._encode(some), strict=True):
+                ids[i].append(x)
+
+        for i, t in enumerate(texts):
+            for piece in _cuts(t or b"", SPLIT_BYTES):
+                if held and held + len(piece) > SPLIT_BYTES:
+                    flush()
+                    rows, some, held = [], [], 0
+                rows.append(i)
+                some.append(piece)
+                held += len(piece)
+        flush()
+        return [x[0] if len(x) == 1 else b"".join(x) for x in ids]
+
 
 @functools.cache
 def word_tokens(file: str, cache_words: int = CACHE_WORDS) -> WordTokens:
     """One encoder for each worker process, kept from task to task."""
-    return WordTokens(file, cache_words)
+    encoder = WordTokens(file, cache_words)
+    release_memory()  # reading the file takes about as much again
+    return encoder
 
 
 def tokens(docs: DataFrame, file: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = False, cache_words: int = CACHE_WORDS) -> DataFrame:

@@ -5,6 +5,7 @@ import math
 import os
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 from itertools import pairwise
@@ -402,6 +403,24 @@ def test_packing_round_trip(spark, edges, empty):
     assert packing.pack_documents(empty).isEmpty()
 
 
+def test_tokens_of_large_texts_take_little_memory():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    file = public_tokenizers.path(packing.TOKENIZER)
+    encoder, text = packing.WordTokens(file), LONG * 30
+    texts = [text.encode(), None, b"x" * (packing.SPLIT_BYTES + 9) + b" \n\x0b end", LONG.encode(), b" "]
+    encoder.encode([LONG.encode()])
+    tracemalloc.start()
+    got = encoder.encode(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(text) > 3_000_000 and peak < 2 * sum(map(len, got)) + 10 * packing.SPLIT_BYTES + (4 << 20)
+    tokenizer = Tokenizer.from_file(file)
+    whole = [np.array(tokenizer.encode((t or b"").decode(), add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert got == whole
+
+
 def test_packing_is_close_to_the_bound(spark, docs):
     rows = packing.pack_documents(docs).collect()
     used = check_packed(rows, 4096)
